@@ -1,0 +1,2 @@
+"""Empty on purpose: every analysis here is a batch job over weekly text keys,
+with no event-time state to keep."""
