@@ -1,15 +1,15 @@
 """Exact money arithmetic.
 
-Money is summed as DECIMAL, so a total does not depend on how rows are spread over
-tasks, and rounding is half away from zero on the exact value. Results leave the
-operators as doubles.
+Money is summed as whole cents in BIGINT, so a total does not depend on how rows are
+spread over tasks, stays in generated code, and fails loudly rather than wraps if it ever
+overflows. Only quotients of totals use DECIMAL: they round half away from zero on the
+exact value. Results leave the operators as doubles.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-MONEY = "decimal(18,2)"
 # Operand types that leave twelve digits after the point in a quotient.
 NUMERATOR = "decimal(26,2)"
 DENOMINATOR = "decimal(22,2)"
@@ -19,13 +19,19 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money(c: str | Column) -> Column:
-    return _col(c).cast(MONEY)
+def cents(c: str | Column) -> Column:
+    """A two-decimal amount as whole cents."""
+    return F.rint(_col(c).cast("double") * 100).cast("long")
+
+
+def amount(c: str | Column) -> Column:
+    """Whole cents as a double amount."""
+    return _col(c) / F.lit(100)
 
 
 def total(c: str | Column) -> Column:
-    """Exact sum, surfaced as a double."""
-    return F.sum(_col(c)).cast("double")
+    """Exact sum of whole cents as a double amount."""
+    return amount(F.sum(_col(c)))
 
 
 def ratio(numerator: Column, denominator: Column, digits: int) -> Column:
@@ -34,6 +40,11 @@ def ratio(numerator: Column, denominator: Column, digits: int) -> Column:
     return F.round(quotient, digits).cast("double")
 
 
+def mean(sum_of_cents: Column, count: Column, digits: int = 2) -> Column:
+    """Mean amount from a sum of cents and a count."""
+    return ratio(sum_of_cents, count * 100, digits)
+
+
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return ratio(part.cast(NUMERATOR) * F.lit(100), whole, digits)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from marginwatch.functions.labels import severity
-from marginwatch.functions.money import MONEY, clip_low, money, percent, total
+from marginwatch.functions.money import amount, cents, clip_low, mean, percent, total
 from marginwatch.rules import RULES
 
 
@@ -24,9 +24,16 @@ def rolling(value: Column, measure: Column, window: WindowSpec, min_weeks: int)
 
 
 def rolling_mean(value: Column, window: WindowSpec, min_weeks: int) -> Column:
-    """Mean of a two-decimal column, exact until it is rounded."""
-    exact = value.cast(MONEY)
-    return rolling(value, F.sum(exact).over(window) / F.count(exact).over(window), window, min_weeks)
+    """Mean of a two-decimal column, not rounded."""
+    hundredths = cents(value)
+    sums, counts = F.sum(hundredths).over(window), F.count(hundredths).over(window)
+    return rolling(value, sums / (counts * 100), window, min_weeks)
+
+
+def rolling_median(value: Column, window: WindowSpec, min_weeks: int) -> Column:
+    """Median of a two-decimal column, rounded to cents; halves of a cent are exact in cents."""
+    middle = F.percentile(cents(value), F.lit(0.5)).over(window)
+    return rolling(value, amount(F.round(middle)), window, min_weeks)
 
 
 def rolling_baseline(
@@ -42,17 +49,23 @@ def rolling_baseline(
     """
     window = history(weeks)
     revenue = F.col("weekly_revenue")
-    mean, deviation = F.col("mean"), F.col("deviation")
+    usual, deviation = F.col("usual"), F.col("deviation")
+    in_cents = cents(revenue)
     return (
         weekly.withColumns(
             {
-                "rolling_mean": rolling_mean(revenue, window, min_weeks),
+                "usual": rolling_mean(revenue, window, min_weeks),
+                "rolling_mean": rolling(
+                    revenue,
+                    mean(F.sum(in_cents).over(window), F.count(in_cents).over(window)),
+                    window,
+                    min_weeks,
+                ),
                 "deviation": rolling(revenue, F.stddev_samp(revenue).over(window), window, min_weeks),
-                "median": rolling(revenue, F.percentile(revenue, F.lit(0.5)).over(window), window, min_weeks),
+                "rolling_median": rolling_median(revenue, window, min_weeks),
             }
         )
-        .withColumn("mean", F.col("rolling_mean").cast("double"))
-        .withColumns({"upper": mean + sigmas * deviation, "lower": clip_low(mean - sigmas * deviation)})
+        .withColumns({"upper": usual + sigmas * deviation, "lower": clip_low(usual - sigmas * deviation)})
         .select(
             "year_week",
             "category_en",
@@ -60,12 +73,12 @@ def rolling_baseline(
             "weekly_revenue",
             "avg_order_value",
             "cancellations",
-            F.round("rolling_mean", 2).cast("double").alias("rolling_mean"),
+            "rolling_mean",
             F.round("deviation", 2).alias("rolling_std"),
-            F.round("median", 2).alias("rolling_median"),
+            "rolling_median",
             F.round("upper", 2).alias("upper_bound"),
             F.round("lower", 2).alias("lower_bound"),
-            F.round((revenue - mean) / F.nullif(deviation, F.lit(0.0)), 2).alias("z_score"),
+            F.round((revenue - usual) / F.nullif(deviation, F.lit(0.0)), 2).alias("z_score"),
             F.coalesce((revenue < F.col("lower")) | (revenue > F.col("upper")), F.lit(False)).alias("is_anomaly"),
             F.round(clip_low(F.col("lower") - revenue), 2).alias("revenue_at_risk"),
         )
@@ -74,14 +87,14 @@ def rolling_baseline(
 
 def anomaly_summary(baseline: DataFrame, n: int = 15) -> DataFrame:
     """The categories with the most revenue at risk among their anomalous weeks."""
-    z = money("z_score")
+    z = cents("z_score")
     return (
         baseline.filter("is_anomaly")
         .groupBy("category_en")
         .agg(
             F.count(F.lit(1)).alias("anomaly_weeks"),
-            total(money("revenue_at_risk")).alias("total_at_risk"),
-            F.round(F.sum(z) / F.nullif(F.count(z), F.lit(0)), 2).cast("double").alias("avg_z_score"),
+            total(cents("revenue_at_risk")).alias("total_at_risk"),
+            mean(F.sum(z), F.count(z)).alias("avg_z_score"),
         )
         .orderBy(F.desc("total_at_risk"), "category_en")
         .limit(n)
@@ -94,13 +107,13 @@ def zscore_anomalies(
     min_expected: float = RULES.min_expected_revenue,
 ) -> DataFrame:
     """Category weeks far below a baseline large enough to matter."""
-    expected, actual = money("rolling_mean"), money("weekly_revenue")
+    expected, actual = cents("rolling_mean"), cents("weekly_revenue")
     return baseline.filter((F.col("z_score") < below) & (F.col("rolling_mean") >= min_expected)).withColumns(
         {
             "severity": severity(F.col("z_score")),
             "expected_revenue": F.col("rolling_mean"),
             "actual_revenue": F.col("weekly_revenue"),
-            "revenue_gap": (expected - actual).cast("double"),
+            "revenue_gap": amount(expected - actual),
             "revenue_gap_pct": percent(expected - actual, expected, 1),
         }
     )
@@ -110,7 +123,7 @@ def zscore_summary(anomalies: DataFrame) -> DataFrame:
     return anomalies.agg(
         F.count(F.lit(1)).alias("flags"),
         F.count_distinct("category_en").alias("categories"),
-        F.coalesce(total(money("revenue_gap")), F.lit(0.0)).alias("total_gap"),
+        F.coalesce(total(cents("revenue_gap")), F.lit(0.0)).alias("total_gap"),
     )
 
 

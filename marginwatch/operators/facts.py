@@ -14,16 +14,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marginwatch.functions.labels import UNKNOWN, canceled
-from marginwatch.functions.money import MONEY, money, percent, ratio, total
+from marginwatch.functions.money import cents, mean, percent, total
 
 
 def order_payments(payments: DataFrame) -> DataFrame:
-    """Per order: the sum and number of its non-zero payment rows."""
+    """Per order: the cents and number of its non-zero payment rows."""
     return (
         payments.filter(F.col("payment_value") > 0)
         .groupBy("order_id")
         .agg(
-            F.sum(money("payment_value")).cast(MONEY).alias("paid"),
+            F.sum(cents("payment_value")).alias("paid"),
             F.count(F.lit(1)).alias("payment_rows"),
         )
     )
@@ -59,14 +59,14 @@ def joined_rows(orders: DataFrame, lines: DataFrame, payments: DataFrame) -> Dat
     """Orders with payments and lines, one row per line, carrying fan-out measures.
 
     ``fan_rows`` is the number of item x payment rows and ``fan_paid`` their summed
-    payment value.
+    payment value in cents.
     """
     paid = orders.join(order_payments(payments), "order_id")
     rows = F.col("item_rows") * F.col("payment_rows")
     return paid.join(lines, "order_id").withColumns(
         {
             "fan_rows": rows,
-            "fan_paid": F.col("item_rows").cast("decimal(10,0)") * F.col("paid"),
+            "fan_paid": F.col("item_rows") * F.col("paid"),
         }
     )
 
@@ -76,7 +76,7 @@ def canceled_rows() -> Column:
 
 
 def mean_paid(digits: int = 2) -> Column:
-    return ratio(F.sum("fan_paid"), F.sum("fan_rows"), digits)
+    return mean(F.sum("fan_paid"), F.sum("fan_rows"), digits)
 
 
 def canceled_pct(digits: int) -> Column:

@@ -7,13 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marginwatch.functions.labels import L1, L2, L3, L4, canceled, delivered
-from marginwatch.functions.money import money, percent, total
+from marginwatch.functions.money import amount, cents, percent, total
 from marginwatch.functions.timekeys import whole_days, year_week
 from marginwatch.operators import facts
 from marginwatch.operators.baseline import history, rolling, rolling_mean
 from marginwatch.operators.metrics import order_discounts
 from marginwatch.operators.quantile import quantile_scalars
-from marginwatch.operators.trends import customer_totals
 from marginwatch.rules import RULES
 
 PURCHASED = "order_purchase_timestamp"
@@ -35,8 +34,8 @@ def discount_abuse(
     )
     return per_order.select(
         "order_id",
-        F.col("listed").cast("double").alias("list_price"),
-        F.col("paid").cast("double").alias("actual_paid"),
+        amount("listed").alias("list_price"),
+        amount("paid").alias("actual_paid"),
         percent(F.col("listed") - F.col("paid"), F.col("listed")).alias("discount_pct"),
     ).filter(F.col("discount_pct") > threshold_pct)
 
@@ -78,7 +77,7 @@ def refund_baseline(
     z = (rate - F.col("rolling_cancel_mean")) / F.nullif(F.col("rolling_cancel_std"), F.lit(0.0))
     return rates.withColumns(
         {
-            "rolling_cancel_mean": rolling_mean(rate, window, min_weeks).cast("double"),
+            "rolling_cancel_mean": rolling_mean(rate, window, min_weeks),
             "rolling_cancel_std": rolling(rate, F.stddev_samp(rate).over(window), window, min_weeks),
         }
     ).withColumns({"cancel_z_score": z, "is_refund_spike": F.coalesce(z > sigmas, F.lit(False))})
@@ -97,15 +96,15 @@ def refund_spikes(
 
 
 def silent_churn(
-    orders: DataFrame,
-    payments: DataFrame,
-    customers: DataFrame,
+    totals: DataFrame,
     min_days: int = RULES.churn_days,
     min_orders: int = RULES.churn_min_orders,
     quantile: float = RULES.high_value_quantile,
 ) -> DataFrame:
-    """L3: high-value customers without an order for ``min_days`` before the data's last order."""
-    totals = customer_totals(orders, payments, customers)
+    """L3: high-value customers without an order for ``min_days`` before the data's last order.
+
+    ``totals`` holds lifetime value, order count and last order per person, all statuses.
+    """
     (high_value,) = quantile_scalars(totals, "lifetime_value", [quantile])
     last_day = totals.agg(F.max("last_order_date")).scalar()
     return (
@@ -151,7 +150,7 @@ def short_lifecycle_orders(
     short = _lifecycles(orders).filter(F.col("lifecycle_days") < days).drop("order_status")
     categories = facts.product_categories(products, category_xlat, unknown=False)
     paid = payments.filter(F.col("payment_value") > 0).select(
-        "order_id", money("payment_value").cast("double").alias("payment_value")
+        "order_id", amount(cents("payment_value")).alias("payment_value")
     )
     return (
         items.select("order_id", "product_id", "seller_id")
@@ -183,7 +182,7 @@ def short_lifecycle_flags(lines: DataFrame, days: int = RULES.short_days) -> Dat
         "category_en",
         "lifecycle_days",
         F.col("fan_rows").alias("flag_rows"),
-        F.col("fan_paid").alias("payment_value"),
+        amount("fan_paid").alias("payment_value"),
     )
 
 
@@ -221,10 +220,10 @@ def detector_totals(l1: DataFrame, l2: DataFrame, l3: DataFrame, l4_flags: DataF
     return reduce(
         DataFrame.unionByName,
         [
-            _totals(l1, L1, count, money("actual_paid")),
+            _totals(l1, L1, count, cents("actual_paid")),
             _totals(l2, L2, count, None),
-            _totals(l3, L3, count, money("lifetime_value")),
-            _totals(l4_flags, L4, F.sum("flag_rows"), F.col("payment_value")),
+            _totals(l3, L3, count, cents("lifetime_value")),
+            _totals(l4_flags, L4, F.sum("flag_rows"), cents("payment_value")),
         ],
     )
 
@@ -232,5 +231,5 @@ def detector_totals(l1: DataFrame, l2: DataFrame, l3: DataFrame, l4_flags: DataF
 def revenue_at_risk(totals: DataFrame) -> DataFrame:
     """Revenue at risk of L1, L3 and L4 and their total."""
     amounts = totals.filter(F.col("revenue_at_risk").isNotNull()).select("detector", "revenue_at_risk")
-    everything = amounts.agg(total(money("revenue_at_risk")).alias("revenue_at_risk"))
+    everything = amounts.agg(total(cents("revenue_at_risk")).alias("revenue_at_risk"))
     return amounts.unionByName(everything.select(F.lit("total").alias("detector"), "revenue_at_risk"))

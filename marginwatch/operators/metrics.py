@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marginwatch.functions.labels import canceled, delivered
-from marginwatch.functions.money import MONEY, money, percent, ratio, total
+from marginwatch.functions.money import amount, cents, mean, percent, total
 from marginwatch.functions.timekeys import year_month
 from marginwatch.operators import facts
 
@@ -29,10 +29,10 @@ def overall_kpis(orders: DataFrame, payments: DataFrame) -> DataFrame:
     return paid.agg(
         F.count_distinct("order_id").alias("total_orders"),
         F.count_distinct("customer_id").alias("total_customers"),
-        _paid_where(kept).cast("double").alias("gmv"),
-        _paid_where(delivered()).cast("double").alias("net_revenue"),
-        _paid_where(canceled()).cast("double").alias("cancelled_revenue"),
-        ratio(_paid_where(delivered()), _payment_rows_where(delivered()), 2).alias("avg_order_value"),
+        amount(_paid_where(kept)).alias("gmv"),
+        amount(_paid_where(delivered())).alias("net_revenue"),
+        amount(_paid_where(canceled())).alias("cancelled_revenue"),
+        mean(_paid_where(delivered()), _payment_rows_where(delivered())).alias("avg_order_value"),
         percent(_payment_rows_where(canceled()), F.sum("payment_rows")).alias("cancellation_rate_pct"),
     )
 
@@ -48,7 +48,7 @@ def monthly_revenue(orders: DataFrame, payments: DataFrame) -> DataFrame:
         .agg(
             F.count_distinct("order_id").alias("orders_count"),
             total("paid").alias("monthly_revenue"),
-            ratio(F.sum("paid"), F.sum("payment_rows"), 2).alias("monthly_aov"),
+            mean(F.sum("paid"), F.sum("payment_rows")).alias("monthly_aov"),
             F.count_distinct("customer_id").alias("unique_customers"),
         )
         .orderBy("year_month")
@@ -67,14 +67,14 @@ def monthly_refund_rate(orders: DataFrame) -> DataFrame:
 
 
 def order_discounts(orders: DataFrame, items: DataFrame, payments: DataFrame, dedupe: bool = False) -> DataFrame:
-    """List price and amount paid per delivered order.
+    """List price and amount paid per delivered order, in cents.
 
     Both are sums over the order's item x payment rows, so each side is scaled by the
     other's row count. ``dedupe`` counts every item and payment once instead.
     """
     # One list-price sum per order; no category is involved.
     listed = items.groupBy("order_id").agg(
-        F.sum(money("price") + money("freight_value")).cast(MONEY).alias("listed"),
+        F.sum(cents("price") + cents("freight_value")).alias("listed"),
         F.count(F.lit(1)).alias("item_rows"),
     )
     times_paid, times_listed = (F.lit(1), F.lit(1)) if dedupe else (F.col("item_rows"), F.col("payment_rows"))
@@ -86,8 +86,8 @@ def order_discounts(orders: DataFrame, items: DataFrame, payments: DataFrame, de
         .select(
             "order_id",
             PURCHASED,
-            (times_listed.cast("decimal(10,0)") * F.col("listed")).alias("list_price"),
-            (times_paid.cast("decimal(10,0)") * F.col("paid")).alias("actual_paid"),
+            (times_listed * F.col("listed")).alias("list_price"),
+            (times_paid * F.col("paid")).alias("actual_paid"),
         )
     )
 
@@ -128,5 +128,5 @@ def top_categories(category_totals: DataFrame, n: int = 20) -> DataFrame:
 
 def near_zero_payments(payments: DataFrame, below: float = 1.0) -> DataFrame:
     """Total paid by orders whose payments sum to less than ``below``."""
-    per_order = payments.groupBy("order_id").agg(F.sum(money("payment_value")).alias("paid"))
-    return per_order.filter(F.col("paid") < below).agg(total("paid").alias("val"))
+    per_order = payments.groupBy("order_id").agg(F.sum(cents("payment_value")).alias("paid"))
+    return per_order.filter(amount("paid") < below).agg(total("paid").alias("val"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marginwatch.functions.draws import digest, draw
 from marginwatch.functions.labels import CANCELED, L1, L2, L3, L4
-from marginwatch.functions.money import MONEY, money
+from marginwatch.functions.money import amount, cents
 from marginwatch.functions.timekeys import iso_week
 from marginwatch.operators.quantile import quantile_scalars
 
@@ -44,13 +44,11 @@ def discount_targets(payments: DataFrame, n: int = 200) -> DataFrame:
 
 def scale_payments(payments: DataFrame, chosen: DataFrame, low: float = 0.4, high: float = 0.6) -> DataFrame:
     """Multiply every payment of the chosen orders by its own factor between low and high."""
-    exact = money("payment_value")
-    # Four-decimal factors keep the product exact until it is rounded to cents.
-    spread = round((high - low) * 10000) + 1
-    pick = draw(digest(L1, F.col("order_id"), exact)) % spread
-    factor = ((pick + round(low * 10000)).cast("decimal(9,0)") * F.lit("0.0001").cast("decimal(5,4)")).cast("decimal(9,4)")
-    kind = payments.schema["payment_value"].dataType
-    return _replaced(payments, chosen, "payment_value", (exact * factor).cast(MONEY).cast(kind))
+    paid = cents("payment_value")
+    # Factors have four decimals, so the scaled cents are exact until they are rounded.
+    pick = draw(digest(L1, F.col("order_id"), paid)) % (round((high - low) * 10000) + 1)
+    scaled = F.floor((paid * (pick + round(low * 10000)) + 5000) / 10000)
+    return _replaced(payments, chosen, "payment_value", amount(scaled))
 
 
 def refund_targets(
@@ -76,12 +74,12 @@ def churn_targets(
     orders: DataFrame, payments: DataFrame, quantile: float = 0.80, months: int = 6, n: int = 300
 ) -> DataFrame:
     """Recent orders of the customer records that spent the most."""
-    spent = payments.groupBy("order_id").agg(F.sum(money("payment_value")).cast(MONEY).alias("spent"))
+    spent = payments.groupBy("order_id").agg(F.sum(cents("payment_value")).alias("spent"))
     per_record = (
         orders.select("order_id", "customer_id")
         .join(spent, "order_id")
         .groupBy("customer_id")
-        .agg(F.sum("spent").cast(MONEY).alias("ltv"))
+        .agg(amount(F.sum("spent")).alias("ltv"))
     )
     (threshold,) = quantile_scalars(per_record, "ltv", [quantile])
     best = per_record.filter(F.col("ltv") >= threshold).select("customer_id")

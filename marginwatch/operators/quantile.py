@@ -39,9 +39,9 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float],
     empty input gives nulls.
     """
     unit = 10**digits
-    values = df.select(
-        (F.col(column).cast(f"decimal(18,{digits})") * F.lit(unit)).cast("long").alias("v")
-    ).filter(F.col("v").isNotNull())
+    values = df.select(F.rint(F.col(column).cast("double") * unit).cast("long").alias("v")).filter(
+        F.col("v").isNotNull()
+    )
 
     found = None
     for shift in _SHIFTS:

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from marginwatch.functions.labels import DISPLAY_NAMES, L1, L3, L4
-from marginwatch.functions.money import currency, money, total
+from marginwatch.functions.money import cents, currency, mean, total
 
 _NOTHING = "N/A"
 
 
 def _largest(anomalies: DataFrame, key: str) -> DataFrame:
     """The key with the largest summed revenue gap, as one ``label`` row."""
-    gaps = anomalies.groupBy(key).agg(F.sum(money("revenue_gap")).alias("gap"))
+    gaps = anomalies.groupBy(key).agg(F.sum(cents("revenue_gap")).alias("gap"))
     # Ties go to the first key in order.
     return gaps.orderBy(F.desc("gap"), key).limit(1).select(F.col(key).alias("label"))
 
@@ -29,7 +29,7 @@ def summary_kpis(totals: DataFrame, zscore: DataFrame) -> DataFrame:
         return F.coalesce(_largest(zscore, key).scalar(), F.lit(_NOTHING))
 
     return totals.agg(
-        F.coalesce(total(money("revenue_at_risk")), F.lit(0.0)).alias("total_risk"),
+        F.coalesce(total(cents("revenue_at_risk")), F.lit(0.0)).alias("total_risk"),
         F.coalesce(F.sum("flags"), F.lit(0)).alias("active_anomalies"),
         risk(L1).alias("l1_risk"),
         risk(L3).alias("l3_risk"),
@@ -58,11 +58,9 @@ def kpi_cards(kpis: DataFrame) -> DataFrame:
 def revenue_with_average(monthly: DataFrame, months: int = 3) -> DataFrame:
     """Monthly revenue with its trailing mean; the input is one row per calendar month."""
     trailing = Window.orderBy("year_month").rowsBetween(1 - months, 0)
-    value = money("monthly_revenue")
-    mean = F.sum(value).over(trailing) / F.count(value).over(trailing)
-    return monthly.select("year_month", "monthly_revenue", F.round(mean, 2).cast("double").alias("rolling_avg")).orderBy(
-        "year_month"
-    )
+    value = cents("monthly_revenue")
+    average = mean(F.sum(value).over(trailing), F.count(value).over(trailing))
+    return monthly.select("year_month", "monthly_revenue", average.alias("rolling_avg")).orderBy("year_month")
 
 
 def leakage_breakdown(totals: DataFrame) -> DataFrame:
@@ -127,7 +125,7 @@ def zscore_heatmap(baseline: DataFrame, categories: int = 15, weeks: int = 20) -
     """Mean z-score of the largest categories over the last weeks that have one, in long form."""
     largest = (
         baseline.groupBy("category_en")
-        .agg(F.sum(money("weekly_revenue")).alias("revenue"))
+        .agg(F.sum(cents("weekly_revenue")).alias("revenue"))
         .orderBy(F.desc("revenue"), "category_en")
         .limit(categories)
         .select("category_en")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from marginwatch.functions.labels import delivered, tier
-from marginwatch.functions.money import percent, total
+from marginwatch.functions.money import amount, cents, mean, percent, total
 from marginwatch.functions.timekeys import year_week
 from marginwatch.operators import facts
 from marginwatch.operators.quantile import quantile_scalars
@@ -33,10 +33,10 @@ def weekly_revenue(orders: DataFrame, payments: DataFrame) -> DataFrame:
         weekly.withColumn("previous", previous)
         .select(
             "year_week",
-            F.col("revenue").cast("double").alias("weekly_revenue"),
+            amount("revenue").alias("weekly_revenue"),
             "orders_count",
-            F.col("previous").cast("double").alias("prev_week_revenue"),
-            change.cast("double").alias("wow_change"),
+            amount("previous").alias("prev_week_revenue"),
+            amount(change).alias("wow_change"),
             percent(change, F.col("previous")).alias("wow_pct"),
         )
         .orderBy("year_week")
@@ -104,19 +104,13 @@ def customer_totals(orders: DataFrame, payments: DataFrame, customers: DataFrame
         .agg(
             F.max("last_order").alias("last_order_date"),
             F.sum("orders").alias("total_orders"),
-            F.sum("paid").cast("double").alias("lifetime_value"),
+            total("paid").alias("lifetime_value"),
         )
     )
 
 
-def customer_tiers(
-    orders: DataFrame,
-    payments: DataFrame,
-    customers: DataFrame,
-    quantiles: tuple[float, float] = RULES.tier_quantiles,
-) -> DataFrame:
-    """Delivered lifetime value per person and its Low/Mid/High tier."""
-    ltv = customer_totals(orders.filter(delivered()), payments, customers)
+def customer_tiers(ltv: DataFrame, quantiles: tuple[float, float] = RULES.tier_quantiles) -> DataFrame:
+    """Low/Mid/High tier of each person by the lifetime value of their delivered orders."""
     ltv = ltv.select("customer_unique_id", "lifetime_value")
     q40, q80 = quantile_scalars(ltv, "lifetime_value", quantiles)
     return ltv.withColumn("tier", tier(F.col("lifetime_value"), q40, q80))
@@ -124,15 +118,14 @@ def customer_tiers(
 
 def tier_summary(tiers: DataFrame) -> DataFrame:
     """Customers, revenue and mean value per tier that occurs."""
-    value = F.col("lifetime_value").cast("decimal(18,2)")
-    mean = F.sum(value) / F.count(F.lit(1))
+    value = cents("lifetime_value")
     return (
         tiers.filter(F.col("tier").isNotNull())
         .groupBy("tier")
         .agg(
             F.count("customer_unique_id").alias("customer_count"),
             total(value).alias("total_revenue"),
-            F.round(mean, 2).cast("double").alias("avg_ltv"),
+            mean(F.sum(value), F.count(F.lit(1))).alias("avg_ltv"),
         )
         .orderBy(F.desc("avg_ltv"))
     )

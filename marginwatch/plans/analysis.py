@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
+from marginwatch.functions import labels
 from marginwatch.operators import (
     baseline as bl,
     evaluation as ev,
@@ -20,18 +21,20 @@ from marginwatch.operators import (
     trends as tr,
 )
 from marginwatch.rules import RULES, Rules
+from marginwatch.sources.stage import staged
 
 Tables = dict[str, DataFrame]
 
 
 class Analysis:
-    """Each attribute is one result over the given tables; nothing runs until it is used.
+    """Each attribute is one result over the given tables.
 
-    Results share their inputs as plans, so pass ``category_weekly`` read back from a
-    written table when several results of the weekly series are wanted.
+    Inputs that several results or several branches of one result read are staged, so
+    the large tables are joined once for them: the weekly baseline, the totals per
+    customer, the forest's scores and the few root-cause targets.
     """
 
-    def __init__(self, tables: Tables, rules: Rules = RULES, category_weekly: DataFrame | None = None):
+    def __init__(self, tables: Tables, rules: Rules = RULES):
         self.tables, self.rules = tables, rules
         self.orders, self.items, self.payments = (
             tables["orders"],
@@ -39,8 +42,6 @@ class Analysis:
             tables["order_payments"],
         )
         self.catalog = (tables["products"], tables["category_xlat"])
-        if category_weekly is not None:
-            self.category_weekly = category_weekly
 
     # quality and KPIs
     @cached_property
@@ -80,9 +81,22 @@ class Analysis:
     def geo_weekly(self) -> DataFrame:
         return tr.geo_weekly(self.orders, self.items, self.payments, self.tables["sellers"])
 
+    @cached_property
+    def customer_values(self) -> DataFrame:
+        delivered = self.orders.filter(labels.delivered())
+        return staged(
+            tr.customer_totals(delivered, self.payments, self.tables["customers"]).select(
+                "customer_unique_id", "lifetime_value"
+            )
+        )
+
+    @cached_property
+    def customer_activity(self) -> DataFrame:
+        return staged(tr.customer_totals(self.orders, self.payments, self.tables["customers"]))
+
     @cached_property
     def customer_tiers(self) -> DataFrame:
-        return tr.customer_tiers(self.orders, self.payments, self.tables["customers"], self.rules.tier_quantiles)
+        return tr.customer_tiers(self.customer_values, self.rules.tier_quantiles)
 
     @cached_property
     def tier_summary(self) -> DataFrame:
@@ -94,6 +108,10 @@ class Analysis:
         r = self.rules
         return bl.rolling_baseline(self.category_weekly, r.window_weeks, r.min_weeks, r.band_sigmas)
 
+    @cached_property
+    def staged_baseline(self) -> DataFrame:
+        return staged(self.baseline)
+
     @cached_property
     def anomaly_summary(self) -> DataFrame:
         return bl.anomaly_summary(self.baseline)
@@ -102,15 +120,19 @@ class Analysis:
     def zscore(self) -> DataFrame:
         return bl.zscore_anomalies(self.baseline, self.rules.zscore_below, self.rules.min_expected_revenue)
 
+    @cached_property
+    def staged_zscore(self) -> DataFrame:
+        return staged(self.zscore)
+
     @cached_property
     def forest_features(self) -> DataFrame:
-        return fo.forest_features(self.baseline, self.rules.window_weeks, self.rules.min_weeks)
+        return fo.forest_features(self.staged_baseline, self.rules.window_weeks, self.rules.min_weeks)
 
     @cached_property
     def forest_scores(self) -> DataFrame:
         r = self.rules
         return fo.forest_scores(
-            self.forest_features,
+            staged(self.forest_features),
             r.trees,
             r.sample_size,
             r.contamination,
@@ -139,20 +161,13 @@ class Analysis:
     @cached_property
     def l3_first(self) -> DataFrame:
         return lk.silent_churn(
-            self.orders,
-            self.payments,
-            self.tables["customers"],
-            self.rules.churn_days_first,
-            1,
-            self.rules.high_value_quantile,
+            self.customer_activity, self.rules.churn_days_first, 1, self.rules.high_value_quantile
         )
 
     @cached_property
     def l3(self) -> DataFrame:
         return lk.silent_churn(
-            self.orders,
-            self.payments,
-            self.tables["customers"],
+            self.customer_activity,
             self.rules.churn_days,
             self.rules.churn_min_orders,
             self.rules.high_value_quantile,
@@ -186,7 +201,7 @@ class Analysis:
     # root causes
     @cached_property
     def rca_targets(self) -> DataFrame:
-        return rc.rca_targets(self.high_confidence)
+        return staged(rc.rca_targets(self.high_confidence))
 
     def rca_rows(self, *keys: str) -> DataFrame:
         return rc.target_rows(
@@ -212,11 +227,11 @@ class Analysis:
     # reporting
     @cached_property
     def summary_kpis(self) -> DataFrame:
-        return rp.summary_kpis(self.detector_totals, self.zscore)
+        return rp.summary_kpis(self.detector_totals, self.staged_zscore)
 
     @cached_property
     def dataset_stats(self) -> DataFrame:
-        return rp.dataset_stats(self.monthly_revenue, self.baseline, self.zscore)
+        return rp.dataset_stats(self.monthly_revenue, self.staged_baseline, self.zscore)
 
 
 class Trial:
@@ -224,9 +239,9 @@ class Trial:
 
     def __init__(self, raw: Tables, category: str, rules: Rules = RULES):
         self.raw = raw
-        self.targets = px.planting_targets(raw, category)
-        self.labels = px.labels_table(self.targets)
-        self.planted = px.plant(raw, self.targets)
+        # A few hundred rows that the planted tables and every evaluation read.
+        self.labels = staged(px.labels_table(px.planting_targets(raw, category)))
+        self.planted = px.plant(raw, {kind: ev.labels_of(self.labels, kind) for kind in labels.DISPLAY_NAMES})
         self.analysis = Analysis(self.planted, rules)
         self.rules = rules
 

@@ -174,7 +174,7 @@ _STEPS: dict[str, str] = {
                ROUND(sd, 2) AS rolling_std,
                CASE WHEN seen >= 4 THEN ROUND(mid) / 100 END AS rolling_median,
                ROUND(hi, 2) AS upper_bound, ROUND(lo, 2) AS lower_bound,
-               ROUND((weekly_revenue - mean) / NULLIF(sd, 0), 2) AS z_score,
+               ROUND((weekly_revenue - mean) / NULLIF(sd, 0), 2) + 0.0 AS z_score,
                COALESCE(weekly_revenue < lo OR weekly_revenue > hi, FALSE) AS is_anomaly,
                ROUND(CASE WHEN lo - weekly_revenue < 0 THEN 0 ELSE lo - weekly_revenue END, 2) AS revenue_at_risk
         FROM bounded""",
@@ -380,7 +380,7 @@ _STEPS.update(
 # Planted leakage.
 _SCALED = (
     "CAST(payment_value * CAST(CAST(4000 + "
-    + _draw("'L1_discount_abuse:' || order_id || ':' || payment_value")
+    + _draw("'L1_discount_abuse:' || order_id || ':' || CAST(payment_value * 100 AS BIGINT)")
     + " % 2001 AS DECIMAL(9,0)) * 0.0001 AS DECIMAL(9,4)) AS DECIMAL(18,2))"
 )
 _PLANTING = {

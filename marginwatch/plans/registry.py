@@ -115,17 +115,13 @@ def queries() -> dict[str, Query]:
         "l3_churn_180": _analysis(lambda a: a.l3_first),
         "l3_churn_90": _analysis(lambda a: a.l3),
         "l4_short_orders": _analysis(lambda a: a.l4),
-        "l4_short_flags": _analysis(
-            lambda a: a.l4_flags.withColumn("payment_value", F.col("payment_value").cast("double"))
-        ),
+        "l4_short_flags": _analysis(lambda a: a.l4_flags),
         "l4_seller_category": _analysis(lambda a: a.l4_sellers),
         "detector_totals": _analysis(lambda a: a.detector_totals),
         "revenue_at_risk": _analysis(lambda a: lk.revenue_at_risk(a.detector_totals)),
         # planted leakage
         "l1_scaled_payments": _tables(
-            lambda t: px.scale_payments(t["order_payments"], px.discount_targets(t["order_payments"])).withColumn(
-                "payment_value", F.col("payment_value").cast("double")
-            )
+            lambda t: px.scale_payments(t["order_payments"], px.discount_targets(t["order_payments"]))
         ),
         "l2_cancelled_orders": _tables(
             lambda t: px.cancel_orders(
@@ -166,8 +162,8 @@ def queries() -> dict[str, Query]:
         "top5_cancel": _analysis(lambda a: rp.top_cancel_categories(a.top_categories)),
         "detector_recall": _trial(lambda t: rp.detector_recall(t.scorecard())),
         "category_list": _analysis(lambda a: rp.category_list(a.baseline)),
-        "category_timeline": _analysis(lambda a: rp.category_timeline(a.baseline)),
-        "zscore_heatmap": _analysis(lambda a: rp.zscore_heatmap(a.baseline)),
+        "category_timeline": _analysis(lambda a: rp.category_timeline(a.staged_baseline)),
+        "zscore_heatmap": _analysis(lambda a: rp.zscore_heatmap(a.staged_baseline)),
         "rca_display": _analysis(lambda a: rp.rca_display(a.rca_report)),
         "rca_choices": _analysis(lambda a: rp.rca_choices(a.rca_report)),
         "dataset_stats": _analysis(lambda a: a.dataset_stats),

@@ -2,38 +2,48 @@
 
 The star has no payments, so payments are derived from lines. Order keys divisible
 by 997 pay nothing, those divisible by 40 pay a tenth and their successors 38 %, which
-gives the discount detectors something to find. Inputs become decimals before they
-are multiplied, so a product is never rounded from an inexact double.
+gives the discount detectors something to find. Products are formed from whole cents
+and whole percents, so none is rounded from an inexact double.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from marginwatch.functions.money import MONEY
+from marginwatch.functions.money import amount, cents
 
 Tables = dict[str, DataFrame]
 
+# The columns used; a declared schema spares reading file footers to infer one.
+STAR_SCHEMAS = {
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, l_discount double, "
+    "l_tax double, l_linestatus string, l_shipdate timestamp_ntz",
+    "part": "p_partkey long, p_brand string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+}
+
+
+def _rounded(product: Column, scale: int) -> Column:
+    """A non-negative whole product divided by ``scale``, rounded half up."""
+    return F.floor((product + scale // 2) / scale)
+
 
 def star_tables(spark: SparkSession, base: str) -> Tables:
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{base}/{name}.parquet")
+        return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{base}/{name}.parquet")
 
     orders, lines, part = read("orders"), read("lineitem"), read("part")
     supplier, nation = read("supplier"), read("nation")
 
-    price = F.col("l_extendedprice").cast("decimal(14,2)")
+    price, tax, discount = cents("l_extendedprice"), cents("l_tax"), cents("l_discount")
     key = F.col("l_orderkey")
     shipped = lines.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
     pending = F.col("o_orderstatus") == "P"
     factor = (
-        F.when(key % 997 == 0, F.lit("0.00"))
-        .when(key % 40 == 0, F.lit("0.10"))
-        .when(key % 40 == 1, F.lit("0.38"))
-        .otherwise(F.lit("1.00"))
-        .cast("decimal(3,2)")
+        F.when(key % 997 == 0, 0).when(key % 40 == 0, 10).when(key % 40 == 1, 38).otherwise(100)
     )
-    kept = (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")).cast("decimal(4,2)")
 
     return {
         "orders": orders.join(shipped, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
@@ -50,11 +60,11 @@ def star_tables(spark: SparkSession, base: str) -> Tables:
             key.alias("order_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("seller_id"),
-            price.cast(MONEY).alias("price"),
-            (price * F.col("l_tax").cast("decimal(4,2)")).cast(MONEY).alias("freight_value"),
+            amount(price).alias("price"),
+            amount(_rounded(price * tax, 100)).alias("freight_value"),
         ),
         "order_payments": lines.groupBy(key.alias("order_id"), F.col("l_linestatus").alias("payment_type")).agg(
-            F.sum((price * kept * factor).cast(MONEY)).cast(MONEY).alias("payment_value")
+            amount(F.sum(_rounded(price * (100 - discount) * factor, 10000))).alias("payment_value")
         ),
         "products": part.select(
             F.col("p_partkey").alias("product_id"),
