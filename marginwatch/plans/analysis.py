@@ -114,11 +114,11 @@ class Analysis:
 
     @cached_property
     def anomaly_summary(self) -> DataFrame:
-        return bl.anomaly_summary(self.baseline)
+        return bl.anomaly_summary(self.staged_baseline)
 
     @cached_property
     def zscore(self) -> DataFrame:
-        return bl.zscore_anomalies(self.baseline, self.rules.zscore_below, self.rules.min_expected_revenue)
+        return bl.zscore_anomalies(self.staged_baseline, self.rules.zscore_below, self.rules.min_expected_revenue)
 
     @cached_property
     def staged_zscore(self) -> DataFrame:
@@ -141,9 +141,13 @@ class Analysis:
             r.zscore_below,
         )
 
+    @cached_property
+    def staged_scores(self) -> DataFrame:
+        return staged(self.forest_scores)
+
     @cached_property
     def high_confidence(self) -> DataFrame:
-        return fo.high_confidence(self.forest_scores)
+        return fo.high_confidence(self.staged_scores)
 
     # leakage detectors, first and tuned versions
     @cached_property
@@ -241,9 +245,13 @@ class Trial:
         self.raw = raw
         # A few hundred rows that the planted tables and every evaluation read.
         self.labels = staged(px.labels_table(px.planting_targets(raw, category)))
-        self.planted = px.plant(raw, {kind: ev.labels_of(self.labels, kind) for kind in labels.DISPLAY_NAMES})
-        self.analysis = Analysis(self.planted, rules)
         self.rules = rules
+        self.use(px.plant(raw, {kind: ev.labels_of(self.labels, kind) for kind in labels.DISPLAY_NAMES}))
+
+    def use(self, planted: Tables) -> None:
+        """Take the planted tables from here, for instance from a staged copy."""
+        self.planted = planted
+        self.analysis = Analysis(planted, self.rules)
 
     @cached_property
     def truth(self) -> DataFrame:
