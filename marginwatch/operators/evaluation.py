@@ -18,24 +18,28 @@ def labels_of(labels: DataFrame, leakage_type: str) -> DataFrame:
     return labels.filter(F.col("leakage_type") == leakage_type).select("order_id").distinct()
 
 
+def resolve_labels(labels: DataFrame, raw_orders: DataFrame) -> DataFrame:
+    """Labels with the customer record and time of their orders, before any deletion.
+
+    Stage the result: its file size then tells the planner whether it can be broadcast
+    to the large tables, which a join's estimate does not.
+    """
+    return labels.select("order_id", "leakage_type").join(
+        raw_orders.select("order_id", "customer_id", PURCHASED), "order_id"
+    )
+
+
 def truth_category_weeks(
-    labels: DataFrame,
-    raw_orders: DataFrame,
-    items: DataFrame,
-    products: DataFrame,
-    category_xlat: DataFrame,
+    resolved: DataFrame, items: DataFrame, products: DataFrame, category_xlat: DataFrame
 ) -> DataFrame:
     """Labelled item rows per week, category and leakage type.
 
-    Orders are resolved before any deletion, and categories are translated, so that the
-    keys are comparable with the detectors' keys. Labels without a week or a category
-    drop out, so the joins are inner ones and the few labels can be the broadcast side.
+    Categories are translated, so that the keys are comparable with the detectors' keys.
+    Labels without a week or a category drop out, so all joins are inner ones.
     """
-    dated = labels.join(raw_orders.select("order_id", PURCHASED), "order_id").select(
-        "order_id", "leakage_type", year_week(PURCHASED).alias("year_week")
-    )
     return (
-        dated.filter(F.col("year_week").isNotNull())
+        resolved.filter(F.col(PURCHASED).isNotNull())
+        .select("order_id", "leakage_type", year_week(PURCHASED).alias("year_week"))
         .join(items.select("order_id", "product_id"), "order_id")
         .join(product_categories(products, category_xlat), "product_id")
         .groupBy("year_week", "category_en", "leakage_type")
@@ -113,14 +117,10 @@ def evaluate_refund(
 
 
 def evaluate_churn(
-    churned: DataFrame,
-    labels: DataFrame,
-    raw_orders: DataFrame,
-    customers: DataFrame,
-    f1_of_rounded: bool = False,
+    churned: DataFrame, resolved: DataFrame, customers: DataFrame, f1_of_rounded: bool = False
 ) -> DataFrame:
-    """Judged by person; the labelled orders are deleted ones, so they come from the raw orders."""
-    lost = raw_orders.select("order_id", "customer_id").join(labels_of(labels, L3), "order_id", "left_semi")
+    """Judged by person; the labelled orders are deleted ones, so they come resolved."""
+    lost = resolved.filter(F.col("leakage_type") == L3).select("customer_id")
     people = lost.join(customers.select("customer_id", "customer_unique_id"), "customer_id")
     return evaluate(churned, people, ["customer_unique_id"], L3, f1_of_rounded=f1_of_rounded)
 

@@ -27,9 +27,8 @@ def target_rows(
     items: DataFrame,
     payments: DataFrame,
     categories: DataFrame,
-    *keys: str,
 ) -> DataFrame:
-    """Order rows of the targets' weeks and categories, by category and item ``keys``.
+    """Order rows of the targets' weeks and categories, by category and seller.
 
     The targets' weeks cut the orders and their categories cut the products before the
     large joins; the pair is matched at the end.
@@ -39,7 +38,7 @@ def target_rows(
     dated = facts.orders_with(
         orders.filter(F.col(PURCHASED).isNotNull()), [year_week(PURCHASED).alias("year_week")], "customer_id"
     ).join(weeks, "year_week", "left_semi")
-    lines = facts.category_lines(items, categories.join(names, "category_en", "left_semi"), *keys)
+    lines = facts.category_lines(items, categories.join(names, "category_en", "left_semi"), "seller_id")
     return facts.joined_rows(dated, lines, payments).join(targets.select(*TARGET), TARGET, "left_semi")
 
 

@@ -207,22 +207,23 @@ class Analysis:
     def rca_targets(self) -> DataFrame:
         return staged(rc.rca_targets(self.high_confidence))
 
-    def rca_rows(self, *keys: str) -> DataFrame:
-        return rc.target_rows(
-            self.rca_targets, self.orders, self.items, self.payments, facts.product_categories(*self.catalog), *keys
-        )
+    @cached_property
+    def rca_rows(self) -> DataFrame:
+        """The targets' rows, read by all three drill-downs."""
+        categories = facts.product_categories(*self.catalog)
+        return staged(rc.target_rows(self.rca_targets, self.orders, self.items, self.payments, categories))
 
     @cached_property
     def rca_state(self) -> DataFrame:
-        return rc.by_state(self.rca_rows("seller_id"), self.tables["sellers"])
+        return rc.by_state(self.rca_rows, self.tables["sellers"])
 
     @cached_property
     def rca_seller(self) -> DataFrame:
-        return rc.by_seller(self.rca_rows("seller_id"), self.tables["sellers"])
+        return rc.by_seller(self.rca_rows, self.tables["sellers"])
 
     @cached_property
     def rca_tier(self) -> DataFrame:
-        return rc.by_tier(self.rca_rows(), self.tables["customers"], self.customer_tiers)
+        return rc.by_tier(self.rca_rows, self.tables["customers"], self.customer_tiers)
 
     @cached_property
     def rca_report(self) -> DataFrame:
@@ -253,11 +254,13 @@ class Trial:
         self.planted = planted
         self.analysis = Analysis(planted, self.rules)
 
+    @cached_property
+    def resolved_labels(self) -> DataFrame:
+        return staged(ev.resolve_labels(self.labels, self.raw["orders"]))
+
     @cached_property
     def truth(self) -> DataFrame:
-        return ev.truth_category_weeks(
-            self.labels, self.raw["orders"], self.raw["order_items"], *self.analysis.catalog
-        )
+        return ev.truth_category_weeks(self.resolved_labels, self.raw["order_items"], *self.analysis.catalog)
 
     @cached_property
     def eval_zscore(self) -> DataFrame:
@@ -276,9 +279,7 @@ class Trial:
 
     def eval_l3(self, tuned: bool = True) -> DataFrame:
         flags = self.analysis.l3 if tuned else self.analysis.l3_first
-        return ev.evaluate_churn(
-            flags, self.labels, self.raw["orders"], self.raw["customers"], f1_of_rounded=not tuned
-        )
+        return ev.evaluate_churn(flags, self.resolved_labels, self.raw["customers"], f1_of_rounded=not tuned)
 
     def eval_l4(self, tuned: bool = True) -> DataFrame:
         if tuned:

@@ -26,16 +26,26 @@ def stage_dir(spark: SparkSession) -> str | None:
     return _local["dir"]
 
 
+def _delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Ask the file system to remove the folder when the driver's JVM shuts down."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as parquet to the shared folder and read back.
 
     Readers then share one computation and survive lost executors without repeating it.
     Readers of a plan are not always served by one shuffle: column pruning may leave them
-    with different ones. Without a shared folder the plan itself is returned.
+    with different ones. The files' size also tells the planner what it may broadcast.
+    The application's files go when it ends. Without a shared folder the plan itself is
+    returned.
     """
     folder = stage_dir(df.sparkSession)
     if folder is None:
         return df
-    path = f"{folder}/marginwatch-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    own = f"{folder}/marginwatch-{df.sparkSession.sparkContext.applicationId}"
+    path = f"{own}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _delete_at_exit(df.sparkSession, own)
     return df.sparkSession.read.schema(df.schema).parquet(path)

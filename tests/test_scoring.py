@@ -41,7 +41,8 @@ def test_f1_of_rounded_scores(spark):
 def test_truth_translates_and_drops_unresolved(spark, edge_tables):
     t = edge_tables
     labels = spark.createDataFrame([("a", L1), ("c", L1), ("e", L1), ("g", L3)], "order_id string, leakage_type string")
-    truth = ev.truth_category_weeks(labels, t["orders"], t["order_items"], t["products"], t["category_xlat"]).collect()
+    resolved = ev.resolve_labels(labels, t["orders"])
+    truth = ev.truth_category_weeks(resolved, t["order_items"], t["products"], t["category_xlat"]).collect()
     assert {(r.year_week, r.category_en) for r in truth} == {
         ("2018-W01", "toys"),
         ("2018-W01", "untranslated"),
@@ -103,7 +104,7 @@ def test_root_causes(spark, edge_tables):
         "year_week string, category_en string, revenue_gap double, z_score double",
     )
     categories = facts.product_categories(t["products"], t["category_xlat"])
-    rows = rc.target_rows(targets, t["orders"], t["order_items"], t["order_payments"], categories, "seller_id")
+    rows = rc.target_rows(targets, t["orders"], t["order_items"], t["order_payments"], categories)
     states, sellers = rc.by_state(rows, t["sellers"]), rc.by_seller(rows, t["sellers"])
     found = {(r.year_week, r.seller_state): (r.orders, r.revenue, r.cancellations) for r in states.collect()}
     assert found == {("2018-W01", "SP"): (2, 26.35, 1), ("2018-W02", "SP"): (1, 5.5, 0)}
@@ -114,8 +115,7 @@ def test_root_causes(spark, edge_tables):
         "Investigate seller unknown in unknown — cancel rate 0.0% in toys during 2018-W40"
     )
     tiers = spark.createDataFrame([("u1", "High"), ("u2", None)], "customer_unique_id string, tier string")
-    people = rc.target_rows(targets, t["orders"], t["order_items"], t["order_payments"], categories)
-    assert [(r.tier, r.orders, r.revenue) for r in rc.by_tier(people, t["customers"], tiers).collect()] == [("High", 3, 26.35)]
+    assert [(r.tier, r.orders, r.revenue) for r in rc.by_tier(rows, t["customers"], tiers).collect()] == [("High", 3, 26.35)]
     assert rp.rca_display(rc.rca_report(targets, states, sellers)).first().revenue_gap == "R$10"
 
 
