@@ -2,7 +2,7 @@
 
 Each function returns a few chosen order ids or the changed table. Choices are the first
 rows in a hash order of the id, so they repeat exactly. A choice has at most ``n`` rows,
-which bounds every broadcast of one.
+which the planner sees, so it broadcasts the usual few hundred and would shuffle many.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def sample_orders(orders: DataFrame, n: int, tag: str) -> DataFrame:
 
 def _marked(df: DataFrame, chosen: DataFrame) -> DataFrame:
     """Left join with the chosen ids; ``hit`` is true on their rows and null elsewhere."""
-    return df.join(F.broadcast(chosen.withColumn("hit", F.lit(True))), "order_id", "left")
+    return df.join(chosen.withColumn("hit", F.lit(True)), "order_id", "left")
 
 
 def _replaced(df: DataFrame, chosen: DataFrame, column: str, new: Column) -> DataFrame:
@@ -89,7 +89,7 @@ def churn_targets(
 
 
 def delete_orders(orders: DataFrame, chosen: DataFrame) -> DataFrame:
-    return orders.join(F.broadcast(chosen), "order_id", "left_anti")
+    return orders.join(chosen, "order_id", "left_anti")
 
 
 def lifecycle_targets(items: DataFrame, seller_rank: int = 6, n: int = 100) -> DataFrame:
@@ -103,7 +103,7 @@ def lifecycle_targets(items: DataFrame, seller_rank: int = 6, n: int = 100) -> D
         .filter(F.col("place") == seller_rank)
         .select("seller_id")
     )
-    orders = items.select("order_id", "seller_id").join(F.broadcast(largest), "seller_id", "left_semi")
+    orders = items.select("order_id", "seller_id").join(largest, "seller_id", "left_semi")
     return sample_orders(orders.select("order_id").distinct(), n, L4)
 
 

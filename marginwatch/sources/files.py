@@ -19,11 +19,7 @@ def read_csv(spark: SparkSession, path: str, table: str | None = None) -> DataFr
     some of them, or holding them in another order, still loads by name. Review
     texts span lines, so that table is read with quoted newlines allowed.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-    )
+    reader = spark.read.option("header", True).option("escape", '"')
     if table not in SCHEMAS:
         return reader.option("inferSchema", True).csv(path)
     if table == "order_reviews":
