@@ -1,6 +1,6 @@
 """Run registered queries in Spark and their SQL in DuckDB and compare the rows.
 
-    python tests/compare.py sf0.01 [query,query,...]
+    python tests/compare.py sf0.01|<folder> [query,query,...]
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ TABLES = (
 def duck(base: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for table in TABLES:
+        if not os.path.exists(f"{base}/{table}.parquet"):
+            continue
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{base}/{table}.parquet'")
     return con
 
@@ -54,7 +56,7 @@ def main() -> int:
 
     import __spark_entry__ as entry
 
-    base = f"/root/testdata/{sys.argv[1]}"
+    base = sys.argv[1] if "/" in sys.argv[1] else f"/root/testdata/{sys.argv[1]}"
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.ui.enabled", "false")

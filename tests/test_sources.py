@@ -55,6 +55,20 @@ def test_bucketed_tables_join_without_shuffling_the_large_sides(spark, edge_tabl
     assert metrics.overall_kpis(saved["orders"], saved["order_payments"]).first() == want
 
 
+def test_bucketed_lines_join_without_shuffling_orders_items_or_payments(spark, edge_tables):
+    saved = files.save_bucketed(edge_tables, 4, "c_")
+    categories = facts.product_categories(saved["products"], saved["category_xlat"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        lines = facts.category_lines(saved["order_items"], F.broadcast(categories))
+        rows = facts.joined_rows(facts.orders_with(saved["orders"], []), lines, saved["order_payments"])
+        plan = rows.groupBy("category_en").agg(F.count_distinct("order_id"))._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = [line for line in plan.toString().split("\n") if "Exchange hashpartitioning" in line]
+    assert not any("order_id" in line or "product_id" in line for line in shuffled), plan.toString()
+
+
 def test_staging_uses_the_shared_folder(spark):
     named = spark.sparkContext.getConf().get(stage.SETTING)
     assert stage.stage_dir(spark) == named
@@ -62,8 +76,9 @@ def test_staging_uses_the_shared_folder(spark):
     assert df.count() == 5 and named in df.inputFiles()[0]
 
 
-def test_full_run_writes_and_loads_every_result(spark, edge_tables, tmp_path):
-    counts = run.write_all(run.trial_results(edge_tables, "toys_own"), str(tmp_path))
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_full_run_writes_and_loads_every_result(spark, edge_tables, tmp_path, buckets):
+    counts = run.write_all(run.trial_results(edge_tables, "toys_own", buckets=buckets), str(tmp_path))
     assert counts["eval_df"] == 4 and counts["kpis"] == 1
     loaded = files.load_results(spark, str(tmp_path))
     assert set(loaded) == set(files.RESULT_TABLES)
