@@ -60,13 +60,15 @@ def evaluate(
     truth: DataFrame,
     keys: Sequence[str],
     detector: str,
+    count_rows: bool = False,
     flag_rows: DataFrame | None = None,
     f1_of_rounded: bool = False,
 ) -> DataFrame:
     """Flags, hits, misses, precision, recall and F1 over distinct keys: one row.
 
     Both key sets are stacked with a marker and grouped once, so a key's copies collapse
-    before the shuffle. ``flag_rows`` counts flags at another grain than the keys.
+    before the shuffle. The reported flags are the distinct flagged keys, with
+    ``count_rows`` the flagged rows, or the rows of ``flag_rows``.
     """
     marked = [
         side.select(*keys, F.lit(flag).alias("flag"), F.lit(1 - flag).alias("real"))
@@ -76,15 +78,19 @@ def evaluate(
         marked[0]
         .unionByName(marked[1])
         .groupBy(*keys)
-        .agg(F.max("flag").alias("flag"), F.max("real").alias("real"))
+        .agg(F.sum("flag").alias("rows"), F.max("flag").alias("flag"), F.max("real").alias("real"))
     )
     counts = sets.agg(
         F.count_if(F.col("flag") == 1).alias("keys"),
         F.count_if((F.col("flag") == 1) & (F.col("real") == 1)).alias("tp"),
         F.count_if((F.col("flag") == 1) & (F.col("real") == 0)).alias("fp"),
         F.count_if((F.col("flag") == 0) & (F.col("real") == 1)).alias("fn"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
     )
-    flags = F.col("keys") if flag_rows is None else flag_rows.agg(F.count(F.lit(1))).scalar()
+    if flag_rows is not None:
+        flags = flag_rows.agg(F.count(F.lit(1))).scalar()
+    else:
+        flags = F.col("rows" if count_rows else "keys")
     precision, recall = _rate(F.col("tp"), F.col("keys")), _rate(F.col("tp"), F.col("tp") + F.col("fn"))
     rounded = (F.round(precision, 3), F.round(recall, 3))
     return counts.select(
@@ -113,7 +119,7 @@ def evaluate_refund(
     """Judged by week; labelled orders are looked up in the orders the detector saw."""
     dated = orders.filter(F.col(PURCHASED).isNotNull()).select("order_id", year_week(PURCHASED).alias("year_week"))
     weeks = dated.join(labels_of(labels, L2), "order_id", "left_semi")
-    return evaluate(spikes, weeks, ["year_week"], L2, flag_rows=spikes, f1_of_rounded=f1_of_rounded)
+    return evaluate(spikes, weeks, ["year_week"], L2, count_rows=True, f1_of_rounded=f1_of_rounded)
 
 
 def evaluate_churn(

@@ -26,7 +26,8 @@ def test_scores_guard_zero(spark, flags, truth, want):
 
 def test_flags_may_be_counted_at_another_grain(spark):
     flags = _keys(spark, "a", "a", "b")
-    assert ev.evaluate(flags, _keys(spark, "a"), ["order_id"], "x", flag_rows=flags).first().flags == 3
+    assert ev.evaluate(flags, _keys(spark, "a"), ["order_id"], "x", count_rows=True).first().flags == 3
+    assert ev.evaluate(flags, _keys(spark, "a"), ["order_id"], "x", flag_rows=flags.limit(1)).first().flags == 1
 
 
 def test_f1_of_rounded_scores(spark):
