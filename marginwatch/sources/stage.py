@@ -10,42 +10,44 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
-_local: dict[str, str] = {}
+_named: dict[str, str] = {}
 
 
-def stage_dir(spark: SparkSession) -> str | None:
-    """The shared folder named by the session; a temporary one only in local mode."""
-    named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    if "dir" not in _local:
-        _local["dir"] = tempfile.mkdtemp(prefix="marginwatch-")
-        atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
-    return _local["dir"]
+def use_stage_dir(folder: str) -> None:
+    """Name the shared folder for sessions that do not set ``spark.checkpoint.dir``."""
+    _named["dir"] = folder
 
 
-def _delete_at_exit(spark: SparkSession, folder: str) -> None:
-    """Ask the file system to remove the folder when the driver's JVM shuts down."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+def use_temporary_stage_dir() -> None:
+    """For tests and single-machine runs: a folder that goes when the process ends."""
+    if "dir" not in _named:
+        use_stage_dir(tempfile.mkdtemp(prefix="marginwatch-"))
+        atexit.register(shutil.rmtree, _named["dir"], ignore_errors=True)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written as parquet to the shared folder and read back.
+def setting(spark: SparkSession) -> str | None:
+    return spark.conf.get(SETTING, None)
+
+
+def stage_dir(spark: SparkSession) -> str:
+    """The shared folder, the same for every master; an error if none is named."""
+    folder = setting(spark) or _named.get("dir")
+    if not folder:
+        raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
+    return folder
+
+
+def staged(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written as parquet to the shared folder and read back. This runs jobs at once.
 
     Readers then share one computation and survive lost executors without repeating it.
     Readers of a plan are not always served by one shuffle: column pruning may leave them
-    with different ones. The files' size also tells the planner what it may broadcast.
-    The application's files go when it ends. Without a shared folder the plan itself is
-    returned.
+    with different ones. The files' size also tells the planner what it may broadcast. With
+    ``by`` the rows are kept apart by that column, and a filter on it reads its files only.
+    Each run writes to a folder of its own, under the application's id.
     """
-    folder = stage_dir(df.sparkSession)
-    if folder is None:
-        return df
-    own = f"{folder}/marginwatch-{df.sparkSession.sparkContext.applicationId}"
-    path = f"{own}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _delete_at_exit(df.sparkSession, own)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{stage_dir(spark)}/marginwatch-{spark.conf.get('spark.app.id')}/{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
