@@ -17,6 +17,8 @@ from marginwatch.llm.components import components
 
 WIDTH = 5
 BANDS, ROWS = 16, 4
+# Counters that order shingles by frequency; their number is fixed and so is what the driver sees.
+COUNTERS = 1 << 16
 # Fixed odd multipliers of the word combination and of the two permutations.
 MIX = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64
@@ -119,6 +121,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(held.select("a", "b", "x", "y"), f"a {kind}, b {kind}, similarity double", make)
 
 
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, shingle, i): of each set so many of its rarest shingles that similar sets share one.
+
+    Sets of similarity t have a common shingle among the first n - ceil(t n) + 1 of each, in any
+    order of shingles; i is the place in it. Rare ones come first here, by counters of a fixed number for all shingles, so
+    that passages which many texts share propose nothing.
+    """
+
+    def count():
+        total = np.zeros(COUNTERS, np.int64)
+
+        def each(batch: pa.RecordBatch):
+            for x in batch.column("members").to_pylist():
+                np.add.at(total, (np.frombuffer(x, np.uint64) % np.uint64(COUNTERS)).astype(np.int64), 1)
+            return []
+
+        def finish():
+            at = np.flatnonzero(total)
+            yield {"at": at, "n": total[at]}
+
+        each.finish = finish
+        return each
+
+    counted = map_batches(sets.select("members"), "at long, n long", count).groupBy("at").agg(F.sum("n").alias("n"))
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in counted.collect():
+        counts[r["at"]] = r["n"]
+
+    def first():
+        def each(batch: pa.RecordBatch):
+            ids, found, places = [], [], []
+            for k, x in zip(batch.column("id").to_pylist(), batch.column("members").to_pylist(), strict=True):
+                a = np.frombuffer(x, np.uint64)
+                n = len(a) - -(-percent * len(a) // 100) + 1
+                order = np.lexsort((a, counts[(a % np.uint64(COUNTERS)).astype(np.int64)]))[:n]
+                ids.append(np.full(len(order), k, np.int64))
+                found.append(a[order].view(np.int64))
+                places.append(np.arange(len(order)))
+            columns = {"id": ids, "shingle": found, "i": places}
+            return {name: np.concatenate([np.empty(0, np.int64), *parts]) for name, parts in columns.items()}
+
+        return each
+
+    return map_batches(sets.select("id", "members"), "id long, shingle long, i long", first)
+
+
 def _bands(classes: DataFrame) -> DataFrame:
     """One row per class and band: the band's coordinates, with the band's number, as ``bucket``."""
     width = 4 * ROWS
@@ -128,13 +176,14 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("id", "n", F.explode(bands).alias("bucket"))
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 85, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
 
     Rows with equal shingle sets form one class, represented by its smallest doc_id; only classes
     are compared. In every bucket of a band the members are compared with one member of the bucket,
-    drawn anew each round, as long as they are not yet connected; members still apart after
-    ``rounds`` draws are compared pair by pair, if sizes and signatures allow similarity at all.
+    drawn anew each round, as long as they are not yet connected. Members still apart after
+    ``rounds`` draws are compared if they share one of their rarest shingles, which similar sets
+    must, and if sizes and signatures allow similarity at all.
     Links in a bucket whose members are connected already cannot change a component, so none is
     lost, and a group of thousands of near copies costs a few comparisons per member.
 
@@ -175,15 +224,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, rounds: int = 3) -> D
                 "bucket",
             ).where(f"component <> c and {fits}")
         else:
-            signed = now.join(classes.select("id", "signature"), "id")
-            right = signed.select(
-                "bucket",
-                F.col("id").alias("other"),
-                F.col("n").alias("m"),
-                F.col("component").alias("c"),
-                F.col("signature").alias("s"),
+            apart = now.select("id").distinct()
+            left = _prefixes(sets.join(apart, "id", "left_semi"), percent).join(
+                now.select("id", "component").distinct().join(classes.select("id", "n", "signature"), "id"), "id"
+            )
+            left = staged(left)
+            right = left.toDF("other", "shingle", "j", "c", "m", "s")
+            # the smaller set's first common shingle is early, and what follows both must suffice
+            right = right.where(f"j <= m - ceil(2 * {percent} * m / {100 + percent})")
+            enough = f"{100 + percent} * least(n - i, m - j) >= {percent} * (n + m)"
+            pairs = left.join(right, "shingle").where(
+                f"(n > m or (n = m and id < other)) and component <> c and {fits} and {enough}"
             )
-            pairs = signed.join(right, "bucket").where(f"id < other and component <> c and {fits}").where(_may_agree())
+            pairs = pairs.where(_may_agree())
         pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
