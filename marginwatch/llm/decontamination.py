@@ -10,7 +10,7 @@ edit distance decides them.
 from __future__ import annotations
 
 import math
-import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -18,26 +18,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from marginwatch.llm.common import map_batches, staged
 
-WORD = re.compile(r"[^\W_]+")
-SAMPLE = 3
-WALKS = 4
-MOST_REPEATS = 96
+PLAIN = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
+SAMPLE = 4
+WALKS = 2
+MOST_REPEATS = 160
 
 
-def normal(text: str | None) -> tuple[str, list[str]]:
-    """Lower-case words joined by single blanks, and the words."""
-    words = WORD.findall((text or "").lower())
-    return " ".join(words), words
-
-
-def symbols(text: str) -> np.ndarray:
-    """One number from 1 to 251 per code point; 0 is left for the padding."""
-    return (np.frombuffer(text.encode("utf-32-le", "replace"), "<u4") % 251 + 1).astype(np.uint8)
+def normal(text: str | None) -> tuple[bytes, list[bytes]]:
+    """UTF-8 words joined by single blanks, and the words: ASCII letters in lower case, every ASCII
+    character that is neither letter nor digit a blank."""
+    words = (text or "").encode("utf-8", "replace").translate(PLAIN).split()
+    return b" ".join(words), words
 
 
 def walk(padded: np.ndarray, steps: int, seed: int) -> np.ndarray:
     """CGK walks of the rows of ``padded`` (0 after each end): one symbol per step."""
-    coins = np.random.default_rng(seed).integers(0, 2, (steps, 252), dtype=np.int64)
+    coins = np.random.default_rng(seed).integers(0, 2, (steps, 256), dtype=np.int64)
     n, width = padded.shape
     at, rows = np.zeros(n, np.int64), np.arange(n)
     out = np.zeros((n, steps), np.uint8)
@@ -48,14 +44,14 @@ def walk(padded: np.ndarray, steps: int, seed: int) -> np.ndarray:
     return out
 
 
-def _padded(texts: list[str], width: int) -> np.ndarray:
+def _padded(texts: list[bytes], width: int) -> np.ndarray:
     out = np.zeros((len(texts), width + 1), np.uint8)
     for k, t in enumerate(texts):
-        out[k, : len(t)] = symbols(t)
+        out[k, : len(t)] = np.frombuffer(t, np.uint8)
     return out
 
 
-def bit_hashes(texts: list[str], sizes: np.ndarray, repeats: int) -> np.ndarray:
+def bit_hashes(texts: list[bytes], sizes: np.ndarray, repeats: int) -> np.ndarray:
     """(texts, repeats) hashes of samples of the walks; ``sizes`` scale the sampled steps."""
     steps = 2 * int(sizes.max()) + 1
     padded = _padded(texts, max(map(len, texts)))
@@ -72,7 +68,7 @@ def bit_hashes(texts: list[str], sizes: np.ndarray, repeats: int) -> np.ndarray:
     return out
 
 
-def repeats_needed(items: list[str], share: float, recall: float) -> int:
+def repeats_needed(items: list[bytes], share: float, recall: float) -> int:
     """Repetitions until an item edited at ``share`` of its symbols meets itself with ``recall``.
 
     Measured on at most 64 items under random edits with a fixed seed, and bounded by MOST_REPEATS.
@@ -86,12 +82,12 @@ def repeats_needed(items: list[str], share: float, recall: float) -> int:
         for _ in range(int(share * len(t))):
             at, what = int(rng.integers(0, max(1, len(letters)))), int(rng.integers(0, 3))
             if what == 0 and letters:
-                letters[min(at, len(letters) - 1)] = "e"
+                letters[min(at, len(letters) - 1)] = 101
             elif what == 1 and len(letters) > 1:
                 del letters[min(at, len(letters) - 1)]
             else:
-                letters.insert(at, "n")
-        edited.append("".join(letters))
+                letters.insert(at, 110)
+        edited.append(bytes(letters))
     sizes = np.array([len(t) for t in some])
     same = bit_hashes(some, sizes, MOST_REPEATS) == bit_hashes(edited, sizes, MOST_REPEATS)
     found = np.maximum.accumulate(same, axis=1).mean(0)
@@ -99,13 +95,13 @@ def repeats_needed(items: list[str], share: float, recall: float) -> int:
     return int(enough[0]) + 1 if len(enough) else MOST_REPEATS
 
 
-def best_match(item: str, text: str, most: int) -> tuple[int, int] | None:
+def best_match(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
     """(edits, end) of the substring of ``text`` nearest to ``item``, None above ``most`` edits.
 
     Bit-parallel dynamic programming with free start and end in the text.
     """
     n = len(item)
-    masks: dict[str, int] = {}
+    masks: dict[int, int] = {}
     for k, c in enumerate(item):
         masks[c] = masks.get(c, 0) | (1 << k)
     full, top = (1 << n) - 1, 1 << (n - 1)
@@ -123,7 +119,7 @@ def best_match(item: str, text: str, most: int) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
-def locate(item: str, text: str, most: int) -> tuple[int, int, int] | None:
+def locate(item: bytes, text: bytes, most: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the nearest substring, or None above ``most`` edits."""
     at = text.find(item)
     if at >= 0:
@@ -136,23 +132,61 @@ def locate(item: str, text: str, most: int) -> tuple[int, int, int] | None:
     return edits, end - (back[1] if back else len(item)), end
 
 
-def _index(items: list[tuple[int, str]], share: float, recall: float, anchors: int) -> dict:
+def _index(items: list[tuple[int, bytes]], share: float, recall: float, anchors: int) -> dict:
     texts = [t for _, t in items]
     sizes = np.array([len(t) for t in texts])
     repeats = repeats_needed(texts, share, recall)
     hashes = bit_hashes(texts, sizes, repeats)
     order = np.argsort(hashes, axis=None, kind="stable")
-    starts: dict[str, list[tuple[int, int]]] = {}
-    for _, t in items:
-        offsets: dict[str, int] = {}
+    starts: dict[bytes, list[tuple[int, int]]] = {}
+    alone = set()
+    for k, t in enumerate(texts):
+        offsets: dict[bytes, int] = {}
         at = 0
-        for w in t.split(" "):
+        for w in t.split():
             offsets.setdefault(w, at)
             at += len(w) + 1
-        for w in sorted(offsets, key=lambda w: (-len(w), w))[:anchors]:
-            if (offsets[w], len(t)) not in starts.setdefault(w, []):
-                starts[w].append((offsets[w], len(t)))
-    return {"repeats": repeats, "keys": hashes.ravel()[order], "items": order // repeats, "starts": starts}
+        order_ = sorted(offsets, key=lambda w: (-len(w), w))
+        chosen = [w for w in order_ if len(w) >= 4][: min(anchors, max(4, len(order_) // 2))]
+        if len(chosen) < 4:
+            chosen = order_[:4]
+            alone.add(k)
+        for w in chosen:
+            starts.setdefault(w, []).append((k, offsets[w]))
+    return {
+        "repeats": repeats,
+        "keys": hashes.ravel()[order],
+        "items": order // repeats,
+        "starts": starts,
+        "alone": alone,
+        "slack": [max(4, int(share * n)) for n in sizes],
+        "sizes": sizes.tolist(),
+    }
+
+
+def _windows(words: list[bytes], met: set[bytes], index: dict) -> set[tuple[int, int]]:
+    """(start, size) of the windows of a text: where two anchors of an item nearly agree on a start.
+
+    An item with fewer than four words to choose from needs one.
+    """
+    votes: dict[int, list[tuple[int, int]]] = {}
+    starts, ends = index["starts"], list(accumulate(map(len, words)))
+    for i in [i for i, w in enumerate(words) if w in met]:
+        at = ends[i] + i - len(words[i])
+        for k, offset in starts[words[i]]:
+            votes.setdefault(k, []).append((at - offset, offset))
+    length = ends[-1] + len(ends)
+    found = set()
+    for k, given in votes.items():
+        size, slack = index["sizes"][k], index["slack"][k]
+        given.sort()
+        if k in index["alone"]:
+            found.update((x, size) for x, _ in given)
+        elif len(given) > 1:
+            for (x, one), (y, other) in zip(given, given[1:], strict=False):
+                if y - x <= slack and one != other:
+                    found.update(((x, size), (y, size)))
+    return {(start, size) for start, size in found if start > -size // 4 and start + size // 2 < length}
 
 
 def find_items(
@@ -161,17 +195,17 @@ def find_items(
     *,
     share: float = 0.1,
     recall: float = 0.95,
-    anchors: int = 12,
+    anchors: int = 24,
     most_items: int = 20_000,
     min_length: int = 12,
 ) -> DataFrame:
     """doc_id, item_id, edits, start, end: the best occurrence of every item in every row of ``docs``.
 
-    An item occurs where a passage lies within ``share`` of its length in edits, both taken as
-    lower-case words joined by blanks; start and end are code points of that form of the text. Items
+    An item occurs where a passage lies within ``share`` of its length in edits, both taken as UTF-8
+    bytes of their words (see ``normal``); start and end are bytes of that form of the text. Items
     are searched in blocks of ``most_items``, so what goes with a task is bounded whatever the size
-    of the benchmark. Windows have the item's size and start where one of its ``anchors`` longest
-    words puts them. Items shorter than ``min_length``, null and empty ones are never found; equal
+    of the benchmark. Windows have the item's size and start where two of its ``anchors`` longest
+    words agree to put them. Items shorter than ``min_length``, null and empty ones are never found; equal
     items are found separately. Every document is read whole, once per block, without a shuffle.
     """
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
@@ -191,14 +225,13 @@ def find_items(
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _searcher(items: list[tuple[int, str]], share: float, recall: float, anchors: int):
+def _searcher(items: list[tuple[int, bytes]], share: float, recall: float, anchors: int):
     index = _index(items, share, recall, anchors)
 
     def make():
-        starts, keys, owners = index["starts"], index["keys"], index["items"]
-        words_of_items = starts.keys()
+        keys, owners, words_of_items = index["keys"], index["items"], index["starts"].keys()
 
-        def candidates(windows: list[tuple[int, int, int]], texts: dict[int, str]) -> set[tuple[int, int, int]]:
+        def candidates(windows: list[tuple[int, int, int]], texts: dict[int, bytes]) -> set[tuple[int, int, int]]:
             found = set()
             for i in range(0, len(windows), 4096):
                 part = windows[i : i + 4096]
@@ -220,14 +253,7 @@ def _searcher(items: list[tuple[int, str]], share: float, recall: float, anchors
                 met = words_of_items & set(words)
                 if met:
                     texts[k] = whole
-                    at, seen = 0, set()
-                    for w in words:
-                        if w in met:
-                            seen.update((at - offset, size) for offset, size in starts[w])
-                        at += len(w) + 1
-                    windows.extend(
-                        (k, start, size) for start, size in sorted(seen) if start > -size // 4 and start + size // 2 < at
-                    )
+                    windows.extend((k, start, size) for start, size in sorted(_windows(words, met, index)))
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             for k, item, start in sorted(candidates(windows, texts)):
                 before = best.get((k, item))

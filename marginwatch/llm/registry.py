@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginwatch.llm import bpe, quality, resharding, toxicity
+from marginwatch.llm import (
+    bpe,
+    decontamination,
+    multi_index,
+    near_dedup,
+    quality,
+    resharding,
+    secret_scan,
+    token_counts,
+    toxicity,
+    training_order,
+)
 from marginwatch.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,12 +63,51 @@ def op8_bpe(spark: SparkSession, base: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, _ranks(), decoded=True))
 
 
+def op3_near_vectors(spark: SparkSession, base: str) -> DataFrame:
+    return multi_index.near_vectors(read(spark, base, "embeddings"))
+
+
+def op4_token_counts(spark: SparkSession, base: str) -> DataFrame:
+    """Token counts of every text before and after three edits derived from it."""
+    docs = read(spark, base, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return token_counts.count_tokens(docs.withColumn("edits", token_counts.derived_edits()), _ranks())
+
+
+def op5_training_order(spark: SparkSession, base: str) -> DataFrame:
+    return training_order.materialise(read(spark, base, "documents"), _ranks())
+
+
+def op7_secret_scan(spark: SparkSession, base: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(read(spark, base, "documents")))
+
+
+def op9_near_dedup(spark: SparkSession, base: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, base, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, base: str) -> DataFrame:
+    return decontamination.find_items(read(spark, base, "documents"), read(spark, base, "benchmark"))
+
+
+def pipeline(spark: SparkSession, base: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, base)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_resharding": op2_resharding,
+        "op3_near_vectors": op3_near_vectors,
+        "op4_token_counts": op4_token_counts,
+        "op5_training_order": op5_training_order,
         "op6_quality": op6_quality,
+        "op7_secret_scan": op7_secret_scan,
         "op8_bpe": op8_bpe,
+        "op9_near_dedup": op9_near_dedup,
+        "op10_decontamination": op10_decontamination,
+        "pipeline": pipeline,
     }
 
 
