@@ -10,6 +10,7 @@ the table of token bytes, which holds one row per id of the vocabulary and goes
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,11 +67,29 @@ def unpack(packed: bytes) -> np.ndarray:
     return planes.T.copy().view("<u4").ravel()
 
 
-def _cut(docs: DataFrame, pattern: str, chunk_pretokens: int, chunk_words: int) -> DataFrame:
-    """Rows of documents (``packed``) and of dictionary words (``word``, its number ``at``), by chunk."""
+def pack_all(*arrays: np.ndarray, rest: bytes = b"") -> bytes:
+    """Arrays of one length, and bytes, as one compressed block."""
+    n = np.array([len(arrays[0])], "<u4").tobytes()
+    planes = [a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays]
+    return zstandard.compress(n + b"".join(planes) + rest, 3)
+
+
+def unpack_all(packed: bytes, arrays: int) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.decompress(packed)
+    n, at, out = int(np.frombuffer(raw[:4], "<u4")[0]), 4, []
+    for _ in range(arrays):
+        planes = np.frombuffer(raw[at : at + 4 * n], np.uint8).reshape(4, -1)
+        out.append(planes.T.copy().view("<u4").ravel())
+        at += 4 * n
+    return out, raw[at:]
+
+
+def _cut(docs: DataFrame, pattern: str, parts: int, chunk_pretokens: int, chunk_words: int) -> DataFrame:
+    """By chunk, rows of documents (``packed``) and of dictionary words: a block for each of ``parts``
+    parts of all words, with the words of the chunk in it and their numbers."""
     names = [f.name for f in docs.schema if f.name != "text"]
     others = [StructField(f.name, f.dataType) for f in docs.schema if f.name != "text"]
-    extra = StructType.fromDDL("chunk__ long, packed__ binary, at__ int, word__ string, kind__ string").fields
+    extra = StructType.fromDDL("chunk__ long, packed__ binary, part__ int, kind__ string").fields
 
     def make():
         find = regex.compile(pattern).findall
@@ -80,17 +99,22 @@ def _cut(docs: DataFrame, pattern: str, chunk_pretokens: int, chunk_words: int)
 
         def close() -> Iterator[dict]:
             nonlocal chunk, used
-            words = list(numbers)
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                yield {
-                    **dict.fromkeys(names, [None] * len(part)),
-                    "chunk__": [chunk] * len(part),
-                    "packed__": [None] * len(part),
-                    "at__": range(i, i + len(part)),
-                    "word__": part,
-                    "kind__": ["word"] * len(part),
-                }
+            dealt: list[tuple[list[bytes], list[int]]] = [([], []) for _ in range(parts)]
+            for at, word in enumerate(numbers):
+                raw = word.encode("utf-8", "surrogatepass")
+                words, ats = dealt[zlib.crc32(raw) % parts]
+                words.append(raw)
+                ats.append(at)
+            for k, (words, ats) in enumerate(dealt):
+                if words:
+                    lengths, steps = np.array([len(w) for w in words]), np.diff(np.array(ats), prepend=0)
+                    yield {
+                        **dict.fromkeys(names, [None]),
+                        "chunk__": [chunk],
+                        "packed__": [pack_all(lengths, steps, rest=b"".join(words))],
+                        "part__": [k],
+                        "kind__": ["word"],
+                    }
             numbers.clear()
             chunk, used = chunk + 1, 0
 
@@ -108,8 +132,7 @@ def _cut(docs: DataFrame, pattern: str, chunk_pretokens: int, chunk_words: int)
                         **{name: part.column(part.schema.get_field_index(name)) for name in names},
                         "chunk__": [chunk] * n,
                         "packed__": packed,
-                        "at__": [None] * n,
-                        "word__": [None] * n,
+                        "part__": [None] * n,
                         "kind__": ["doc"] * n,
                     }
                     begun, packed = k + 1, []
@@ -140,27 +163,35 @@ def encode(
     """
     fields = [StructField(f.name, f.dataType) for f in docs.schema if f.name != "text"]
     names = [f.name for f in fields]
-    pieces = staged(_cut(docs, pattern, chunk_pretokens, chunk_words), by="kind__")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = staged(_cut(docs, pattern, parts, chunk_pretokens, chunk_words), by="kind__")
     packed = pieces.where("kind__ = 'doc'").select(*names, "chunk__", "packed__")
-    words = pieces.where("kind__ = 'word'").select("chunk__", "at__", "word__")
+    words = pieces.where("kind__ = 'word'").select("chunk__", "part__", "packed__")
 
     def encoder():
         one = encoding(ranks, pattern).encode_ordinary
-        memo: dict[str, bytes] = {}
+        memo: dict[bytes, list[int]] = {}
 
         def each(batch):
-            out = []
-            for word in batch.column("word__").to_pylist():
-                ids = memo.get(word)
-                if ids is None:
-                    ids = memo[word] = np.array(one(word), "<i4").tobytes()
-                out.append(ids)
-            return {"chunk__": batch.column("chunk__"), "at__": batch.column("at__"), "ids__": out}
+            chunks, out = batch.column("chunk__"), []
+            for block in batch.column("packed__").to_pylist():
+                (lengths, steps), raw = unpack_all(block, 2)
+                at, counts, ids = 0, [], []
+                for n in lengths.tolist():
+                    word = raw[at : at + n]
+                    at += n
+                    found = memo.get(word)
+                    if found is None:
+                        found = memo[word] = one(word.decode("utf-8", "surrogatepass"))
+                    counts.append(len(found))
+                    ids += found
+                out.append(pack_all(np.array(counts), steps, rest=pack(np.array(ids, np.uint32))))
+            return {"chunk__": chunks, "coded__": out}
 
         return each
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    coded = map_batches(words.repartition(parts, "word__"), "chunk__ long, at__ int, ids__ binary", encoder)
+    # every occurrence of a word is in the same part, so it is encoded once
+    coded = map_batches(words.repartition(parts, "part__"), "chunk__ long, coded__ binary", encoder)
 
     result = StructType([*fields, StructField("ids", ArrayType(IntegerType(), False))])
     if decoded:
@@ -172,9 +203,13 @@ def encode(
 
     def assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
         table = token_bytes(ranks) if decoded else []
-        ids_of: list[bytes] = [b""] * right.num_rows
-        for at, ids in zip(right.column("at__").to_pylist(), right.column("ids__").to_pylist(), strict=True):
-            ids_of[at] = ids
+        held: dict[int, bytes] = {}
+        for block in right.column("coded__").to_pylist():
+            (counts, steps), raw = unpack_all(block, 2)
+            ids, ends = unpack(raw).astype("<i4"), np.cumsum(counts).tolist()
+            for at, low, high in zip(np.cumsum(steps).tolist(), [0, *ends], ends, strict=False):
+                held[at] = ids[low:high].tobytes()
+        ids_of = [held[k] for k in range(len(held))]
         counts = np.array([len(x) // 4 for x in ids_of], np.int64)
         bytes_of = [b"".join([table[i] for i in np.frombuffer(x, "<i4").tolist()]) for x in ids_of] if decoded else []
         flat, lengths, texts = [], [], []
