@@ -21,7 +21,7 @@ from marginwatch.llm.common import map_batches, staged
 PLAIN = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
 SAMPLE = 4
 WALKS = 2
-MOST_REPEATS = 160
+LEAST_REPEATS, MOST_REPEATS = 32, 160
 
 
 def normal(text: str | None) -> tuple[bytes, list[bytes]]:
@@ -71,11 +71,13 @@ def bit_hashes(texts: list[bytes], sizes: np.ndarray, repeats: int) -> np.ndarra
 def repeats_needed(items: list[bytes], share: float, recall: float) -> int:
     """Repetitions until an item edited at ``share`` of its symbols meets itself with ``recall``.
 
-    Measured on at most 64 items under random edits with a fixed seed, and bounded by MOST_REPEATS.
+    Measured on 64 or more random edits of at most 64 items, with a fixed seed, and kept between
+    LEAST_REPEATS and MOST_REPEATS.
     """
     rng, some = np.random.default_rng(5), [t for t in items if t][:64]
     if not some:
-        return WALKS
+        return LEAST_REPEATS
+    some = some * math.ceil(64 / len(some))
     edited = []
     for t in some:
         letters = list(t)
@@ -92,7 +94,7 @@ def repeats_needed(items: list[bytes], share: float, recall: float) -> int:
     same = bit_hashes(some, sizes, MOST_REPEATS) == bit_hashes(edited, sizes, MOST_REPEATS)
     found = np.maximum.accumulate(same, axis=1).mean(0)
     enough = np.flatnonzero(found >= recall)
-    return int(enough[0]) + 1 if len(enough) else MOST_REPEATS
+    return max(LEAST_REPEATS, int(enough[0]) + 1) if len(enough) else MOST_REPEATS
 
 
 def best_match(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
