@@ -22,7 +22,3 @@ def draw(digest_hex: Column) -> Column:
     """Integer in [0, 2**28) from a digest."""
     return F.conv(F.substring(digest_hex, 1, 7), 16, 10).cast("long")
 
-
-def step(x: Column) -> Column:
-    """Next state of the generator."""
-    return (x * F.lit(MULTIPLIER)) % F.lit(MODULUS)

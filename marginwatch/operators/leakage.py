@@ -88,11 +88,13 @@ def refund_spikes(
     items: DataFrame,
     products: DataFrame,
     category_xlat: DataFrame,
+    weeks: int = RULES.window_weeks,
+    min_weeks: int = RULES.min_weeks,
     sigmas: float = RULES.refund_sigmas,
 ) -> DataFrame:
     """L2: category weeks whose cancellation rate spikes."""
     rates = refund_rates(orders, items, products, category_xlat)
-    return refund_baseline(rates, sigmas=sigmas).filter("is_refund_spike")
+    return refund_baseline(rates, weeks, min_weeks, sigmas).filter("is_refund_spike")
 
 
 def silent_churn(

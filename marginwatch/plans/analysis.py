@@ -160,7 +160,10 @@ class Analysis:
 
     @cached_property
     def l2(self) -> DataFrame:
-        return lk.refund_spikes(self.orders, self.items, *self.catalog, sigmas=self.rules.refund_sigmas)
+        r = self.rules
+        return lk.refund_spikes(
+            self.orders, self.items, *self.catalog, r.window_weeks, r.min_weeks, r.refund_sigmas
+        )
 
     @cached_property
     def l3_first(self) -> DataFrame:

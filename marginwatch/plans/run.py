@@ -1,7 +1,9 @@
 """A full run: source tables in, every result table out.
 
-    spark-submit --py-files ... marginwatch/plans/run.py <input folder> <output folder> [csv|parquet] [buckets]
+    python -m marginwatch.plans.run <input folder> <output folder> [csv|parquet] [buckets] [--trial]
 
+The tables are analysed as they are. ``--trial`` also plants labelled leakage in a copy of them, and
+writes what the detectors make of that copy, with scores, to the folder ``trial`` of the output.
 With a bucket count the large tables are first laid out by order id. That is one shuffle
 of each; the dozen results that join or group them by order id then need none.
 """
@@ -9,13 +11,14 @@ of each; the dozen results that join or group them by order id then need none.
 from __future__ import annotations
 
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from marginwatch.plans.analysis import Analysis, Trial
 from marginwatch.rules import RULES, Rules
 from marginwatch.sources.files import read_tables, save_bucketed, save_result
-from marginwatch.sources.stage import staged
+from marginwatch.sources.stage import setting, staged, use_temporary_stage_dir
 
 Tables = dict[str, DataFrame]
 
@@ -23,9 +26,9 @@ Tables = dict[str, DataFrame]
 SPIKE_CATEGORY = "cama_mesa_banho"
 
 
-def results(tables: Tables, rules: Rules = RULES) -> Tables:
-    """Result tables by name, for tables that already hold whatever leakage they hold."""
-    a = Analysis(tables, rules)
+def results(tables: Tables, rules: Rules = RULES, analysis: Analysis | None = None) -> Tables:
+    """Result tables by name, for the tables as they are."""
+    a = analysis or Analysis(tables, rules)
     return {
         "quality": a.dq_report,
         "overall": a.overall_kpis,
@@ -46,7 +49,7 @@ def results(tables: Tables, rules: Rules = RULES) -> Tables:
         "l1": a.l1,
         "l2": a.l2,
         "l3": a.l3,
-        "l4": a.l4,
+        "l4": a.l4_flags,
         "risk": a.detector_totals,
         "rca": a.rca_report,
         "kpis": a.summary_kpis,
@@ -58,17 +61,17 @@ def trial_results(
 ) -> Tables:
     """All results on tables with planted leakage, plus labels and scores."""
     if buckets:
-        raw = save_bucketed(raw, buckets, "marginwatch_raw_")
+        raw = save_bucketed(raw, buckets, f"marginwatch_raw_{uuid.uuid4().hex}_")
     trial = Trial(raw, category, rules)
     changed = {name: trial.planted[name] for name in ("orders", "order_payments")}
     if buckets:
-        changed = save_bucketed(changed, buckets, "marginwatch_planted_")
+        changed = save_bucketed(changed, buckets, f"marginwatch_planted_{uuid.uuid4().hex}_")
     else:
         changed = {name: staged(df) for name, df in changed.items()}
     planted = {**trial.planted, **changed}
     trial.use(planted)
     return {
-        **results(planted, rules),
+        **results(planted, rules, trial.analysis),
         "labels": trial.labels,
         "truth": trial.truth,
         "eval_weekly": trial.eval_zscore.unionByName(trial.eval_forest),
@@ -83,13 +86,25 @@ def write_all(tables: Tables, folder: str, fmt: str = "parquet") -> dict[str, in
 
 
 def main(argv: list[str]) -> None:
-    source, target, *rest = argv
+    source, target, *rest = [a for a in argv if a != "--trial"]
     fmt = rest[0] if rest else "csv"
     buckets = int(rest[1]) if len(rest) > 1 else None
     spark = SparkSession.builder.appName("marginwatch").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    counts = write_all(trial_results(read_tables(spark, source, fmt), buckets=buckets), target)
+    if not setting(spark) and spark.conf.get("spark.master", "").startswith("local["):
+        use_temporary_stage_dir()
+    given = tables = read_tables(spark, source, fmt)
+    prefix = f"marginwatch_{uuid.uuid4().hex}_"
+    if buckets:
+        tables = save_bucketed(given, buckets, prefix)
+    counts = write_all(results(tables), target)
+    if "--trial" in argv:
+        trial = write_all(trial_results(given, buckets=buckets), f"{target}/trial")
+        counts |= {f"trial/{name}": rows for name, rows in trial.items()}
+    if buckets:
+        for name in given:
+            spark.sql(f"DROP TABLE {prefix}{name}")
     for name, rows in counts.items():
-        print(f"{name:20s} {rows:>12,}")
+        print(f"{name:26s} {rows:>12,}")
 
 
 if __name__ == "__main__":

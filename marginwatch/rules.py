@@ -42,10 +42,3 @@ class Rules:
 
 
 RULES = Rules()
-
-DEFINITIONS = {
-    "L1_discount_abuse": "Delivered orders that paid far less than the list price of their items and freight.",
-    "L2_refund_spike": "Category weeks whose cancellation rate is above its own rolling mean by more than two deviations.",
-    "L3_silent_churn": "Customers in the top fifth by lifetime value with no order for a long time.",
-    "L4_short_lifecycle": "Delivered orders with few days between purchase and delivery, also as seller-category pairs.",
-}

@@ -100,16 +100,16 @@ RESULT_TABLES = (
     "category",
     "cat_weekly",
     "tiers",
-    "eval_df",
+    "risk",
 )
 
 
-def load_results(spark: SparkSession, base: str, fmt: str = "parquet") -> Tables:
-    """The saved result tables, with the month key parsed to a date."""
+def load_results(spark: SparkSession, base: str, fmt: str = "parquet", trial: bool = False) -> Tables:
+    """The saved result tables, with the month key parsed to a date; those of a trial have scores too."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True).option("inferSchema", True)
-    results = {name: reader.load(f"{base}/{name}") for name in RESULT_TABLES}
+    results = {name: reader.load(f"{base}/{name}") for name in (*RESULT_TABLES, *(("eval_df",) if trial else ()))}
     month = F.col("year_month").cast("string").substr(1, 7)
     results["monthly"] = results["monthly"].withColumn("year_month", month_start(month))
     return results

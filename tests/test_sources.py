@@ -2,6 +2,10 @@ from __future__ import annotations
 
 from datetime import date
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +25,9 @@ def folder(tmp_path):
     return str(tmp_path)
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def test_csv_gets_the_declared_types(spark, folder):
     orders = files.read_csv(spark, f"{folder}/orders.csv", "orders")
     assert dict(orders.dtypes)["order_purchase_timestamp"] == "timestamp_ntz"
@@ -80,6 +87,50 @@ def test_staging_uses_the_shared_folder(spark):
 def test_full_run_writes_and_loads_every_result(spark, edge_tables, tmp_path, buckets):
     counts = run.write_all(run.trial_results(edge_tables, "toys_own", buckets=buckets), str(tmp_path))
     assert counts["eval_df"] == 4 and counts["kpis"] == 1
-    loaded = files.load_results(spark, str(tmp_path))
-    assert set(loaded) == set(files.RESULT_TABLES)
+    loaded = files.load_results(spark, str(tmp_path), trial=True)
+    assert set(loaded) == {*files.RESULT_TABLES, "eval_df"}
     assert loaded["monthly"].agg(F.min("year_month")).first()[0] == date(2018, 1, 1)
+
+
+def test_staging_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(stage, "setting", lambda _: None)
+    monkeypatch.setattr(stage, "_named", {})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stage.stage_dir(spark)
+
+
+def _clean_env():
+    return {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_SUBMIT_ARGS")}
+
+
+def test_command_analyses_the_tables_as_given(edge_tables, tmp_path):
+    for name, df in edge_tables.items():
+        df.write.parquet(str(tmp_path / "in" / f"{name}.parquet"))
+    command = [sys.executable, "-m", "marginwatch.plans.run", str(tmp_path / "in"), str(tmp_path / "out"), "parquet"]
+    subprocess.run(command, cwd=ROOT, env=_clean_env(), check=True, timeout=240, capture_output=True)
+    assert not (tmp_path / "out" / "labels").exists() and not (tmp_path / "out" / "trial").exists()
+    spark = edge_tables["orders"].sparkSession
+    overall = spark.read.parquet(str(tmp_path / "out" / "overall")).first()
+    want = run.results(edge_tables)["overall"].first()
+    assert overall == want
+
+
+def test_forest_runs_where_the_package_is_not_installed(tmp_path):
+    code = (
+        "import importlib.util as u; from pyspark.sql import SparkSession\n"
+        f"s = u.spec_from_file_location('entry_', {os.path.join(ROOT, '__spark_entry__.py')!r})\n"
+        "e = u.module_from_spec(s); s.loader.exec_module(e)\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
+        ".config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "assert e.queries()['iforest_top'](spark, '/root/testdata/sf0.001').count() > 0\n"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=_clean_env(), check=True, timeout=240)
+
+
+def test_refund_rules_reach_the_detector(spark):
+    from marginwatch.plans.analysis import Analysis
+    from marginwatch.rules import Rules
+    from marginwatch.sources.star import star_tables
+
+    tables = star_tables(spark, "/root/testdata/sf0.001")
+    assert Analysis(tables).l2.count() != Analysis(tables, Rules(window_weeks=20, min_weeks=15)).l2.count()
