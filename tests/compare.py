@@ -68,7 +68,7 @@ def main() -> int:
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, queries, oracle = duck(base), entry.queries(), entry.oracle_sql()
-    chosen = sys.argv[2].split(",") if len(sys.argv) > 2 else list(queries)
+    chosen = sys.argv[2].split(",") if len(sys.argv) > 2 else list(oracle)
     failed = 0
     for name in chosen:
         started = time.time()
