@@ -149,12 +149,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(held.select("a", "b", "x", "y"), f"a {kind}, b {kind}, similarity double", make)
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, shingle, i): of each set so many of its rarest shingles that similar sets share one.
+def _prefixes(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+    """(id, shingle, i): of each ``wanted`` set so many of its rarest shingles that similar sets share one.
 
     Sets of similarity t have a common shingle among the first n - ceil(t n) + 1 of each, in any
-    order of shingles; i is the place in it. Rare ones come first here, by counters of a fixed number for all shingles, so
-    that passages which many texts share propose nothing.
+    order of shingles; i is the place in it. Rare ones come first here, by counters of a fixed number
+    over all ``sets``, so that passages which many texts share propose nothing.
     """
 
     def count():
@@ -192,7 +192,8 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
         return each
 
-    return map_batches(sets.select("id", "members"), "id long, shingle long, i long", first)
+    of_these = sets.join(wanted, "id", "left_semi")
+    return map_batches(of_these.select("id", "members"), "id long, shingle long, i long", first)
 
 
 def _apart(rows: DataFrame, comps: DataFrame, key: str) -> DataFrame:
@@ -251,7 +252,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
             pairs = apart.join(pivot, "bucket").where(f"component <> c and {fits}")
         else:
             if prefixes is None:
-                first = _prefixes(sets.join(apart.select("id").distinct(), "id", "left_semi"), percent)
+                first = _prefixes(sets, apart.select("id").distinct(), percent)
                 prefixes = staged(first.join(classes.select("id", "n", *SHORT), "id"))
             left = _apart(prefixes, comps, "shingle")
             right = left.select("id", "shingle", "i", "n", *SHORT, "component").toDF(*other).where(early)
