@@ -203,6 +203,18 @@ def _apart(rows: DataFrame, comps: DataFrame, key: str) -> DataFrame:
     return staged(now.join(mixed.where("low < high").select(key), key))
 
 
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` with the components that ``links`` connect made one; only these links are followed."""
+    ends = links
+    for end in ("a", "b"):
+        named = comps.select(F.col("id").alias(end), F.col("component").alias("c"))
+        ends = ends.join(named, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    moved = components(ends.select("a", "b").distinct()).toDF("component", "to")
+    old = comps.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    new = moved.join(comps.select("id"), moved["component"] == comps["id"], "left_anti")
+    return old.union(new.select("component", "to"))
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
 
@@ -241,7 +253,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     early = f"j <= m - ceil(2 * {percent} * m / {100 + percent})"
     enough = f"{100 + percent} * least(n - i, m - j) >= {percent} * (n + m)"
     other = ["other", "shingle", "j", "m", *[f"r{k}" for k in range(4)], "c"]
-    found = tried = prefixes = None
+    tried = prefixes = None
+    found = False
     comps = ids.select("id", F.col("id").alias("component"))
     for turn in ("bucket", "shingle", "rest"):
         apart = _apart(members, comps, "bucket")
@@ -274,9 +287,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
         tried = pairs if tried is None else tried.union(pairs)
         if links.isEmpty():
             continue
-        found = links if found is None else found.union(links)
-        comps = staged(components(found))
-    if found is not None:
+        comps = staged(_merged(comps, links) if found else components(links))
+        found = True
+    if found:
         joined = classes.select("id", "print", "doc").join(comps, "id")
         least = joined.groupBy("component").agg(F.min("doc").alias("least"))
         alone = classes.join(comps, "id", "left_anti").select("print", F.col("doc").alias("least"))

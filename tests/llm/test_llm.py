@@ -22,6 +22,7 @@ from marginwatch.llm import (
     toxicity,
     training_order,
 )
+from marginwatch.llm.components import components
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int"
@@ -236,6 +237,41 @@ def test_near_duplicates_against_all_pairs(spark, edge, no_docs):
     assert kept.columns == edge.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 7, 8]
 
 
+def test_components_against_union_find(spark):
+    """Chains, a hot node, loops, repeated and null links; batches of 7 links, so that stars have to meet."""
+    rng = np.random.default_rng(3)
+    links = [(k, k + 1) for k in rng.permutation(150).tolist()] + [(1000, k) for k in range(1001, 1100)]
+    links += rng.integers(2000, 2400, (150, 2)).tolist() + [(5, 4), (5, 4), (9000, 9000), (None, 3)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    df = spark.createDataFrame([tuple(x) for x in links], "a long, b long").repartition(5)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [tuple(r) for r in components(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted(got) == sorted((x, find(x)) for x in list(root))
+    assert components(df.limit(0)).count() == 0
+
+
+def test_merged_components(spark):
+    """Links between components, with a node of none, and between two nodes of none."""
+    comps = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (7, 7), (8, 7)], "id long, component long")
+    links = spark.createDataFrame([(2, 4), (0, 4), (20, 21)], "a long, b long")
+    got = sorted(tuple(r) for r in near_dedup._merged(comps, links).collect())
+    assert got == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (7, 7), (8, 7), (20, 20), (21, 20)]
+
+
 def test_near_duplicates_chain_and_group(spark):
     """A group whose members are similar to few of the others."""
     rng = np.random.default_rng(4)
