@@ -55,18 +55,18 @@ def category_lines(items: DataFrame, categories: DataFrame, *keys: str) -> DataF
     return order_lines(items.select(*needed).join(categories, "product_id"), "category_en", *keys)
 
 
-def joined_rows(orders: DataFrame, lines: DataFrame, payments: DataFrame) -> DataFrame:
+def joined_rows(orders: DataFrame, lines: DataFrame, payments: DataFrame, dedupe: bool = False) -> DataFrame:
     """Orders with payments and lines, one row per line, carrying fan-out measures.
 
     ``fan_rows`` is the number of item x payment rows and ``fan_paid`` their summed
-    payment value in cents.
+    payment value in cents. ``dedupe`` counts every payment once per line instead.
     """
     paid = orders.join(order_payments(payments), "order_id")
-    rows = F.col("item_rows") * F.col("payment_rows")
+    items = F.lit(1) if dedupe else F.col("item_rows")
     return paid.join(lines, "order_id").withColumns(
         {
-            "fan_rows": rows,
-            "fan_paid": F.col("item_rows") * F.col("paid"),
+            "fan_rows": items * F.col("payment_rows"),
+            "fan_paid": items * F.col("paid"),
         }
     )
 

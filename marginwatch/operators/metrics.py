@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marginwatch.functions.labels import canceled, delivered
 from marginwatch.functions.money import amount, cents, mean, percent, total
@@ -12,12 +12,22 @@ from marginwatch.operators import facts
 PURCHASED = "order_purchase_timestamp"
 
 
-def _paid_where(condition: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, F.col("paid"))), F.lit(0))
+def _counted_once(rows: DataFrame, measures: dict[str, Column], *keys: str) -> DataFrame:
+    """One row per ``keys`` and customer: sums of ``measures``, and ``orders`` to be summed.
 
-
-def _payment_rows_where(condition: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, F.col("payment_rows"))), F.lit(0))
+    An order counts with the first of its customers, so summed orders are distinct ones and the
+    rows with a customer are distinct customers. Two distinct counts in one aggregate would triple
+    every row and shuffle it again.
+    """
+    per_order = rows.groupBy("order_id", *keys, "customer_id").agg(
+        *[F.sum(measure).alias(name) for name, measure in measures.items()]
+    )
+    place = F.row_number().over(Window.partitionBy("order_id", *keys).orderBy("customer_id"))
+    return (
+        per_order.withColumn("first", (place == 1).cast("int"))
+        .groupBy(*keys, "customer_id")
+        .agg(F.sum("first").alias("orders"), *[F.sum(name).alias(name) for name in measures])
+    )
 
 
 def overall_kpis(orders: DataFrame, payments: DataFrame) -> DataFrame:
@@ -25,15 +35,23 @@ def overall_kpis(orders: DataFrame, payments: DataFrame) -> DataFrame:
     paid = orders.select("order_id", "customer_id", "order_status").join(
         facts.order_payments(payments), "order_id"
     )
-    kept = F.col("order_status") != "canceled"
-    return paid.agg(
-        F.count_distinct("order_id").alias("total_orders"),
-        F.count_distinct("customer_id").alias("total_customers"),
-        amount(_paid_where(kept)).alias("gmv"),
-        amount(_paid_where(delivered())).alias("net_revenue"),
-        amount(_paid_where(canceled())).alias("cancelled_revenue"),
-        mean(_paid_where(delivered()), _payment_rows_where(delivered())).alias("avg_order_value"),
-        percent(_payment_rows_where(canceled()), F.sum("payment_rows")).alias("cancellation_rate_pct"),
+    conditions = {"kept": F.col("order_status") != "canceled", "delivered": delivered(), "canceled": canceled()}
+    measures = {"rows": F.col("payment_rows")}
+    for name, condition in conditions.items():
+        measures[f"{name}_paid"] = F.when(condition, F.col("paid"))
+        measures[f"{name}_rows"] = F.when(condition, F.col("payment_rows"))
+
+    def all_of(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0))
+
+    return _counted_once(paid, measures).agg(
+        all_of("orders").alias("total_orders"),
+        F.count("customer_id").alias("total_customers"),
+        amount(all_of("kept_paid")).alias("gmv"),
+        amount(all_of("delivered_paid")).alias("net_revenue"),
+        amount(all_of("canceled_paid")).alias("cancelled_revenue"),
+        mean(all_of("delivered_paid"), all_of("delivered_rows")).alias("avg_order_value"),
+        percent(all_of("canceled_rows"), F.sum("rows")).alias("cancellation_rate_pct"),
     )
 
 
@@ -42,14 +60,16 @@ def monthly_revenue(orders: DataFrame, payments: DataFrame) -> DataFrame:
     bought = orders.filter(delivered() & F.col(PURCHASED).isNotNull()).select(
         "order_id", "customer_id", year_month(PURCHASED).alias("year_month")
     )
+    paid = bought.join(facts.order_payments(payments), "order_id")
+    measures = {"paid": F.col("paid"), "payment_rows": F.col("payment_rows")}
     return (
-        bought.join(facts.order_payments(payments), "order_id")
+        _counted_once(paid, measures, "year_month")
         .groupBy("year_month")
         .agg(
-            F.count_distinct("order_id").alias("orders_count"),
+            F.sum("orders").alias("orders_count"),
             total("paid").alias("monthly_revenue"),
             mean(F.sum("paid"), F.sum("payment_rows")).alias("monthly_aov"),
-            F.count_distinct("customer_id").alias("unique_customers"),
+            F.count("customer_id").alias("unique_customers"),
         )
         .orderBy("year_month")
     )
@@ -109,11 +129,19 @@ def discount_depth(orders: DataFrame, items: DataFrame, payments: DataFrame, ded
 
 
 def category_revenue(
-    orders: DataFrame, items: DataFrame, payments: DataFrame, products: DataFrame, category_xlat: DataFrame
+    orders: DataFrame,
+    items: DataFrame,
+    payments: DataFrame,
+    products: DataFrame,
+    category_xlat: DataFrame,
+    dedupe: bool = False,
 ) -> DataFrame:
-    """Orders, revenue, mean payment and cancellation rate per category, all statuses."""
+    """Orders, revenue, mean payment and cancellation rate per category, all statuses.
+
+    ``dedupe`` counts a payment once per category of its order, not once per item.
+    """
     lines = facts.category_lines(items, facts.product_categories(products, category_xlat))
-    rows = facts.joined_rows(facts.orders_with(orders, []), lines, payments)
+    rows = facts.joined_rows(facts.orders_with(orders, []), lines, payments, dedupe)
     return rows.groupBy("category_en").agg(
         F.count_distinct("order_id").alias("orders_count"),
         facts.fan_revenue().alias("total_revenue"),

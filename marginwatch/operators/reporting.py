@@ -145,6 +145,17 @@ def heatmap_matrix(cells: DataFrame, weeks: Sequence[str]) -> DataFrame:
     return cells.groupBy("category_en").pivot("year_week", list(weeks)).agg(F.first("z_score")).orderBy("category_en")
 
 
+def zscore_heatmap_wide(cells: DataFrame, weeks: int = 20) -> DataFrame:
+    """Heatmap cells as one row per category, with a column per week counted back from the last one.
+
+    Pivoting on the rank needs no list of weeks. The window sees one row per week of the cells.
+    """
+    back = F.row_number().over(Window.orderBy(F.desc("year_week")))
+    ranked = cells.select("year_week").distinct().withColumn("back", back)
+    wide = cells.join(ranked, "year_week").groupBy("category_en").pivot("back", list(range(1, weeks + 1)))
+    return wide.agg(F.first("z_score")).withColumnsRenamed({f"{k}": f"week_{k}" for k in range(1, weeks + 1)})
+
+
 def rca_display(report: DataFrame) -> DataFrame:
     """The report's display columns, as far as present, with money as text."""
     wanted = [

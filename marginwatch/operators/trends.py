@@ -49,12 +49,20 @@ def _dated_orders(orders: DataFrame) -> DataFrame:
 
 
 def category_weekly(
-    orders: DataFrame, items: DataFrame, payments: DataFrame, products: DataFrame, category_xlat: DataFrame
+    orders: DataFrame,
+    items: DataFrame,
+    payments: DataFrame,
+    products: DataFrame,
+    category_xlat: DataFrame,
+    dedupe: bool = False,
 ) -> DataFrame:
-    """Orders, revenue, mean payment and cancelled rows by category and week, all statuses."""
+    """Orders, revenue, mean payment and cancelled rows by category and week, all statuses.
+
+    ``dedupe`` counts a payment once per category of its order, not once per item.
+    """
     lines = facts.category_lines(items, facts.product_categories(products, category_xlat))
     return (
-        facts.joined_rows(_dated_orders(orders), lines, payments)
+        facts.joined_rows(_dated_orders(orders), lines, payments, dedupe)
         .groupBy("year_week", "category_en")
         .agg(
             F.count_distinct("order_id").alias("orders_count"),
@@ -65,12 +73,20 @@ def category_weekly(
     )
 
 
-def geo_weekly(orders: DataFrame, items: DataFrame, payments: DataFrame, sellers: DataFrame) -> DataFrame:
-    """Orders, revenue and cancelled rows by seller state and week."""
+def full_weeks(weekly: DataFrame, orders: DataFrame) -> DataFrame:
+    """``weekly`` without the week of the last purchase, unless that purchase is on the week's last day."""
+    next_day = orders.agg(year_week(F.max(PURCHASED) + F.expr("INTERVAL 1 DAY"))).scalar()
+    return weekly.filter(F.col("year_week") < next_day)
+
+
+def geo_weekly(
+    orders: DataFrame, items: DataFrame, payments: DataFrame, sellers: DataFrame, dedupe: bool = False
+) -> DataFrame:
+    """Orders, revenue and cancelled rows by seller state and week; ``dedupe`` as for categories."""
     located = items.select("order_id", "seller_id").join(sellers.select("seller_id", "seller_state"), "seller_id")
     lines = facts.order_lines(located, "seller_state")
     return (
-        facts.joined_rows(_dated_orders(orders), lines, payments)
+        facts.joined_rows(_dated_orders(orders), lines, payments, dedupe)
         .groupBy("year_week", "seller_state")
         .agg(
             F.count_distinct("order_id").alias("orders_count"),

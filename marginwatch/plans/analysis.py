@@ -112,6 +112,13 @@ class Analysis:
     def staged_baseline(self) -> DataFrame:
         return staged(self.baseline)
 
+    @cached_property
+    def full_weeks_baseline(self) -> DataFrame:
+        """The baseline without an incomplete last week, for feeds that are still running."""
+        r = self.rules
+        weekly = tr.full_weeks(self.category_weekly, self.orders)
+        return bl.rolling_baseline(weekly, r.window_weeks, r.min_weeks, r.band_sigmas)
+
     @cached_property
     def anomaly_summary(self) -> DataFrame:
         return bl.anomaly_summary(self.staged_baseline)
@@ -203,7 +210,8 @@ class Analysis:
 
     @cached_property
     def detector_totals(self) -> DataFrame:
-        return lk.detector_totals(self.l1, self.l2, self.l3, self.l4_flags)
+        """Four rows that every report on risk reads, and the detectors behind them run once."""
+        return staged(lk.detector_totals(self.l1, self.l2, self.l3, self.l4_flags))
 
     # root causes
     @cached_property
@@ -257,6 +265,12 @@ class Trial:
         self.planted = planted
         self.analysis = Analysis(planted, self.rules)
 
+    def stage_planted(self) -> Trial:
+        """Plant once for several evaluations."""
+        large = {name: staged(self.planted[name]) for name in ("orders", "order_payments")}
+        self.use({**self.planted, **large})
+        return self
+
     @cached_property
     def resolved_labels(self) -> DataFrame:
         return staged(ev.resolve_labels(self.labels, self.raw["orders"]))
@@ -287,8 +301,10 @@ class Trial:
     def eval_l4(self, tuned: bool = True) -> DataFrame:
         if tuned:
             return ev.evaluate_lifecycle(self.analysis.l4_flags, self.labels)
-        short = lk.short_lifecycle_flags(self.analysis.lifecycle_lines, self.rules.seller_short_days)
-        return ev.evaluate_lifecycle_sellers(self.analysis.l4_sellers, short, self.labels)
+        r, lines = self.rules, staged(self.analysis.lifecycle_lines)
+        sellers = lk.short_lifecycle_sellers(lines, r.seller_short_days, r.seller_short_rate_pct, r.seller_min_rows)
+        short = lk.short_lifecycle_flags(lines, r.seller_short_days)
+        return ev.evaluate_lifecycle_sellers(sellers, short, self.labels)
 
     def scorecard(self, tuned: bool = True) -> DataFrame:
         return ev.scorecard(self.eval_l1(tuned), self.eval_l2(tuned), self.eval_l3(tuned), self.eval_l4(tuned))

@@ -190,6 +190,12 @@ _STEPS: dict[str, str] = {
     "big15": """
         SELECT category_en FROM base GROUP BY 1
         ORDER BY SUM(CAST(weekly_revenue AS DECIMAL(18,2))) DESC, 1 LIMIT 15""",
+    "heat": """
+        SELECT category_en, year_week, AVG(z_score) AS z_score FROM base
+        WHERE z_score IS NOT NULL AND category_en IN (SELECT category_en FROM big15)
+          AND year_week IN (SELECT DISTINCT year_week FROM base WHERE z_score IS NOT NULL
+                AND category_en IN (SELECT category_en FROM big15) ORDER BY 1 DESC LIMIT 20)
+        GROUP BY 1, 2""",
     # detectors
     "discounts": f"""
         SELECT order_id, {_dbl('SUM(listed)')} AS list_price, {_dbl('SUM(payment_value)')} AS actual_paid,
@@ -573,9 +579,14 @@ _ONE_EACH = """(SELECT o.order_id, o.order_purchase_timestamp, i.listed, p.paid
 
 def oracle_sql() -> dict[str, str]:
     tuned, early = _evaluations(True), _evaluations(False)
+    weeks_back = ", ".join(f"MAX(CASE WHEN back = {k} THEN z_score END) AS week_{k}" for k in range(1, 21))
     delivered_fan = "fan WHERE order_status = 'delivered'"
     statements = {
         "profile_tables": _profiles(),
+        "table_preview": "SELECT order_id, customer_id, order_status FROM x_orders ORDER BY order_id LIMIT 2",
+        "sql_parameterised": """SELECT order_status, COUNT(*) AS orders_count FROM x_orders
+            WHERE order_purchase_timestamp >= TIMESTAMP '1995-01-01'
+              AND order_purchase_timestamp < TIMESTAMP '1997-01-01' GROUP BY 1""",
         "dq_report": _findings(),
         "overall_kpis": f"""SELECT COUNT(DISTINCT order_id) AS total_orders,
             COUNT(DISTINCT customer_id) AS total_customers,
@@ -585,6 +596,7 @@ def oracle_sql() -> dict[str, str]:
             {_mean("CASE WHEN order_status = 'delivered' THEN payment_value END")} AS avg_order_value,
             {_pct(_CANCELED, 'COUNT(*)')} AS cancellation_rate_pct FROM paid_orders""",
         "monthly_revenue": "SELECT * FROM monthly",
+        "monthly_revenue_dated": "SELECT * REPLACE (CAST(year_month || '-01' AS DATE) AS year_month) FROM monthly",
         "monthly_refund_rate": f"""SELECT {_MONTH} AS year_month, COUNT(*) AS total_orders,
             {_big(_CANCELED)} AS cancelled_orders, {_pct(_CANCELED, 'COUNT(*)')} AS refund_rate_pct
             FROM x_orders WHERE order_purchase_timestamp IS NOT NULL GROUP BY 1""",
@@ -597,6 +609,12 @@ def oracle_sql() -> dict[str, str]:
         "weekly_tail": "SELECT * FROM weekly_wow ORDER BY year_week DESC LIMIT 10",
         "category_weekly": "SELECT * FROM category_week",
         "category_weekly_head": "SELECT * FROM category_week ORDER BY year_week, weekly_revenue DESC, category_en LIMIT 15",
+        "category_weekly_deduped": f"""SELECT {_WEEK} AS year_week, category_en,
+            COUNT(DISTINCT order_id) AS orders_count, {_dbl('SUM(payment_value)')} AS weekly_revenue,
+            {_mean('payment_value')} AS avg_order_value, {_big(_CANCELED)} AS cancellations
+            FROM paid_orders JOIN (SELECT DISTINCT i.order_id, COALESCE(c.category, 'unknown') AS category_en
+                FROM x_order_items i JOIN named c ON i.product_id = c.product_id) USING (order_id)
+            WHERE order_purchase_timestamp IS NOT NULL GROUP BY 1, 2""",
         "geo_weekly": f"""SELECT {_WEEK} AS year_week, s.seller_state, COUNT(DISTINCT order_id) AS orders_count,
             {_dbl('SUM(payment_value)')} AS weekly_revenue, {_big(_CANCELED)} AS cancellations
             FROM fan f JOIN x_sellers s ON f.seller_id = s.seller_id
@@ -606,6 +624,8 @@ def oracle_sql() -> dict[str, str]:
             {_dbl('SUM(CAST(lifetime_value AS DECIMAL(18,2)))')} AS total_revenue,
             {_mean('CAST(lifetime_value AS DECIMAL(18,2))')} AS avg_ltv FROM tiers WHERE tier IS NOT NULL GROUP BY 1""",
         "rolling_baseline": "SELECT * FROM base",
+        "rolling_baseline_full_weeks": f"""SELECT * FROM base WHERE year_week < (SELECT {_WEEK} FROM
+            (SELECT MAX(order_purchase_timestamp) + INTERVAL 1 DAY AS order_purchase_timestamp FROM x_orders))""",
         "anomaly_summary": f"""SELECT category_en, COUNT(*) AS anomaly_weeks,
             {_dbl('SUM(CAST(revenue_at_risk AS DECIMAL(18,2)))')} AS total_at_risk,
             {_mean('CAST(z_score AS DECIMAL(18,2))')} AS avg_z_score FROM base WHERE is_anomaly GROUP BY 1
@@ -695,11 +715,9 @@ def oracle_sql() -> dict[str, str]:
         "category_list": "SELECT DISTINCT category_en FROM base WHERE category_en IS NOT NULL",
         "category_timeline": """SELECT category_en, year_week, weekly_revenue, rolling_mean, upper_bound, lower_bound,
             is_anomaly FROM base WHERE category_en = (SELECT MIN(category_en) FROM base)""",
-        "zscore_heatmap": """SELECT category_en, year_week, AVG(z_score) AS z_score FROM base
-            WHERE z_score IS NOT NULL AND category_en IN (SELECT category_en FROM big15)
-              AND year_week IN (SELECT DISTINCT year_week FROM base WHERE z_score IS NOT NULL
-                    AND category_en IN (SELECT category_en FROM big15) ORDER BY 1 DESC LIMIT 20)
-            GROUP BY 1, 2""",
+        "zscore_heatmap": "SELECT * FROM heat",
+        "zscore_heatmap_wide": f"""SELECT category_en, {weeks_back} FROM
+            (SELECT *, DENSE_RANK() OVER (ORDER BY year_week DESC) AS back FROM heat) GROUP BY 1""",
         "rca_display": f"SELECT * REPLACE ({_money_text('revenue_gap')} AS revenue_gap) FROM causes",
         "rca_choices": f"""SELECT year_week || ' — ' || category || ' — Gap: ' || {_money_text('revenue_gap')} AS choice,
             substr(root_cause_seller, 1, 12) || '...' AS seller FROM causes""",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marginwatch.functions.labels import L1
+from marginwatch.functions.timekeys import month_start
 from marginwatch.operators import (
     baseline as bl,
     forest as fo,
@@ -15,8 +16,10 @@ from marginwatch.operators import (
     perturb as px,
     profiling as pf,
     reporting as rp,
+    trends as tr,
 )
 from marginwatch.plans.analysis import Analysis, Trial
+from marginwatch.sources.files import register_tables, run_query
 from marginwatch.sources.star import star_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +40,22 @@ def _trial(result: Callable[[Trial], DataFrame]) -> Query:
     return lambda spark, base: result(Trial(star_tables(spark, base), SPIKE_CATEGORY))
 
 
+def _scorecard(result: Callable[[Trial], DataFrame]) -> Query:
+    return _trial(lambda t: result(t.stage_planted()))
+
+
+def _orders_by_status(spark: SparkSession, base: str) -> DataFrame:
+    """SQL text with parameters over registered views."""
+    register_tables({"orders": star_tables(spark, base)["orders"]}, "marginwatch_")
+    return run_query(
+        spark,
+        """SELECT order_status, COUNT(*) AS orders_count FROM marginwatch_orders
+        WHERE order_purchase_timestamp >= CAST(:since AS TIMESTAMP)
+          AND order_purchase_timestamp < CAST(:until AS TIMESTAMP) GROUP BY order_status""",
+        {"since": "1995-01-01", "until": "1997-01-01"},
+    )
+
+
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     """Unrounded statistics to a fixed number of digits, for comparison across engines."""
 
@@ -69,10 +88,17 @@ def queries() -> dict[str, Query]:
     return {
         # profile and quality
         "profile_tables": _tables(pf.profile_tables),
+        "table_preview": _tables(
+            lambda t: pf.first_rows(t["orders"].select("order_id", "customer_id", "order_status"), 2, "order_id")
+        ),
+        "sql_parameterised": _orders_by_status,
         "dq_report": _analysis(lambda a: a.dq_report),
         # revenue KPIs
         "overall_kpis": _analysis(lambda a: a.overall_kpis),
         "monthly_revenue": _analysis(lambda a: a.monthly_revenue),
+        "monthly_revenue_dated": _analysis(
+            lambda a: a.monthly_revenue.withColumn("year_month", month_start("year_month"))
+        ),
         "monthly_refund_rate": _analysis(lambda a: a.monthly_refund_rate),
         "discount_depth": _analysis(lambda a: a.discount_depth),
         "discount_depth_deduped": _analysis(
@@ -87,11 +113,15 @@ def queries() -> dict[str, Query]:
         "category_weekly_head": _analysis(
             lambda a: pf.first_rows(a.category_weekly, 15, "year_week", F.desc("weekly_revenue"), "category_en")
         ),
+        "category_weekly_deduped": _analysis(
+            lambda a: tr.category_weekly(a.orders, a.items, a.payments, *a.catalog, dedupe=True)
+        ),
         "geo_weekly": _analysis(lambda a: a.geo_weekly),
         "customer_ltv_tier": _analysis(lambda a: a.customer_tiers),
         "tier_summary": _analysis(lambda a: a.tier_summary),
         # baseline and anomalies
         "rolling_baseline": _analysis(lambda a: a.baseline),
+        "rolling_baseline_full_weeks": _analysis(lambda a: a.full_weeks_baseline),
         "anomaly_summary": _analysis(lambda a: a.anomaly_summary),
         "zscore_anomalies": _analysis(lambda a: a.zscore),
         "zscore_summary": _analysis(lambda a: bl.zscore_summary(a.zscore)),
@@ -146,8 +176,8 @@ def queries() -> dict[str, Query]:
         "eval_l3": _trial(lambda t: t.eval_l3()),
         "eval_l4": _trial(lambda t: t.eval_l4()),
         "eval_l4_sellers": _trial(lambda t: t.eval_l4(tuned=False)),
-        "scorecard": _trial(lambda t: t.scorecard()),
-        "scorecard_first": _trial(lambda t: t.scorecard(tuned=False)),
+        "scorecard": _scorecard(lambda t: t.scorecard()),
+        "scorecard_first": _scorecard(lambda t: t.scorecard(tuned=False)),
         # root causes
         "rca_targets": _analysis(lambda a: a.rca_targets),
         "rca_state": _analysis(lambda a: a.rca_state),
@@ -160,10 +190,11 @@ def queries() -> dict[str, Query]:
         "revenue_3mo_avg": _analysis(lambda a: rp.revenue_with_average(a.monthly_revenue)),
         "leakage_breakdown": _analysis(lambda a: rp.leakage_breakdown(a.detector_totals)),
         "top5_cancel": _analysis(lambda a: rp.top_cancel_categories(a.top_categories)),
-        "detector_recall": _trial(lambda t: rp.detector_recall(t.scorecard())),
+        "detector_recall": _scorecard(lambda t: rp.detector_recall(t.scorecard())),
         "category_list": _analysis(lambda a: rp.category_list(a.baseline)),
         "category_timeline": _analysis(lambda a: rp.category_timeline(a.staged_baseline)),
         "zscore_heatmap": _analysis(lambda a: rp.zscore_heatmap(a.staged_baseline)),
+        "zscore_heatmap_wide": _analysis(lambda a: rp.zscore_heatmap_wide(rp.zscore_heatmap(a.staged_baseline))),
         "rca_display": _analysis(lambda a: rp.rca_display(a.rca_report)),
         "rca_choices": _analysis(lambda a: rp.rca_choices(a.rca_report)),
         "dataset_stats": _analysis(lambda a: a.dataset_stats),

@@ -45,10 +45,10 @@ def read_tables(
     return tables
 
 
-def register_tables(tables: Tables) -> None:
-    """Temporary views under the table names, replacing earlier ones."""
+def register_tables(tables: Tables, prefix: str = "") -> None:
+    """Temporary views under the prefixed table names, replacing earlier ones."""
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+        df.createOrReplaceTempView(f"{prefix}{name}")
 
 
 def save_bucketed(tables: Tables, buckets: int, prefix: str = "") -> Tables:
