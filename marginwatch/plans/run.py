@@ -57,15 +57,23 @@ def results(tables: Tables, rules: Rules = RULES, analysis: Analysis | None = No
 
 
 def trial_results(
-    raw: Tables, category: str = SPIKE_CATEGORY, rules: Rules = RULES, buckets: int | None = None
+    raw: Tables,
+    category: str = SPIKE_CATEGORY,
+    rules: Rules = RULES,
+    buckets: int | None = None,
+    prefix: str | None = None,
 ) -> Tables:
-    """All results on tables with planted leakage, plus labels and scores."""
+    """All results on tables with planted leakage, plus labels and scores.
+
+    With ``buckets`` the tables are saved under names that start with ``prefix``; the caller drops them.
+    """
+    prefix = prefix or f"marginwatch_{uuid.uuid4().hex}_"
     if buckets:
-        raw = save_bucketed(raw, buckets, f"marginwatch_raw_{uuid.uuid4().hex}_")
+        raw = save_bucketed(raw, buckets, f"{prefix}raw_")
     trial = Trial(raw, category, rules)
     changed = {name: trial.planted[name] for name in ("orders", "order_payments")}
     if buckets:
-        changed = save_bucketed(changed, buckets, f"marginwatch_planted_{uuid.uuid4().hex}_")
+        changed = save_bucketed(changed, buckets, f"{prefix}planted_")
     else:
         changed = {name: staged(df) for name, df in changed.items()}
     planted = {**trial.planted, **changed}
@@ -98,11 +106,11 @@ def main(argv: list[str]) -> None:
         tables = save_bucketed(given, buckets, prefix)
     counts = write_all(results(tables), target)
     if "--trial" in argv:
-        trial = write_all(trial_results(given, buckets=buckets), f"{target}/trial")
+        trial = write_all(trial_results(given, buckets=buckets, prefix=prefix), f"{target}/trial")
         counts |= {f"trial/{name}": rows for name, rows in trial.items()}
     if buckets:
-        for name in given:
-            spark.sql(f"DROP TABLE {prefix}{name}")
+        for table in spark.catalog.listTables(pattern=f"{prefix}*"):
+            spark.sql(f"DROP TABLE {table.name}")
     for name, rows in counts.items():
         print(f"{name:26s} {rows:>12,}")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from marginwatch.functions.timekeys import month_start
 from marginwatch.sources.schemas import CORE_TABLES, SCHEMAS
@@ -12,21 +13,25 @@ from marginwatch.sources.schemas import CORE_TABLES, SCHEMAS
 Tables = dict[str, DataFrame]
 
 
-def read_csv(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, table: str | None = None, mode: str = "PERMISSIVE") -> DataFrame:
     """CSV with a header. A known table gets its declared schema, others are inferred.
 
     The file's header decides which declared columns exist, so a file holding only
-    some of them, or holding them in another order, still loads by name. Review
-    texts span lines, so that table is read with quoted newlines allowed.
+    some of them, or holding them in another order, still loads by name; columns
+    that are not declared stay text. A malformed value becomes null, which the quality
+    report counts; ``mode`` FAILFAST ends the load instead. Review texts span lines, so
+    that table is read with quoted newlines allowed.
     """
     reader = spark.read.option("header", True).option("escape", '"')
     if table not in SCHEMAS:
         return reader.option("inferSchema", True).csv(path)
     if table == "order_reviews":
         reader = reader.option("multiLine", True)
-    raw = reader.csv(path)
     kinds = {field.name: field.dataType for field in SCHEMAS[table].fields}
-    return raw.select([F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in raw.columns])
+    # Without inference this reads the header only.
+    header = reader.csv(path).columns
+    schema = StructType([StructField(c, kinds.get(c, StringType())) for c in header])
+    return reader.schema(schema).option("mode", mode).csv(path)
 
 
 def read_tables(

@@ -31,6 +31,27 @@ def test_overall_kpis_count_payment_rows(t):
     assert row.cancellation_rate_pct == 12.5
 
 
+def test_distinct_counts_with_repeated_orders_and_null_customers(spark):
+    rows = [("a", "x", "delivered"), ("a", "y", "delivered"), ("a", "x", "canceled"), ("b", None, "delivered")]
+    orders = spark.createDataFrame(rows, "order_id string, customer_id string, order_status string")
+    orders = orders.selectExpr("*", "timestamp_ntz'2018-01-05 00:00:00' AS order_purchase_timestamp")
+    payments = spark.createDataFrame([("a", 2.0), ("b", 3.0)], "order_id string, payment_value double")
+    row = metrics.overall_kpis(orders, payments).first()
+    assert (row.total_orders, row.total_customers, row.gmv, row.cancelled_revenue) == (2, 2, 7.0, 2.0)
+    month = metrics.monthly_revenue(orders, payments).first()
+    assert (month.orders_count, month.unique_customers, month.monthly_revenue) == (2, 2, 7.0)
+    none = metrics.overall_kpis(orders.limit(0), payments).first()
+    assert (none.total_orders, none.total_customers, none.gmv, none.avg_order_value) == (0, 0, 0.0, None)
+
+
+def test_full_weeks(spark):
+    # 2018-01-14 is a Sunday, the last day of its week
+    weekly = spark.createDataFrame([("2018-W01",), ("2018-W02",)], "year_week string")
+    for day, weeks in (("2018-01-13", 1), ("2018-01-14", 2)):
+        orders = spark.sql(f"SELECT timestamp_ntz'{day} 10:00:00' AS order_purchase_timestamp")
+        assert trends.full_weeks(weekly, orders).count() == weeks
+
+
 def test_months_skip_or_keep_null_time_as_defined(t):
     months = [r.year_month for r in metrics.monthly_revenue(t["orders"], t["order_payments"]).collect()]
     assert months == ["2018-01", "2018-02"]

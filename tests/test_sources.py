@@ -9,7 +9,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from marginwatch.operators import facts, metrics
+from marginwatch.operators import facts, metrics, reporting
 from marginwatch.plans import run
 from marginwatch.sources import files, stage
 
@@ -36,6 +36,14 @@ def test_csv_gets_the_declared_types(spark, folder):
     assert dict(other.dtypes)["payment_value"] == "double"
 
 
+def test_csv_columns_go_by_name_and_malformed_values_to_null(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("payment_value,extra,order_id\n1.5,x,o1\nmany,y,o2\n")
+    rows = files.read_csv(spark, f"{tmp_path}/p.csv", "order_payments").orderBy("order_id").collect()
+    assert [(r.order_id, r.payment_value, r.extra) for r in rows] == [("o1", 1.5, "x"), ("o2", None, "y")]
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.read_csv(spark, f"{tmp_path}/p.csv", "order_payments", mode="FAILFAST").collect()
+
+
 def test_tables_views_and_parameters(spark, folder):
     tables = files.read_tables(spark, folder, names=("orders", "order_payments"))
     files.register_tables(tables)
@@ -90,6 +98,9 @@ def test_full_run_writes_and_loads_every_result(spark, edge_tables, tmp_path, bu
     loaded = files.load_results(spark, str(tmp_path), trial=True)
     assert set(loaded) == {*files.RESULT_TABLES, "eval_df"}
     assert loaded["monthly"].agg(F.min("year_month")).first()[0] == date(2018, 1, 1)
+    # the dashboard's numbers come from the saved tables alone
+    served = reporting.summary_kpis(loaded["risk"], loaded["zscore"]).first()
+    assert served == spark.read.parquet(f"{tmp_path}/kpis").first()
 
 
 def test_staging_without_a_shared_folder_is_an_error(spark, monkeypatch):
