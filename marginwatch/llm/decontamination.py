@@ -1,16 +1,15 @@
-"""Benchmark decontamination by the CGK embedding and bit sampling.
+"""Benchmark decontamination by shared pieces and exact edit distance, without loss.
 
-The CGK random walk maps strings at small edit distance to strings at small Hamming distance: a
-shared random function of step and symbol decides whether the walk moves on or repeats the symbol,
-and two walks that drift apart after an edit meet again soon. Samples of the walk's symbols are
-hashed; item-sized windows of the documents that share a hash with an item are candidates, and exact
-edit distance decides them.
+An item is cut into more pieces than it may have edits, so every occurrence holds a known number of
+the pieces unchanged and at nearly the same displacement. All places of a text where that many
+pieces meet are candidates, and exact edit distance decides them: what is found equals a search of
+every window.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import accumulate
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +18,11 @@ from pyspark.sql import DataFrame, functions as F
 from marginwatch.llm.common import map_batches, staged
 
 PLAIN = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
-SAMPLE = 4
-WALKS = 2
-LEAST_REPEATS, MOST_REPEATS = 32, 160
+# A piece is at most a machine word.
+PIECE = 8
+# Bytes of text searched together, positions per step, and pieces met that are held at once.
+RUN, STEP, HELD = 1 << 22, 1 << 17, 1 << 22
+SPREAD, BITS = np.uint64(0x9E3779B97F4A7C15), 22
 
 
 def normal(text: str | None) -> tuple[bytes, list[bytes]]:
@@ -31,72 +32,6 @@ def normal(text: str | None) -> tuple[bytes, list[bytes]]:
     return b" ".join(words), words
 
 
-def walk(padded: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """CGK walks of the rows of ``padded`` (0 after each end): one symbol per step."""
-    coins = np.random.default_rng(seed).integers(0, 2, (steps, 256), dtype=np.int64)
-    n, width = padded.shape
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    out = np.zeros((n, steps), np.uint8)
-    for j in range(steps):
-        s = padded[rows, np.minimum(at, width - 1)]
-        out[:, j] = s
-        at += coins[j][s]
-    return out
-
-
-def _padded(texts: list[bytes], width: int) -> np.ndarray:
-    out = np.zeros((len(texts), width + 1), np.uint8)
-    for k, t in enumerate(texts):
-        out[k, : len(t)] = np.frombuffer(t, np.uint8)
-    return out
-
-
-def bit_hashes(texts: list[bytes], sizes: np.ndarray, repeats: int) -> np.ndarray:
-    """(texts, repeats) hashes of samples of the walks; ``sizes`` scale the sampled steps."""
-    steps = 2 * int(sizes.max()) + 1
-    padded = _padded(texts, max(map(len, texts)))
-    places = np.random.default_rng(99).random((repeats, SAMPLE))
-    out = np.empty((len(texts), repeats), np.int64)
-    rows = np.arange(len(texts))
-    for w in range(WALKS):
-        walked = walk(padded, steps, w)
-        for r in range(w, repeats, WALKS):
-            key = sizes.astype(np.int64) + (r << 32)
-            for f in places[r]:
-                key = key * 257 + walked[rows, (f * 2 * sizes).astype(np.int64)]
-            out[:, r] = key
-    return out
-
-
-def repeats_needed(items: list[bytes], share: float, recall: float) -> int:
-    """Repetitions until an item edited at ``share`` of its symbols meets itself with ``recall``.
-
-    Measured on 64 or more random edits of at most 64 items, with a fixed seed, and kept between
-    LEAST_REPEATS and MOST_REPEATS.
-    """
-    rng, some = np.random.default_rng(5), [t for t in items if t][:64]
-    if not some:
-        return LEAST_REPEATS
-    some = some * math.ceil(64 / len(some))
-    edited = []
-    for t in some:
-        letters = list(t)
-        for _ in range(int(share * len(t))):
-            at, what = int(rng.integers(0, max(1, len(letters)))), int(rng.integers(0, 3))
-            if what == 0 and letters:
-                letters[min(at, len(letters) - 1)] = 101
-            elif what == 1 and len(letters) > 1:
-                del letters[min(at, len(letters) - 1)]
-            else:
-                letters.insert(at, 110)
-        edited.append(bytes(letters))
-    sizes = np.array([len(t) for t in some])
-    same = bit_hashes(some, sizes, MOST_REPEATS) == bit_hashes(edited, sizes, MOST_REPEATS)
-    found = np.maximum.accumulate(same, axis=1).mean(0)
-    enough = np.flatnonzero(found >= recall)
-    return max(LEAST_REPEATS, int(enough[0]) + 1) if len(enough) else MOST_REPEATS
-
-
 def best_match(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
     """(edits, end) of the substring of ``text`` nearest to ``item``, None above ``most`` edits.
 
@@ -134,61 +69,119 @@ def locate(item: bytes, text: bytes, most: int) -> tuple[int, int, int] | None:
     return edits, end - (back[1] if back else len(item)), end
 
 
-def _index(items: list[tuple[int, bytes]], share: float, recall: float, anchors: int) -> dict:
-    texts = [t for _, t in items]
-    sizes = np.array([len(t) for t in texts])
-    repeats = repeats_needed(texts, share, recall)
-    hashes = bit_hashes(texts, sizes, repeats)
-    order = np.argsort(hashes, axis=None, kind="stable")
-    starts: dict[bytes, list[tuple[int, int]]] = {}
-    alone = set()
-    for k, t in enumerate(texts):
-        offsets: dict[bytes, int] = {}
-        at = 0
-        for w in t.split():
-            offsets.setdefault(w, at)
-            at += len(w) + 1
-        order_ = sorted(offsets, key=lambda w: (-len(w), w))
-        chosen = [w for w in order_ if len(w) >= 4][: min(anchors, max(4, len(order_) // 2))]
-        if len(chosen) < 4:
-            chosen = order_[:4]
-            alone.add(k)
-        for w in chosen:
-            starts.setdefault(w, []).append((k, offsets[w]))
-    return {
-        "repeats": repeats,
-        "keys": hashes.ravel()[order],
-        "items": order // repeats,
-        "starts": starts,
-        "alone": alone,
-        "slack": [max(4, int(share * n)) for n in sizes],
-        "sizes": sizes.tolist(),
-    }
-
-
-def _windows(words: list[bytes], met: set[bytes], index: dict) -> set[tuple[int, int]]:
-    """(start, size) of the windows of a text: where two anchors of an item nearly agree on a start.
-
-    An item with fewer than four words to choose from needs one.
+def cut(size: int, share: float) -> tuple[int, int]:
+    """Length of the pieces of an item of ``size`` bytes, and how many of them every occurrence holds.
+
+    The longest pieces of which three remain, or as many as possible; short pieces only where an
+    item must have them.
+    """
+    edits = int(share * size)
+    if not edits:
+        piece = min(PIECE, size)
+        return piece, size // piece
+    remain = {q: size // q - edits for q in range(1, min(PIECE, size) + 1)}
+    fair = [q for q, n in remain.items() if n > 0 and q >= 4]
+    piece = max(fair, key=lambda q: (min(remain[q], 3), q)) if fair else max(q for q, n in remain.items() if n > 0)
+    return piece, remain[piece]
+
+
+def _words(data: bytes, piece: int) -> np.ndarray:
+    """The ``piece`` bytes from every place of ``data`` on, each as one number."""
+    whole = np.ndarray((len(data) - PIECE + 1,), "<u8", data, 0, (1,))
+    return whole & np.uint64((1 << 8 * piece) - 1)
+
+
+class Pieces:
+    """The pieces of one length: distinct ones in order, and the items and offsets that own each."""
+
+    def __init__(self, piece: int, items: list[tuple[int, bytes]]):
+        words, owners, offsets = [], [], []
+        for k, text in items:
+            at = np.arange(len(text) // piece) * piece
+            words.append(_words(text + bytes(PIECE), piece)[at])
+            owners.append(np.full(len(at), k, np.int64))
+            offsets.append(at)
+        word, owner, offset = np.concatenate(words), np.concatenate(owners), np.concatenate(offsets)
+        order = np.lexsort((offset, owner, word))
+        self.piece, self.owner, self.offset = piece, owner[order], offset[order]
+        self.words, self.first, self.n = np.unique(word[order], return_index=True, return_counts=True)
+        self.filter = None
+
+    def met(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``data`` where a piece lies, and which."""
+        if self.filter is None:
+            self.filter = np.zeros(1 << BITS, bool)
+            self.filter[(self.words * SPREAD) >> np.uint64(64 - BITS)] = True
+        places, pieces = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for begin in range(0, len(data) - PIECE + 1, STEP):
+            words = _words(data[begin : begin + STEP + PIECE - 1], self.piece)
+            at = np.flatnonzero(self.filter[(words * SPREAD) >> np.uint64(64 - BITS)])
+            which = np.minimum(np.searchsorted(self.words, words[at]), len(self.words) - 1)
+            same = self.words[which] == words[at]
+            places.append(at[same] + begin)
+            pieces.append(which[same])
+        return np.concatenate(places), np.concatenate(pieces)
+
+
+def _spans(
+    found: Pieces, places: np.ndarray, pieces: np.ndarray, starts: np.ndarray, limits: tuple, items: tuple[int, int]
+) -> Iterator[tuple[int, int, int | None, int | None]]:
+    """(item, text, first, last displacement) wherever enough pieces of an item meet; None for a whole text.
+
+    Only items of the range ``items`` count. It is halved as long as too many pieces met would be
+    held; an item that alone meets so many is left to a search of the whole texts.
     """
-    votes: dict[int, list[tuple[int, int]]] = {}
-    starts, ends = index["starts"], list(accumulate(map(len, words)))
-    for i in [i for i, w in enumerate(words) if w in met]:
-        at = ends[i] + i - len(words[i])
-        for k, offset in starts[words[i]]:
-            votes.setdefault(k, []).append((at - offset, offset))
-    length = ends[-1] + len(ends)
-    found = set()
-    for k, given in votes.items():
-        size, slack = index["sizes"][k], index["slack"][k]
-        given.sort()
-        if k in index["alone"]:
-            found.update((x, size) for x, _ in given)
-        elif len(given) > 1:
-            for (x, one), (y, other) in zip(given, given[1:], strict=False):
-                if y - x <= slack and one != other:
-                    found.update(((x, size), (y, size)))
-    return {(start, size) for start, size in found if start > -size // 4 and start + size // 2 < length}
+    low, high = items
+    chosen = np.flatnonzero((found.owner >= low) & (found.owner < high))
+    first = np.searchsorted(chosen, found.first)
+    n = (np.searchsorted(chosen, found.first + found.n) - first)[pieces]
+    total = int(n.sum())
+    if not total:
+        return
+    if total > HELD and high - low > 1:
+        for half in ((low, (low + high) // 2), ((low + high) // 2, high)):
+            yield from _spans(found, places, pieces, starts, limits, half)
+        return
+    texts = np.searchsorted(starts, places, side="right") - 1
+    if total > HELD:
+        yield from ((low, int(k), None, None) for k in np.unique(texts[n > 0]))
+        return
+    own = chosen[np.repeat(first[pieces] - (np.cumsum(n) - n), n) + np.arange(total)]
+    sizes, edits, least = limits
+    text, item, room = np.repeat(texts, n), found.owner[own], int(sizes.max())
+    moved = np.repeat(places, n) - starts[text] - found.offset[own] + room
+    width = int(np.diff(starts).max()) + 2 * room
+    keys = np.sort((item * (len(starts) - 1) + text) * width + moved)
+    group = keys // width
+    item = group // (len(starts) - 1)
+    last = np.arange(total) + least[item] - 1
+    inside = np.flatnonzero(last < total)
+    enough = inside[keys[last[inside]] - keys[inside] <= edits[item[inside]]]
+    enough = enough[group[enough] == group[last[enough]]]
+    for k, g, i in zip(enough.tolist(), group[enough].tolist(), item[enough].tolist(), strict=True):
+        yield i, g % (len(starts) - 1), int(keys[k] % width) - room, int(keys[last[k]] % width) - room
+
+
+def candidates(
+    texts: list[bytes], groups: list[Pieces], sizes: np.ndarray, edits: np.ndarray, least: np.ndarray
+) -> dict[tuple[int, int], list[list[int]]]:
+    """(text, item) with the parts of the text, apart from each other, that hold all its occurrences."""
+    data = b"\0".join(texts) + bytes(PIECE)
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    parts: dict[tuple[int, int], list[list[int]]] = {}
+    for found in groups:
+        places, pieces = found.met(data)
+        for item, text, first, last in _spans(found, places, pieces, starts, (sizes, edits, least), (0, len(sizes))):
+            begin, end = 0, len(texts[text])
+            if first is not None:
+                begin = max(0, first - int(edits[item]))
+                end = min(end, last + int(sizes[item]) + 2 * int(edits[item]))
+            before = parts.setdefault((text, item), [])
+            if before and begin <= before[-1][1]:
+                before[-1][1] = max(before[-1][1], end)
+            else:
+                before.append([begin, end])
+    return parts
 
 
 def find_items(
@@ -196,20 +189,20 @@ def find_items(
     benchmark: DataFrame,
     *,
     share: float = 0.1,
-    recall: float = 0.95,
-    anchors: int = 24,
     most_items: int = 20_000,
     min_length: int = 12,
 ) -> DataFrame:
     """doc_id, item_id, edits, start, end: the best occurrence of every item in every row of ``docs``.
 
     An item occurs where a passage lies within ``share`` of its length in edits, both taken as UTF-8
-    bytes of their words (see ``normal``); start and end are bytes of that form of the text. Items
-    are searched in blocks of ``most_items``, so what goes with a task is bounded whatever the size
-    of the benchmark. Windows have the item's size and start where two of its ``anchors`` longest
-    words agree to put them. Items shorter than ``min_length``, null and empty ones are never found; equal
-    items are found separately. Every document is read whole, once per block, without a shuffle.
+    bytes of their words (see ``normal``); start and end are bytes of that form of the text. Every
+    occurrence is found, and the best has the fewest edits, then the first end. Items are searched in
+    blocks of ``most_items``, so what goes with a task is bounded whatever the size of the benchmark.
+    Items shorter than ``min_length``, null and empty ones are never found; equal items are found
+    separately. Every document is read whole, once per block, without a shuffle.
     """
+    if not 0 <= share < 1:
+        raise ValueError("share must be at least 0 and below 1")
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {doc_kind}, item_id {item_kind}, edits int, start int, end int"
@@ -222,58 +215,47 @@ def find_items(
             {(r["item_id"], normal(r["text"])[0]) for r in chosen.collect() if len(normal(r["text"])[0]) >= min_length}
         )
         if items:
-            found = map_batches(docs.select("doc_id", "text"), schema, _searcher(items, share, recall, anchors))
+            found = map_batches(docs.select("doc_id", "text"), schema, _searcher(items, share))
             out = found if out is None else out.union(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _searcher(items: list[tuple[int, bytes]], share: float, recall: float, anchors: int):
-    index = _index(items, share, recall, anchors)
-
+def _searcher(items: list[tuple[int, bytes]], share: float):
     def make():
-        keys, owners, words_of_items = index["keys"], index["items"], index["starts"].keys()
-
-        def candidates(windows: list[tuple[int, int, int]], texts: dict[int, bytes]) -> set[tuple[int, int, int]]:
-            found = set()
-            for i in range(0, len(windows), 4096):
-                part = windows[i : i + 4096]
-                sizes = np.array([size for _, _, size in part])
-                cut = [texts[k][max(0, start) : max(0, start) + size] for k, start, size in part]
-                hashes = bit_hashes(cut, sizes, index["repeats"])
-                low, high = np.searchsorted(keys, hashes), np.searchsorted(keys, hashes, side="right")
-                for row, r in zip(*np.nonzero(high > low), strict=True):
-                    k, start, _ = part[row]
-                    for item in owners[low[row, r] : high[row, r]].tolist():
-                        found.add((k, item, start))
-            return found
+        sizes = np.array([len(t) for _, t in items], np.int64)
+        edits = np.array([int(share * n) for n in sizes.tolist()], np.int64)
+        cuts = [cut(n, share) for n in sizes.tolist()]
+        least = np.array([n for _, n in cuts], np.int64)
+        groups = [
+            Pieces(q, [(k, items[k][1]) for k, (piece, _) in enumerate(cuts) if piece == q])
+            for q in sorted({piece for piece, _ in cuts})
+        ]
+
+        def run(texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
+            for (k, item), parts in sorted(candidates(texts, groups, sizes, edits, least).items()):
+                best = None
+                for begin, end in parts:
+                    found = locate(items[item][1], texts[k][begin:end], int(edits[item]))
+                    if found and (best is None or found[0] < best[0]):
+                        best = (found[0], begin + found[1], begin + found[2])
+                if best:
+                    yield k, item, *best
 
         def each(batch: pa.RecordBatch):
-            ids = batch.column("doc_id").to_pylist()
-            windows, texts = [], {}
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                whole, words = normal(text)
-                met = words_of_items & set(words)
-                if met:
-                    texts[k] = whole
-                    windows.extend((k, start, size) for start, size in sorted(_windows(words, met, index)))
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for k, item, start in sorted(candidates(windows, texts)):
-                before = best.get((k, item))
-                if before and (before[0] == 0 or before[1] <= start < before[2]):
-                    continue
-                text = items[item][1]
-                most = int(share * len(text))
-                low = max(0, start - most)
-                found = locate(text, texts[k][low : start + len(text) + most], most)
-                if found and (before is None or found[0] < before[0]):
-                    best[(k, item)] = (found[0], low + found[1], low + found[2])
-            rows = sorted(best.items())
+            ids, rows = batch.column("doc_id").to_pylist(), []
+            begin, texts, held = 0, [], 0
+            for k, text in enumerate(batch.column("text").to_pylist(), 1):
+                texts.append(normal(text)[0])
+                held += len(texts[-1])
+                if held >= RUN or k == batch.num_rows:
+                    rows.extend((begin + at, *rest) for at, *rest in run(texts))
+                    begin, texts, held = k, [], 0
             return {
-                "doc_id": [ids[k] for (k, _), _ in rows],
-                "item_id": [items[item][0] for (_, item), _ in rows],
-                "edits": [e for _, (e, _, _) in rows],
-                "start": [s for _, (_, s, _) in rows],
-                "end": [e for _, (_, _, e) in rows],
+                "doc_id": [ids[k] for k, *_ in rows],
+                "item_id": [items[item][0] for _, item, *_ in rows],
+                "edits": [e for _, _, e, _, _ in rows],
+                "start": [s for _, _, _, s, _ in rows],
+                "end": [e for *_, e in rows],
             }
 
         return each

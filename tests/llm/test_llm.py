@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,6 +318,68 @@ def test_edit_distance_and_leaks(spark, edge, no_docs):
     assert [r["doc_id"] for r in decontamination.drop_contaminated(docs, bench).orderBy("doc_id").collect()] == [2, 3, 4]
 
 
+def _edited(item, n, rng):
+    """``item`` after ``n`` random edits of one byte each."""
+    letters = list(item)
+    for _ in range(n):
+        at, what = int(rng.integers(0, len(letters))), int(rng.integers(0, 3))
+        if what == 0:
+            letters[at] = 113
+        elif what == 1 and len(letters) > 1:
+            del letters[at]
+        else:
+            letters.insert(at, 106)
+    return bytes(letters)
+
+
+def _best_of_all_windows(docs, bench, share=0.1):
+    found = {}
+    for d, text in docs:
+        for i, item in bench:
+            item_ = decontamination.normal(item)[0]
+            at = item_ and decontamination.locate(item_, decontamination.normal(text)[0], int(share * len(item_)))
+            if at:
+                found[d, i] = at
+    return found
+
+
+def _found(docs, bench, **options):
+    rows = decontamination.find_items(docs, bench, **options).collect()
+    assert len({(r["doc_id"], r["item_id"]) for r in rows}) == len(rows)
+    return {(r["doc_id"], r["item_id"]): (r["edits"], r["start"], r["end"]) for r in rows}
+
+
+def test_items_with_all_their_edits_are_found(spark):
+    """Every item edited at the full share, of all lengths, as by a search of all windows."""
+    rng = np.random.default_rng(11)
+    syllables = ["the", "re", "on", "in", "and", "ti", "er", "es", "ha", "wh", "at", "nd"]
+
+    def words(n):
+        return " ".join("".join(rng.choice(syllables, int(rng.integers(1, 5)))) for _ in range(n))
+
+    bench = [(k, words(n)) for k, n in enumerate([6, 6, 6, 10, 10, 10, 20, 20, 40, 40, 80, 80, 200, 600])]
+    docs = []
+    for k, item in bench:
+        for share in (0.0, 0.05, 0.1, 0.13):
+            leak = _edited(item.encode(), int(share * len(item)), rng).decode()
+            docs.append((len(docs), f"{words(40)} {leak}{words(30)}"))
+    want = _best_of_all_windows(docs, bench)
+    assert all((4 * k + j, k) in want for k in range(len(bench)) for j in range(3))
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert _found(df, items) == want
+
+
+def test_search_in_parts_loses_nothing(spark, monkeypatch):
+    """One byte and one passage repeated beyond what is held at once, and items that share it."""
+    bench = [(0, "a" * 300), (1, "answer the question below " * 4 + "one"), (2, "answer the question below " * 4 + "two")]
+    docs = [(0, "a" * 3000), (1, "answer the question below " * 200), (2, "b" * 50 + "a" * 271 + "b" * 50), (3, "a" * 200)]
+    monkeypatch.setattr(decontamination, "HELD", 500)
+    make = decontamination._searcher(sorted((i, t.strip().encode()) for i, t in bench), 0.1)
+    got = make()(pa.RecordBatch.from_pylist([{"doc_id": d, "text": t} for d, t in docs]))
+    rows = zip(*(got[c] for c in ("doc_id", "item_id", "edits", "start", "end")))
+    assert {(d, i): tuple(rest) for d, i, *rest in rows} == _best_of_all_windows(docs, bench)
+
+
 def _plain_secrets(text):
     assign = re.compile(
         r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
