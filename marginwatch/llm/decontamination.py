@@ -190,7 +190,7 @@ def find_items(
     *,
     share: float = 0.1,
     most_items: int = 20_000,
-    min_length: int = 12,
+    min_length: int = 1,
 ) -> DataFrame:
     """doc_id, item_id, edits, start, end: the best occurrence of every item in every row of ``docs``.
 
@@ -198,8 +198,9 @@ def find_items(
     bytes of their words (see ``normal``); start and end are bytes of that form of the text. Every
     occurrence is found, and the best has the fewest edits, then the first end. Items are searched in
     blocks of ``most_items``, so what goes with a task is bounded whatever the size of the benchmark.
-    Items shorter than ``min_length``, null and empty ones are never found; equal items are found
-    separately. Every document is read whole, once per block, without a shuffle.
+    Items shorter than ten bytes have no edits to spare and are found as they are, also inside words;
+    a larger ``min_length`` leaves the shortest out. Null and empty items are never found; equal items
+    are found separately. Every document is read whole, once per block, without a shuffle.
     """
     if not 0 <= share < 1:
         raise ValueError("share must be at least 0 and below 1")

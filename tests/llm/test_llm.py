@@ -369,6 +369,21 @@ def test_items_with_all_their_edits_are_found(spark):
     assert _found(df, items) == want
 
 
+def test_short_items_and_items_without_blanks_are_found(spark):
+    rng = np.random.default_rng(12)
+    han = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 3000, 40))
+    bench = [(0, "Zürich"), (1, "qx"), (2, han), (3, "one two six"), (4, "abcdefghij klmno"), (5, "..."), (6, "two")]
+    bench += [(7 + k, "".join(rng.choice(list("ab "), int(rng.integers(1, 30)))) + "b") for k in range(20)]
+    run = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 3000, 200))
+    docs = [(0, "in Zürich, xqxz"), (1, run[:90] + han + run[90:]), (2, run[:9] + han[:20] + "k" + han[20:] + run[9:])]
+    docs += [(3, "onetwo six"), (4, "abcdefghijklmno"), (5, "abcdfghij klno"), (6, "")]
+    docs += [(7 + k, "".join(rng.choice(list("ab "), int(rng.integers(0, 80))))) for k in range(20)]
+    want = _best_of_all_windows(docs, bench)
+    assert {(0, 0), (0, 1), (1, 2), (2, 2), (3, 3), (3, 6), (4, 4)} <= set(want) and (5, 4) not in want
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert _found(df, items) == want
+
+
 def test_search_in_parts_loses_nothing(spark, monkeypatch):
     """One byte and one passage repeated beyond what is held at once, and items that share it."""
     bench = [(0, "a" * 300), (1, "answer the question below " * 4 + "one"), (2, "answer the question below " * 4 + "two")]
