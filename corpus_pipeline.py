@@ -18,8 +18,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
-    return near_dedup.keep_one(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays,
+    that with the smallest id."""
+    return near_dedup.keep_one(docs, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

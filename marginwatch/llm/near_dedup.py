@@ -7,6 +7,8 @@ Bands of coordinates propose candidates, and the shingle sets decide them by exa
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,8 +18,11 @@ from marginwatch.llm.common import map_batches, staged
 from marginwatch.llm.components import components
 
 WIDTH = 5
-BANDS, ROWS = 16, 4
+# The least number of bands, coordinates of a band and of the short signature.
+BANDS, ROWS, COORDINATES = 16, 4, 64
 SHORT = ("q0", "q1", "q2", "q3")
+# A pair at exactly the wanted similarity may be missed with these probabilities.
+BANDS_MISS, SHORT_MISS = 1e-5, 2e-5
 # Counters that order shingles by frequency; their number is fixed and so is what the driver sees.
 COUNTERS = 1 << 16
 # Fixed odd multipliers of the word combination and of the two permutations.
@@ -63,10 +68,27 @@ def signature(places: np.ndarray, coordinates: int) -> np.ndarray:
     return out
 
 
+def bands_needed(percent: int) -> int:
+    """Bands that miss a pair of this similarity with probability below BANDS_MISS."""
+    each = 1 - (percent / 100) ** ROWS
+    return max(BANDS, math.ceil(math.log(BANDS_MISS) / math.log(each))) if each > 0 else BANDS
+
+
+def least_agreeing(percent: int) -> int:
+    """The most coordinates of the short signature in which a pair of this similarity agrees but for
+    probability SHORT_MISS; four bits also agree by chance."""
+    agree, missed = percent / 100 + (1 - percent / 100) / 16, 0.0
+    for k in range(COORDINATES):
+        missed += math.comb(COORDINATES, k) * agree**k * (1 - agree) ** (COORDINATES - k)
+        if missed >= SHORT_MISS:
+            return k
+    return COORDINATES
+
+
 def band_hashes(coordinates: np.ndarray) -> np.ndarray:
     """One hash per band of the signature, with the band's number in it."""
-    rows = coordinates.reshape(BANDS, ROWS).astype(np.uint64)
-    out = np.arange(BANDS, dtype=np.uint64)
+    rows = coordinates.reshape(-1, ROWS).astype(np.uint64)
+    out = np.arange(len(rows), dtype=np.uint64)
     for k in range(ROWS):
         out = (out ^ rows[:, k]) * MIX[k]
         out ^= out >> np.uint64(31)
@@ -79,7 +101,7 @@ def nibbles(coordinates: np.ndarray) -> np.ndarray:
     return (low << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
 
 
-def _sketch(docs: DataFrame) -> DataFrame:
+def _sketch(docs: DataFrame, n_bands: int) -> DataFrame:
     """doc_id, n_shingles, the set's fingerprint, band hashes and short signature, per row of ``docs``."""
 
     def make():
@@ -89,10 +111,10 @@ def _sketch(docs: DataFrame) -> DataFrame:
                 found = shingles(text)
                 n.append(len(found))
                 if len(found):
-                    coordinates = signature(found, BANDS * ROWS)
+                    coordinates = signature(found, n_bands * ROWS)
                     prints.append(xxhash.xxh3_128_digest(found.tobytes()))
                     bands.append(band_hashes(coordinates))
-                    short.append(nibbles(coordinates))
+                    short.append(nibbles(coordinates[:COORDINATES]))
                 else:
                     for column in (prints, bands, short):
                         column.append(None)
@@ -226,11 +248,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     Links in a bucket whose members are connected already cannot change a component, so none is
     lost, and a group of thousands of near copies costs a few comparisons per member.
 
-    Sixteen bands of four coordinates miss a pair at exactly 0.85 with probability below 1e-5.
-    Null and empty texts have no shingles and stay alone; null ids are never linked.
+    There are so many bands of four coordinates, 16 for 85 and 22 for 80, that they miss a pair at
+    exactly ``percent`` with probability below 1e-5. Null and empty texts have no shingles and stay alone; null ids are never linked.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = staged(_sketch(docs))
+    rows = staged(_sketch(docs, bands_needed(percent)))
     classes = staged(
         rows.where("print is not null and doc_id is not null")
         .groupBy("print")
@@ -276,7 +298,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
                 rule = "id <> other"
             else:
                 rule = "(n > m or (n = m and id < other))"
-            pairs = left.join(right, "shingle").where(f"{rule} and component <> c and {fits} and {enough}").where(_may_agree())
+            pairs = left.join(right, "shingle").where(f"{rule} and component <> c and {fits} and {enough}").where(_may_agree(percent))
         pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -304,15 +326,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _may_agree() -> Column:
-    """Whether the short signatures agree in 42 of 64 coordinates; at similarity 0.85 they agree in 55
-    on average, and fail to with probability below 1e-4."""
+def _may_agree(percent: int) -> Column:
+    """Whether the short signatures agree in enough of 64 coordinates, 42 for 85 and 38 for 80."""
     differ = "0"
     for k in range(4):
         x = f"(q{k} ^ r{k})"
         any_bit = f"({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3))"
         differ += f" + bit_count({any_bit} & {0x1111111111111111})"
-    return F.expr(f"{BANDS * ROWS} - ({differ}) >= 42")
+    return F.expr(f"{COORDINATES} - ({differ}) >= {least_agreeing(percent)}")
 
 
 def keep_one(docs: DataFrame, *, percent: int = 85) -> DataFrame:

@@ -238,6 +238,35 @@ def test_near_duplicates_against_all_pairs(spark, edge, no_docs):
     assert kept.columns == edge.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 7, 8]
 
 
+def test_bands_and_signatures_follow_the_threshold():
+    assert [near_dedup.bands_needed(p) for p in (100, 85, 80)] == [16, 16, 22]
+    assert [near_dedup.least_agreeing(p) for p in (100, 85, 80)] == [64, 42, 38]
+    assert (1 - 0.8**4) ** near_dedup.bands_needed(80) < 1e-5
+
+
+def test_pipeline_stage_links_from_eight_tenths(spark):
+    """Pairs from 0.8 to under 0.85, the first exactly there, are copies; those just below are not."""
+    import corpus_pipeline
+
+    def text(n, changed, seed):
+        return " ".join([f"s{seed}w{k}" for k in range(n)] + [f"x{seed}{changed}{k}" for k in range(changed)])
+
+    def similarity(a, b):
+        a, b = set(near_dedup.shingles(a).tolist()), set(near_dedup.shingles(b).tolist())
+        return len(a & b) / len(a | b)
+
+    cases = {(n, c): similarity(text(n, 0, 0), text(n, c, 0)) for n in (24, 84, 100) for c in range(30)}
+    at = [k for k, s in cases.items() if 0.8 <= s < 0.85]
+    under = [k for k, s in cases.items() if 0.75 <= s < 0.8]
+    assert 0.8 in cases.values() and at and under
+    rows, kept = [], set()
+    for i, (n, c) in enumerate(at + under):
+        rows += [(2 * i, text(n, 0, i)), (2 * i + 1, text(n, c, i))]
+        kept |= {2 * i} | ({2 * i + 1} if (n, c) in under else set())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one_copy(spark, docs, SMALL).collect()} == kept
+
+
 def test_components_against_union_find(spark):
     """Chains, a hot node, loops, repeated and null links; batches of 7 links, so that stars have to meet."""
     rng = np.random.default_rng(3)
