@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -20,6 +21,7 @@ from marginwatch.llm import (
     training_order,
 )
 from marginwatch.llm.common import read
+from marginwatch.sources.stage import stage_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,22 +37,32 @@ def op1_toxicity(spark: SparkSession, base: str) -> DataFrame:
 
 
 def op2_resharding(spark: SparkSession, base: str) -> DataFrame:
-    """The present layout has five shards by text hash, the new one eight of equal bytes."""
-    found = resharding.reshard(
-        read(spark, base, "documents"),
-        SHARDS,
-        old_shard=F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("old")), F.lit(OLD_SHARDS)),
-        old_shards=OLD_SHARDS,
-    )
-    return found.select(
+    """The present layout has five shards by text hash, the new one eight of equal bytes.
+
+    Changed shards are written to the shared folder, and size and CRC come from these files; rows of
+    a shard that nothing leaves or enters stay where they are in ``documents``.
+    """
+    old = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("old")), F.lit(OLD_SHARDS)).cast("int")
+    placed = resharding.reshard(
+        read(spark, base, "documents"), SHARDS, old_shard=old, old_shards=OLD_SHARDS, whole=True
+    ).select("row", "old_shard", "shard", "slot")
+    path = f"{stage_dir(spark)}/shards-{spark.conf.get('spark.app.id')}-{uuid.uuid4().hex}"
+    changed = resharding.rewrite(placed, path, apart=True)
+    kept = placed.where(~F.col("shard").isin(changed)).select("row", "slot", "shard")
+    kind = placed.drop("old_shard", "shard").schema.add("shard", "integer")
+    found = spark.read.schema(kind).parquet(path) if changed else kept
+    if len(changed) < SHARDS:
+        found = found.union(kept) if changed else kept
+    text = F.coalesce("text", F.lit(""))
+    return found.select("row.*", F.col("slot").alias("_slot"), F.col("shard").alias("_shard")).select(
         "doc_id",
-        "size",
-        "text_crc32",
+        resharding.text_size().alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("bytes").alias("law"),
-        "shard",
-        "slot",
+        F.col("_shard").alias("shard"),
+        F.col("_slot").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-        "old_shard",
+        old.alias("old_shard"),
     )
 
 

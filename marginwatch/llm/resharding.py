@@ -117,8 +117,10 @@ def reshard(
     cost: list[list[float]] | None = None,
     blocks: int = 1024,
     cells: int = 256,
+    whole: bool = False,
 ) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard, slot: one row per row of ``docs``.
+    """doc_id, size, text_crc32, old_shard, shard, slot: one row per row of ``docs``; and ``row``, a
+    struct of all its columns, if ``whole`` is asked for, to go to ``rewrite``.
 
     ``old_shard`` gives each row's present shard, 0 to ``old_shards`` - 1. ``capacities`` are bytes
     per new shard, equal by default; ``cost`` is per byte and pair, 0 to itself and 1 otherwise by
@@ -126,22 +128,23 @@ def reshard(
     together and move together unless they exceed half a percent of a shard; then grains, hashes of
     id and text, split even a block made of one text's copies. At most ``old_shards * blocks`` block
     sizes, and ``cells`` sizes per range end and level, reach the driver, whatever the number of
-    rows. Texts are read once and never shuffled; null ids and texts are rows like others.
+    rows. Null ids and texts are rows like others. For the placement texts are read once and never
+    shuffled; whole rows are read again, placed by the same hashes, and shuffled once. A row's place
+    depends on what it holds alone, so null and repeated ids need no key.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    rows = staged(
-        docs.select(
-            "doc_id",
-            text_size().alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            old_shard.cast("int").alias("old_shard"),
-            F.pmod(F.xxhash64(text, F.lit("block")), F.lit(blocks)).cast("int").alias("block"),
-            F.pmod(F.xxhash64(text, F.lit("cell")), F.lit(cells)).cast("int").alias("cell"),
-            F.pmod(F.xxhash64("doc_id", text, F.lit("grain")), F.lit(cells)).cast("int").alias("grain"),
-            F.xxhash64("doc_id", text, F.lit("place")).alias("place"),
-        )
-    )
+    hashed = [
+        "doc_id",
+        text_size().alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        old_shard.cast("int").alias("old_shard"),
+        F.pmod(F.xxhash64(text, F.lit("block")), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(text, F.lit("cell")), F.lit(cells)).cast("int").alias("cell"),
+        F.pmod(F.xxhash64("doc_id", text, F.lit("grain")), F.lit(cells)).cast("int").alias("grain"),
+        F.xxhash64("doc_id", text, F.lit("place")).alias("place"),
+    ]
+    rows = staged(docs.select(*hashed))
     keys = ["old_shard", "block", "cell", "grain"]
     sums = rows.groupBy(keys[:2]).agg(F.sum("size").alias("n")).orderBy(keys[:2]).collect()
     supply = [0] * old_shards
@@ -153,7 +156,8 @@ def reshard(
     if cost is None:
         cost = [[float(i != j) for j in range(shards)] for i in range(old_shards)]
     arcs = _arcs(min_cost_flow(supply, capacities, cost))
-    slack, found = total // (200 * shards), rows.withColumn("shard", F.lit(None).cast("int"))
+    slack, found = total // (200 * shards), docs.select(*hashed, F.struct("*").alias("row")) if whole else rows
+    found = found.withColumn("shard", F.lit(None).cast("int"))
     begun: dict[tuple, int] = {}
     for level in (2, 3, 4):
         by = keys[:level]
@@ -168,40 +172,48 @@ def reshard(
         inner = rows.join(F.broadcast(spark.createDataFrame(split, f"{names}, low long")), by)
         finer = keys[: level + 1]
         sums = inner.groupBy(finer).agg(F.sum("size").alias("n")).orderBy(finer).collect()
-    return number_rows(found.select("doc_id", "size", "text_crc32", "old_shard", "shard", "place"))
+    kept = [*(["row"] if whole else []), "doc_id", "size", "text_crc32", "old_shard", "shard", "place"]
+    return number_rows(found.select(*kept))
 
 
-def number_rows(placed: DataFrame, ranges: int = 4096) -> DataFrame:
+def number_rows(placed: DataFrame, ranges: int = 4096, chunks: int = 16) -> DataFrame:
     """Adds a gapless slot from 0 within each shard.
 
     Rows are counted per shard and range of ``place``; the ranges' starts come from a running sum
     over those few counts, and only inside a range are rows numbered, so no shard is one task's.
+    Ranges that follow each other, ``chunks`` parts of a shard, stay together.
     """
     placed = placed.withColumn("range", F.pmod("place", F.lit(ranges)).cast("int"))
+    placed = placed.withColumn("chunk", F.expr(f"range div {-(-ranges // chunks)}").cast("int"))
     counts = placed.groupBy("shard", "range").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "range").orderBy("place", "doc_id", "text_crc32", "size")
+    within = Window.partitionBy("shard", "chunk", "range").orderBy("place", "doc_id", "text_crc32", "size")
     return (
-        placed.withColumn("nth", F.row_number().over(within))
+        placed.repartition("shard", "chunk")
+        .withColumn("nth", F.row_number().over(within))
         .join(F.broadcast(starts), ["shard", "range"])
         .withColumn("slot", F.col("start") + F.col("nth") - 1)
-        .drop("range", "start", "nth", "place")
+        .drop("range", "chunk", "start", "nth", "place")
     )
 
 
-def rewrite(assigned: DataFrame, path: str) -> list[int]:
+def rewrite(assigned: DataFrame, path: str, *, apart: bool = False) -> list[int]:
     """Rewrite the shard folders under ``path`` that lose or gain rows, and no others.
 
-    ``assigned`` holds whole rows with old_shard and shard. Folders are ``shard=<n>``; those of
-    shards without a move are left untouched. Returns the shards rewritten.
+    ``assigned`` holds whole rows with old_shard and shard, and maybe slot: then every file is in the
+    order of slots. Folders are ``shard=<n>``; those of shards without a move are left untouched.
+    ``apart`` says that ``assigned`` is not read from ``path``; otherwise rows are staged before they
+    replace what they come from. Returns the shards rewritten.
     """
     spark = assigned.sparkSession
-    moved = assigned.where(~F.col("old_shard").eqNullSafe(F.col("shard")))
-    pairs = moved.select("old_shard", "shard").distinct().collect()
-    changed = sorted({x for r in pairs for x in r if x is not None})
+    pairs = assigned.select("old_shard", "shard").distinct().collect()
+    changed = sorted({x for r in pairs if r["old_shard"] != r["shard"] for x in r if x is not None})
     if changed:
-        rows = staged(assigned.where(F.col("shard").isin(changed)))
+        rows = assigned.where(F.col("shard").isin(changed))
+        rows = rows if apart else staged(rows)
+        if "slot" in rows.columns:
+            rows = rows.sortWithinPartitions("shard", "slot")
         (
             rows.drop("old_shard")
             .write.mode("overwrite")
@@ -209,7 +221,7 @@ def rewrite(assigned: DataFrame, path: str) -> list[int]:
             .partitionBy("shard")
             .parquet(path)
         )
-        empty = set(changed) - {r["shard"] for r in rows.select("shard").distinct().collect()}
+        empty = set(changed) - {r["shard"] for r in pairs}
         for k in sorted(empty):
             spark.createDataFrame([], rows.drop("old_shard", "shard").schema).write.mode("overwrite").parquet(
                 f"{path}/shard={k}"

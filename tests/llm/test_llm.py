@@ -174,6 +174,28 @@ def test_rewrite_touches_changed_shards_only(spark, tmp_path):
     }
 
 
+def test_resharding_query_writes_the_shards(spark, tmp_path, monkeypatch):
+    """The files of the query hold every row whole, in slot order, and its result is what they hold."""
+    from marginwatch.llm import registry
+
+    monkeypatch.setattr(registry, "stage_dir", lambda _: str(tmp_path))
+    found = registry.op2_resharding(spark, SMALL).collect()
+    (path,) = tmp_path.glob("shards-*")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    written = spark.read.parquet(str(path))
+    assert sorted(map(str, written.select("row.*").collect())) == sorted(map(str, docs.collect()))
+    assert sorted((r["row"]["doc_id"], r["shard"], r["slot"]) for r in written.collect()) == sorted(
+        (r["doc_id"], r["shard"], r["slot"]) for r in found
+    )
+    for file in path.glob("shard=*/*.parquet"):
+        slots = [r["slot"] for r in spark.read.parquet(str(file)).select("slot").collect()]
+        assert slots == sorted(slots)
+    per = {}
+    for r in found:
+        per.setdefault(r["shard"], []).append(r["slot"])
+    assert set(per) == set(range(8)) and all(sorted(x) == list(range(len(x))) for x in per.values())
+
+
 def _plain_links(rows, least):
     units = {i: (y, multi_index.unit(v)) for i, v, y in rows}
     ok = [i for i, (y, u) in units.items() if y is not None and u is not None]
