@@ -190,6 +190,7 @@ def find_items(
     *,
     share: float = 0.1,
     most_items: int = 20_000,
+    most_bytes: int = 1 << 24,
     min_length: int = 1,
 ) -> DataFrame:
     """doc_id, item_id, edits, start, end: the best occurrence of every item in every row of ``docs``.
@@ -197,7 +198,8 @@ def find_items(
     An item occurs where a passage lies within ``share`` of its length in edits, both taken as UTF-8
     bytes of their words (see ``normal``); start and end are bytes of that form of the text. Every
     occurrence is found, and the best has the fewest edits, then the first end. Items are searched in
-    blocks of ``most_items``, so what goes with a task is bounded whatever the size of the benchmark.
+    blocks of about ``most_items`` and ``most_bytes``, or of one item that is longer; a task holds a
+    few times these bytes, whatever the size of the benchmark.
     Items shorter than ten bytes have no edits to spare and are found as they are, also inside words;
     a larger ``min_length`` leaves the shortest out. Null and empty items are never found; equal items
     are found separately. Every document is read whole, once per block, without a shuffle.
@@ -208,10 +210,11 @@ def find_items(
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {doc_kind}, item_id {item_kind}, edits int, start int, end int"
     wanted = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
-    blocks = max(1, math.ceil(wanted.count() / most_items))
+    size = wanted.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = max(1, math.ceil(size["n"] / most_items), math.ceil((size["bytes"] or 0) / most_bytes))
     out = None
     for block in range(blocks):
-        chosen = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).distinct()
+        chosen = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).distinct()
         items = sorted(
             {(r["item_id"], normal(r["text"])[0]) for r in chosen.collect() if len(normal(r["text"])[0]) >= min_length}
         )

@@ -435,6 +435,18 @@ def test_short_items_and_items_without_blanks_are_found(spark):
     assert _found(df, items) == want
 
 
+def test_blocks_are_cut_by_bytes(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    bench = [(0, "".join(rng.choice(list("abcdefgh "), 100_000)).strip())]
+    bench += [(k, "".join(rng.choice(list("abcdefgh"), 1000))) for k in range(1, 40)]
+    docs = [(k, f"some {item} more") for k, item in bench]
+    blocks, searcher = [], decontamination._searcher
+    monkeypatch.setattr(decontamination, "_searcher", lambda items, *a: blocks.append(items) or searcher(items, *a))
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert {k for k, _ in _found(df, items, most_bytes=20_000)} == {k for k, _ in bench}
+    assert len(blocks) > 3 and all(len(b) == 1 or sum(len(t) for k, t in b if k) <= 20_000 for b in blocks)
+
+
 def test_search_in_parts_loses_nothing(spark, monkeypatch):
     """One byte and one passage repeated beyond what is held at once, and items that share it."""
     bench = [(0, "a" * 300), (1, "answer the question below " * 4 + "one"), (2, "answer the question below " * 4 + "two")]
