@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from marginwatch.llm import (
     bpe,
     decontamination,
+    lexical_search,
     multi_index,
     near_dedup,
     quality,
@@ -101,6 +102,12 @@ def op10_decontamination(spark: SparkSession, base: str) -> DataFrame:
     return decontamination.find_items(read(spark, base, "documents"), read(spark, base, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, base: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    index = lexical_search.build_index(read(spark, base, "documents"))
+    return lexical_search.digests(lexical_search.search(index, read(spark, base, "benchmark")))
+
+
 def pipeline(spark: SparkSession, base: str) -> DataFrame:
     import corpus_pipeline
 
@@ -119,6 +126,7 @@ def queries() -> dict[str, Query]:
         "op8_bpe": op8_bpe,
         "op9_near_dedup": op9_near_dedup,
         "op10_decontamination": op10_decontamination,
+        "op11_lexical_search": op11_lexical_search,
         "pipeline": pipeline,
     }
 
