@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginwatch.llm import (
     bpe,
+    collocations,
     decontamination,
     lexical_search,
     multi_index,
@@ -108,6 +109,10 @@ def op11_lexical_search(spark: SparkSession, base: str) -> DataFrame:
     return lexical_search.digests(lexical_search.search(index, read(spark, base, "benchmark")))
 
 
+def op13_collocations(spark: SparkSession, base: str) -> DataFrame:
+    return collocations.collocations(read(spark, base, "documents"))
+
+
 def pipeline(spark: SparkSession, base: str) -> DataFrame:
     import corpus_pipeline
 
@@ -127,6 +132,7 @@ def queries() -> dict[str, Query]:
         "op9_near_dedup": op9_near_dedup,
         "op10_decontamination": op10_decontamination,
         "op11_lexical_search": op11_lexical_search,
+        "op13_collocations": op13_collocations,
         "pipeline": pipeline,
     }
 

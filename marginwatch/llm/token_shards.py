@@ -264,8 +264,7 @@ class Grams:
 
     def split(self, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Places on both levels of the states of each part, by ranges of the scrambled prefix (a, b)."""
-        mixed = scrambled(self.a, self.b)
-        part = (mixed >> np.uint64(32)).astype(np.int64) * parts >> 32
+        part = range_of(self.a, self.b, parts)
         two = np.split(np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=parts))[:-1])
         below = part[self.parents()]
         three = np.split(np.argsort(below, kind="stable"), np.cumsum(np.bincount(below, minlength=parts))[:-1])
@@ -277,6 +276,14 @@ class Grams:
             self.a[two], self.b[two], self.children[two], self.c[three], self.w2[:, two], self.w3[:, three]
         )
 
+    def weights(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """First weights of the states that these paths lead to, 0 where there is none."""
+        known = len(self.a)
+        rank = pairs(np.concatenate([self.a, first]), np.concatenate([self.b, second]))[1]
+        table = np.zeros(int(rank.max()) + 1 if len(rank) else 0, np.int64)
+        table[rank[:known]] = self.w2[0]
+        return table[rank[known:]]
+
     def to_bytes(self) -> bytes:
         n = np.array([len(self.a), len(self.c), len(self.w2)])
         same = np.zeros(len(self.a), bool)
@@ -351,12 +358,12 @@ class Grams:
         return whole, list(zip(np.split(state2, cut2), np.split(state3, cut3)))
 
 
-def scrambled(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """64 well-mixed bits of each pair."""
+def range_of(a: np.ndarray, b: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of the equal ranges of the scrambled pairs each pair is in."""
     x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    return (x >> np.uint64(32)).astype(np.int64) * ranges >> 32
 
 
 def _deltas(values: np.ndarray, same: np.ndarray) -> np.ndarray:
