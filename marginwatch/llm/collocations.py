@@ -45,6 +45,7 @@ from marginwatch.llm.token_shards import (
 )
 
 BREAKS = byte_set((0x0A, 0x0D), *[(b, b) for b in b".,;:!?"])
+RANKING_SLICES = 64
 INSIDE = ~BREAKS & ~byte_set((0x20, 0x20), (0x09, 0x09))
 SHARD = """shard long, words binary, lengths binary, sums binary, n_words long, code binary, go_on binary,
     n_tokens long, langs array<string>, lang_tokens array<long>"""
@@ -261,8 +262,12 @@ def collocations(
         F.when(second, F.col("f_z")).otherwise(F.coalesce("yz", "f_y")).alias("r"),
         F.when(second, F.col("after_two")).otherwise(F.col("after_one")).alias("score"),
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # First within slices of a language, so that no task ranks all phrases of a common one.
+    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    slices = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANKING_SLICES))).orderBy(*order)
+    best = rows.withColumn("rank", F.row_number().over(slices)).where(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    best = best.where(F.col("rank") <= top)
     sizes = (
         shards.select(F.inline(F.arrays_zip(F.col("langs").alias("lang"), F.col("lang_tokens").alias("n"))))
         .groupBy("lang")

@@ -12,6 +12,7 @@ from marginwatch.llm import (
     bpe,
     collocations,
     decontamination,
+    interpolation,
     lexical_search,
     multi_index,
     near_dedup,
@@ -109,6 +110,10 @@ def op11_lexical_search(spark: SparkSession, base: str) -> DataFrame:
     return lexical_search.digests(lexical_search.search(index, read(spark, base, "benchmark")))
 
 
+def op12_lm_scores(spark: SparkSession, base: str) -> DataFrame:
+    return interpolation.lm_scores(read(spark, base, "documents"))
+
+
 def op13_collocations(spark: SparkSession, base: str) -> DataFrame:
     return collocations.collocations(read(spark, base, "documents"))
 
@@ -132,6 +137,7 @@ def queries() -> dict[str, Query]:
         "op9_near_dedup": op9_near_dedup,
         "op10_decontamination": op10_decontamination,
         "op11_lexical_search": op11_lexical_search,
+        "op12_lm_scores": op12_lm_scores,
         "op13_collocations": op13_collocations,
         "pipeline": pipeline,
     }
