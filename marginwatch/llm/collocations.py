@@ -40,7 +40,7 @@ from marginwatch.llm.token_shards import (
     range_of,
     split_words,
     united_words,
-    unpack,
+    unpacked,
     word_blocks,
 )
 
@@ -124,12 +124,12 @@ def _tries(shards: DataFrame, numbers: DataFrame, word_parts: int, ranges: int)
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
         (row,) = own.to_pylist()
         number = np.zeros(row["n_words"], np.int64)
-        words = binaries(row["words"], unpack(row["lengths"]))
+        words = binaries(row["words"], unpacked(row["lengths"]))
         ids = dict(zip(found["part"].to_pylist(), found["numbers"].to_pylist()))
         for part, places in enumerate(split_words(words, word_parts)):
             if len(places):
-                number[places] = unpack(ids[part])
-        token = number[unpack(row["code"])]
+                number[places] = unpacked(ids[part])
+        token = number[unpacked(row["code"])]
         go_on = np.unpackbits(np.frombuffer(row["go_on"], np.uint8), count=len(token)).astype(bool)
         followed = np.zeros(len(token) + 1, bool)
         followed[: len(token) - 1] = go_on[1:] & (token[:-1] > 0) & (token[1:] > 0)

@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from marginwatch.llm.common import staged
 from marginwatch.llm.token_shards import (
-    SHARD_BYTES,
     Grams,
     Tokens,
     binaries,
@@ -46,13 +45,15 @@ from marginwatch.llm.token_shards import (
     parts_for,
     split_words,
     united_words,
-    unpack,
+    unpacked,
     word_blocks,
 )
 
 INSIDE = ~byte_set((0x20, 0x20), (0x09, 0x0D))
 # No word holds a blank.
 END = b" "
+# Three numbers a token are at work at a time in a task, and their sorted copies.
+SHARD_BYTES = 8 << 20
 BUCKETS = 48
 ROUNDS = 15
 HELD_OUT, TRAINS, DELETED = 0, 1, 2
@@ -138,15 +139,15 @@ def _coded(shards: DataFrame, numbers: DataFrame, parts: int) -> DataFrame:
         n = row["n_words"]
         number, sums = np.zeros(n, np.int64), np.zeros((2, n), np.int64)
         got = {r["part"]: r for r in found.to_pylist()}
-        for part, places in enumerate(split_words(binaries(row["words"], unpack(row["lengths"])), parts)):
+        for part, places in enumerate(split_words(binaries(row["words"], unpacked(row["lengths"])), parts)):
             if len(places):
-                number[places] = unpack(got[part]["numbers"])
-                sums[:, places] = unpack(got[part]["sums"]).reshape(2, -1)
+                number[places] = unpacked(got[part]["numbers"])
+                sums[:, places] = unpacked(got[part]["sums"]).reshape(2, -1)
         order = np.argsort(number)
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         row |= {
-            "code": packed(place[unpack(row["code"])]),
+            "code": packed(place[unpacked(row["code"])]),
             "numbers": packed(np.diff(number[order], prepend=0)),
             "sums": packed(sums[:, order].ravel()),
         }
@@ -165,9 +166,9 @@ class _Shard:
     """A shard's tokens and its grams; every document's first token has the end token as context."""
 
     def __init__(self, row: dict):
-        self.code = unpack(row["code"])
-        self.number = np.cumsum(unpack(row["numbers"]))
-        self.sums = unpack(row["sums"]).reshape(2, -1)
+        self.code = unpacked(row["code"])
+        self.number = np.cumsum(unpacked(row["numbers"]))
+        self.sums = unpacked(row["sums"]).reshape(2, -1)
         sizes = np.array(row["sizes"], np.int64)
         self.starts = np.cumsum(sizes) - sizes
         self.kind = np.repeat(np.array(row["kinds"], np.int64), sizes)
@@ -179,10 +180,10 @@ class _Shard:
         # an occurrence of two tokens at every token; of three at every token but the first ones
         followed = np.flatnonzero(second) - 1
         self.before, self.third = before, followed + 1
-        trains, gone = self.kind >= TRAINS, self.kind == DELETED
-        w2 = np.stack([trains, gone]).astype(np.int64)
+        # deleted documents have shards of their own, so one weight is enough here
+        trains = (self.kind >= TRAINS).astype(np.int64)[None]
         self.grams, self.state2, self.state3 = Grams.counted(
-            self.number[before], self.number[self.code], followed, self.number[self.code[self.third]], w2, w2[:, self.third]
+            self.number[before], self.number[self.code], followed, self.number[self.code[self.third]], trains, trains[:, self.third]
         )
         self.followed = followed
 
@@ -199,7 +200,7 @@ class _Shard:
 
 
 def _asked(coded: DataFrame, ranges: int) -> DataFrame:
-    """(range, shard, trie): the grams of every shard, with their training counts."""
+    """(range, shard, deleted, trie): the grams of every shard, with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,18 +212,22 @@ def _asked(coded: DataFrame, ranges: int) -> DataFrame:
                             {
                                 "range": pa.array([k], pa.int32()),
                                 "shard": [row["shard"]],
+                                "deleted": [row["deleted"]],
                                 "trie": [grams.taken(*places).to_bytes()],
                             }
                         )
 
-    return coded.mapInArrow(run, "range int, shard long, trie binary")
+    return coded.mapInArrow(run, "range int, shard long, deleted boolean, trie binary")
 
 
 def _counted(asked: DataFrame) -> DataFrame:
     """(range, shard, n, sums): the corpus counts of the grams that a shard sent to a range, in its order."""
 
     def run(table: pa.Table) -> pa.Table:
-        whole, states = Grams.united([Grams.of_bytes(t) for t in table["trie"].to_pylist()])
+        tries = [Grams.of_bytes(t) for t in table["trie"].to_pylist()]
+        for trie, gone in zip(tries, table["deleted"].to_pylist()):
+            trie.w2, trie.w3 = (np.concatenate([w, w if gone else np.zeros_like(w)]) for w in (trie.w2, trie.w3))
+        whole, states = Grams.united(tries)
         return pa.table(
             {
                 "range": table["range"],
@@ -249,7 +254,7 @@ def _with_counts(coded: DataFrame, counted: DataFrame, ranges: int, each: Callab
         got = dict(zip(found["range"].to_pylist(), zip(found["n"].to_pylist(), found["sums"].to_pylist())))
         for k, (two, three) in enumerate(shard.grams.split(ranges)):
             if len(two):
-                n, sums = got[k][0], unpack(got[k][1])
+                n, sums = got[k][0], unpacked(got[k][1])
                 c2[:, two], c3[:, three] = sums[: 2 * n].reshape(2, -1), sums[2 * n :].reshape(2, -1)
         return each(row, shard, c2, c3)
 

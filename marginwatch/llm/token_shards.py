@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
@@ -44,11 +45,16 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(values: np.ndarray) -> bytes:
-    return pack(values)[0].tobytes()
+    return zstandard.compress(pack(values)[0].tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return unpack(zstandard.decompress(raw))
 
 
 def unpack(raw: bytes | np.ndarray) -> np.ndarray:
-    b = np.frombuffer(raw, np.uint8) if not isinstance(raw, np.ndarray) else raw
+    """The inverse of :func:`pack`."""
+    b = np.frombuffer(raw, np.uint8)
     if not len(b):
         return np.zeros(0, np.int64)
     ends = np.flatnonzero(b < 128)
@@ -209,8 +215,8 @@ def word_blocks(shards: DataFrame, parts: int, sums: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words = binaries(row["words"], unpack(row["lengths"]))
-                numbers = unpack(row["sums"]).reshape(sums, -1)
+                words = binaries(row["words"], unpacked(row["lengths"]))
+                numbers = unpacked(row["sums"]).reshape(sums, -1)
                 for part, own in enumerate(split_words(words, parts)):
                     if len(own):
                         raw, lengths = contents(words.take(pa.array(own)))
@@ -236,12 +242,12 @@ def split_words(words: pa.Array, parts: int) -> list[np.ndarray]:
 
 def united_words(table: pa.Table, sums: int) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
     """Of one part's blocks: the distinct words, their summed numbers, and each block's places in them."""
-    blocks = [binaries(w.as_py(), unpack(n.as_py())) for w, n in zip(table["words"], table["lengths"])]
+    blocks = [binaries(w.as_py(), unpacked(n.as_py())) for w, n in zip(table["words"], table["lengths"])]
     coded = pa.concat_arrays(blocks).dictionary_encode()
     codes = np.split(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum([len(b) for b in blocks])[:-1])
     totals = np.zeros((sums, len(coded.dictionary)), np.int64)
     for code, numbers in zip(codes, table["sums"]):
-        totals[:, code] += unpack(numbers.as_py()).reshape(sums, -1)
+        totals[:, code] += unpacked(numbers.as_py()).reshape(sums, -1)
     return coded.dictionary, totals, codes
 
 
@@ -307,7 +313,7 @@ class Grams:
 
     @classmethod
     def of_bytes(cls, raw: bytes) -> Grams:
-        v = unpack(raw)
+        v = unpacked(raw)
         n2, n3, k = (int(x) for x in v[:3])
         a, b, children, c, w2, w3 = np.split(v[3:], np.cumsum([n2, n2, n2, n3, k * n2]))
         a = np.cumsum(a)
