@@ -46,6 +46,7 @@ from marginwatch.llm.token_shards import (
     split_words,
     united_words,
     unpacked,
+    unpacked_all,
     word_blocks,
 )
 
@@ -221,7 +222,7 @@ def _asked(coded: DataFrame, ranges: int) -> DataFrame:
 
 
 def _counted(asked: DataFrame) -> DataFrame:
-    """(range, shard, n, sums): the corpus counts of the grams that a shard sent to a range, in its order."""
+    """(range, shard, sums): the corpus counts of the grams that a shard sent to a range, in its order."""
 
     def run(table: pa.Table) -> pa.Table:
         tries = [Grams.of_bytes(t) for t in table["trie"].to_pylist()]
@@ -232,15 +233,14 @@ def _counted(asked: DataFrame) -> DataFrame:
             {
                 "range": table["range"],
                 "shard": table["shard"],
-                "n": pa.array([len(two) for two, _ in states], pa.int64()),
                 "sums": pa.array(
-                    [packed(np.concatenate([whole.w2[:, two].ravel(), whole.w3[:, three].ravel()])) for two, three in states],
+                    [packed(*whole.w2[:, two], *whole.w3[:, three]) for two, three in states],
                     pa.binary(),
                 ),
             }
         )
 
-    return staged(asked.groupBy("range").applyInArrow(run, "range int, shard long, n long, sums binary"))
+    return staged(asked.groupBy("range").applyInArrow(run, "range int, shard long, sums binary"))
 
 
 def _with_counts(coded: DataFrame, counted: DataFrame, ranges: int, each: Callable, kind: str) -> DataFrame:
@@ -251,11 +251,11 @@ def _with_counts(coded: DataFrame, counted: DataFrame, ranges: int, each: Callab
         shard = _Shard(row)
         c2 = np.zeros((2, len(shard.grams.a)), np.int64)
         c3 = np.zeros((2, len(shard.grams.c)), np.int64)
-        got = dict(zip(found["range"].to_pylist(), zip(found["n"].to_pylist(), found["sums"].to_pylist())))
+        got = dict(zip(found["range"].to_pylist(), found["sums"].to_pylist()))
         for k, (two, three) in enumerate(shard.grams.split(ranges)):
             if len(two):
-                n, sums = got[k][0], unpacked(got[k][1])
-                c2[:, two], c3[:, three] = sums[: 2 * n].reshape(2, -1), sums[2 * n :].reshape(2, -1)
+                sums = unpacked_all(got[k])
+                c2[:, two], c3[:, three] = sums[:2], sums[2:]
         return each(row, shard, c2, c3)
 
     return coded.groupBy("shard").cogroup(counted.groupBy("shard")).applyInArrow(run, kind)

@@ -44,12 +44,32 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
-def packed(values: np.ndarray) -> bytes:
-    return zstandard.compress(pack(values)[0].tobytes(), 1)
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers >= 0 as compressed byte planes, each as wide as its largest number needs."""
+    heads, planes = [len(columns)], []
+    for values in columns:
+        width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+        heads += [len(values), width]
+        whole = np.ascontiguousarray(values).astype("<u8").view(np.uint8).reshape(-1, 8)
+        planes.append(whole[:, :width].T.tobytes())
+    return zstandard.compress(np.array(heads, "<i8").tobytes() + b"".join(planes), 1)
+
+
+def unpacked_all(raw: bytes) -> list[np.ndarray]:
+    data = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    heads = data[8 : 8 + 16 * int(data[:8].view("<i8")[0])].view("<i8").reshape(-1, 2)
+    at, columns = 8 + heads.size * 8, []
+    for n, width in heads.tolist():
+        whole = np.zeros((n, 8), np.uint8)
+        whole[:, :width] = data[at : at + n * width].reshape(width, n).T
+        columns.append(whole.view("<i8").ravel())
+        at += n * width
+    return columns
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return unpack(zstandard.decompress(raw))
+    """The one column of ``raw``."""
+    return unpacked_all(raw)[0]
 
 
 def unpack(raw: bytes | np.ndarray) -> np.ndarray:
@@ -66,20 +86,27 @@ def unpack(raw: bytes | np.ndarray) -> np.ndarray:
     return np.add.reduceat(groups, starts).astype(np.int64)
 
 
-def run_starts(same: np.ndarray) -> np.ndarray:
-    """Positions where ``same`` (whether an entry continues the one before) is false."""
-    return np.flatnonzero(~same)
-
-
 def pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs of numbers >= 0: the position of each distinct pair, in order, and each pair's rank."""
+    """For pairs of numbers >= 0: a position of each distinct pair, in order, and each pair's rank."""
     if not len(a):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     span = int(b.max()) + 1
     if int(a.max()) >= (1 << 62) // span:
         a = np.unique(a, return_inverse=True)[1]
-    _, first, rank = np.unique(a.astype(np.int64) * span + b, return_index=True, return_inverse=True)
-    return first, rank
+    key = a.astype(np.int64) * span + b
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return order[new], rank
+
+
+def dealt(part: np.ndarray, parts: int) -> list[np.ndarray]:
+    """The places of each part's entries, in order."""
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(part, minlength=parts))[:-1])
 
 
 def binaries(raw: bytes, lengths: np.ndarray) -> pa.Array:
@@ -236,8 +263,7 @@ def word_blocks(shards: DataFrame, parts: int, sums: int) -> DataFrame:
 def split_words(words: pa.Array, parts: int) -> list[np.ndarray]:
     """The places of the words of each part, in order."""
     part = np.fromiter((zlib.crc32(w) % parts for w in words.to_pylist()), np.int64, len(words))
-    order = np.argsort(part, kind="stable")
-    return np.split(order, np.cumsum(np.bincount(part, minlength=parts))[:-1])
+    return dealt(part, parts)
 
 
 def united_words(table: pa.Table, sums: int) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
@@ -271,10 +297,7 @@ class Grams:
     def split(self, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Places on both levels of the states of each part, by ranges of the scrambled prefix (a, b)."""
         part = range_of(self.a, self.b, parts)
-        two = np.split(np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=parts))[:-1])
-        below = part[self.parents()]
-        three = np.split(np.argsort(below, kind="stable"), np.cumsum(np.bincount(below, minlength=parts))[:-1])
-        return list(zip(two, three))
+        return list(zip(dealt(part, parts), dealt(part[self.parents()], parts)))
 
     def taken(self, two: np.ndarray, three: np.ndarray) -> Grams:
         """The states at these places; ``three`` must be the children of ``two``."""
@@ -291,37 +314,38 @@ class Grams:
         return table[rank[known:]]
 
     def to_bytes(self) -> bytes:
-        n = np.array([len(self.a), len(self.c), len(self.w2)])
-        same = np.zeros(len(self.a), bool)
-        same[1:] = self.a[1:] == self.a[:-1]
-        sibling = np.ones(len(self.c), bool)
-        starts = np.cumsum(self.children) - self.children
-        sibling[starts[self.children > 0]] = False
+        """Labels as steps from the sibling before, which sorted siblings keep small."""
+        a = np.diff(self.a, prepend=0)
         return packed(
-            np.concatenate(
-                [
-                    n,
-                    np.diff(self.a, prepend=0),
-                    _deltas(self.b, same),
-                    self.children,
-                    _deltas(self.c, sibling),
-                    self.w2.ravel(),
-                    self.w3.ravel(),
-                ]
-            )
+            a,
+            _deltas(self.b, self._same_first(self.a)),
+            self.children,
+            _deltas(self.c, self._siblings(self.children, len(self.c))),
+            *self.w2,
+            *self.w3,
         )
 
     @classmethod
     def of_bytes(cls, raw: bytes) -> Grams:
-        v = unpacked(raw)
-        n2, n3, k = (int(x) for x in v[:3])
-        a, b, children, c, w2, w3 = np.split(v[3:], np.cumsum([n2, n2, n2, n3, k * n2]))
+        a, b, children, c, *weights = unpacked_all(raw)
         a = np.cumsum(a)
-        same = np.zeros(n2, bool)
+        b = _summed(b, cls._same_first(a))
+        c = _summed(c, cls._siblings(children, len(c)))
+        kinds = len(weights) // 2
+        return cls(a, b, children, c, np.stack(weights[:kinds]), np.stack(weights[kinds:]))
+
+    @staticmethod
+    def _same_first(a: np.ndarray) -> np.ndarray:
+        same = np.zeros(len(a), bool)
         same[1:] = a[1:] == a[:-1]
-        sibling = np.ones(n3, bool)
-        sibling[(np.cumsum(children) - children)[children > 0]] = False
-        return cls(a, _summed(b, same), children, _summed(c, sibling), w2.reshape(k, n2), w3.reshape(k, n3))
+        return same
+
+    @staticmethod
+    def _siblings(children: np.ndarray, n: int) -> np.ndarray:
+        """Whether each of ``n`` states of the third level has the parent of the state before."""
+        same = np.ones(n, bool)
+        same[(np.cumsum(children) - children)[children > 0]] = False
+        return same
 
     @classmethod
     def counted(
@@ -382,7 +406,7 @@ def _deltas(values: np.ndarray, same: np.ndarray) -> np.ndarray:
 def _summed(steps: np.ndarray, same: np.ndarray) -> np.ndarray:
     """The inverse of :func:`_deltas`."""
     total = np.cumsum(steps)
-    starts = run_starts(same)
+    starts = np.flatnonzero(~same)
     lengths = np.diff(np.append(starts, len(steps)))
     return total - np.repeat(total[starts] - steps[starts], lengths)
 
