@@ -29,16 +29,15 @@ from marginwatch.llm.token_shards import (
     SHARD_BYTES,
     Grams,
     Tokens,
-    binaries,
     byte_set,
     contents,
     entries,
+    in_hash_order,
     map_shards,
     packed,
     pairs,
     parts_for,
     range_of,
-    split_words,
     united_words,
     unpacked,
     word_blocks,
@@ -71,6 +70,7 @@ def _shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
             tokens.words.take(pa.array(tokens.code[first])),
             pa.scalar(b"\t", pa.binary()),
         )
+        words, code = in_hash_order(words, code)
         raw, lengths = contents(words)
         go_on = np.zeros(len(code), bool)
         go_on[1:] = tokens.piece[1:] == tokens.piece[:-1]
@@ -118,17 +118,13 @@ def _vocabulary(shards: DataFrame, parts: int, least: int) -> DataFrame:
     return staged(word_blocks(shards, parts, 1).groupBy("part").applyInArrow(run, VOCABULARY))
 
 
-def _tries(shards: DataFrame, numbers: DataFrame, word_parts: int, ranges: int) -> DataFrame:
+def _tries(shards: DataFrame, numbers: DataFrame, ranges: int) -> DataFrame:
     """(range, trie): each shard's automaton, cut by prefix ranges."""
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
         (row,) = own.to_pylist()
-        number = np.zeros(row["n_words"], np.int64)
-        words = binaries(row["words"], unpacked(row["lengths"]))
-        ids = dict(zip(found["part"].to_pylist(), found["numbers"].to_pylist()))
-        for part, places in enumerate(split_words(words, word_parts)):
-            if len(places):
-                number[places] = unpacked(ids[part])
+        found = found.sort_by("part")["numbers"].to_pylist()
+        number = np.concatenate([unpacked(x) for x in found])
         token = number[unpacked(row["code"])]
         go_on = np.unpackbits(np.frombuffer(row["go_on"], np.uint8), count=len(token)).astype(bool)
         followed = np.zeros(len(token) + 1, bool)
@@ -145,7 +141,7 @@ def _tries(shards: DataFrame, numbers: DataFrame, word_parts: int, ranges: int)
             }
         )
 
-    needed = shards.select("shard", "words", "lengths", "n_words", "code", "go_on")
+    needed = shards.select("shard", "code", "go_on")
     sent = numbers.where("shard IS NOT NULL").select("shard", "part", "numbers")
     return needed.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(run, "range int, trie binary")
 
@@ -223,10 +219,9 @@ def collocations(
     longer one that occurs at least ``inside_pct`` % as often are dropped.
     """
     shards = _shards(docs, shard_bytes)
-    words, tokens = entries(shards, "n_words"), entries(shards, "n_tokens")
-    word_parts, ranges = parts_for(words), parts_for(2 * tokens)
-    vocabulary = _vocabulary(shards, word_parts, least)
-    united = _united(_tries(shards, vocabulary, word_parts, ranges), least)
+    ranges = parts_for(2 * entries(shards, "n_tokens"))
+    vocabulary = _vocabulary(shards, parts_for(entries(shards, "n_words")), least)
+    united = _united(_tries(shards, vocabulary, ranges), least)
     phrases = _phrases(united, ranges)
     three = staged(_with_rest(phrases, united))
 

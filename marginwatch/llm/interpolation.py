@@ -29,21 +29,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from marginwatch.llm.common import staged
 from marginwatch.llm.token_shards import (
     Grams,
     Tokens,
-    binaries,
     byte_set,
     contents,
     entries,
+    in_hash_order,
     map_shards,
     packed,
     pairs,
     parts_for,
-    split_words,
     united_words,
     unpacked,
     unpacked_all,
@@ -62,8 +62,6 @@ HELD_OUT, TRAINS, DELETED = 0, 1, 2
 SHARD = """shard long, deleted boolean, ids array<long>, kinds array<tinyint>, sizes array<int>, words binary,
     lengths binary, sums binary, n_words long, code binary, n_tokens long"""
 NUMBERS = "shard long, part int, numbers binary, sums binary, train_tokens long, train_words long"
-CODED = """shard long, deleted boolean, ids array<long>, kinds array<tinyint>, sizes array<int>, code binary,
-    numbers binary, sums binary, n_tokens long"""
 
 
 def _sums(code: np.ndarray, kind: np.ndarray, n: int) -> np.ndarray:
@@ -89,6 +87,7 @@ def _shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
         inner = np.ones(len(code), bool)
         inner[np.cumsum(sizes) - 1] = False
         code[inner] = tokens.code
+        words, code = in_hash_order(words, code)
         raw, lengths = contents(words)
         yield {
             "shard": [shard],
@@ -132,44 +131,15 @@ def _numbered(shards: DataFrame, parts: int) -> DataFrame:
     return staged(word_blocks(shards, parts, 2).groupBy("part").applyInArrow(run, NUMBERS))
 
 
-def _coded(shards: DataFrame, numbers: DataFrame, parts: int) -> DataFrame:
-    """Shards whose dictionary holds the words' numbers, ascending, and their counts, instead of the words."""
-
-    def run(own: pa.Table, found: pa.Table) -> pa.Table:
-        (row,) = own.to_pylist()
-        n = row["n_words"]
-        number, sums = np.zeros(n, np.int64), np.zeros((2, n), np.int64)
-        got = {r["part"]: r for r in found.to_pylist()}
-        for part, places in enumerate(split_words(binaries(row["words"], unpacked(row["lengths"])), parts)):
-            if len(places):
-                number[places] = unpacked(got[part]["numbers"])
-                sums[:, places] = unpacked(got[part]["sums"]).reshape(2, -1)
-        order = np.argsort(number)
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        row |= {
-            "code": packed(place[unpacked(row["code"])]),
-            "numbers": packed(np.diff(number[order], prepend=0)),
-            "sums": packed(sums[:, order].ravel()),
-        }
-        return pa.Table.from_pylist([{f: row[f] for f in names}], schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(CODED))
-    names = schema.names
-    sent = numbers.where("shard IS NOT NULL").select("shard", "part", "numbers", "sums")
-    return staged(shards.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(run, CODED))
-
-
 class _Shard:
     """A shard's tokens and its grams; every document's first token has the end token as context."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, words: pa.Table):
+        """Of a row of the shard and the blocks of its words' numbers and counts."""
+        words = words.sort_by("part")
+        self.number = np.concatenate([unpacked(x) for x in words["numbers"].to_pylist()])
+        self.sums = np.concatenate([unpacked(x).reshape(2, -1) for x in words["sums"].to_pylist()], axis=1)
         self.code = unpacked(row["code"])
-        self.number = np.cumsum(unpacked(row["numbers"]))
-        self.sums = unpacked(row["sums"]).reshape(2, -1)
         sizes = np.array(row["sizes"], np.int64)
         self.starts = np.cumsum(sizes) - sizes
         self.kind = np.repeat(np.array(row["kinds"], np.int64), sizes)
@@ -200,25 +170,24 @@ class _Shard:
         return one[self.code], one[self.before], two, context3, gram3
 
 
-def _asked(coded: DataFrame, ranges: int) -> DataFrame:
+def _asked(shards: DataFrame, words: DataFrame, ranges: int) -> DataFrame:
     """(range, shard, deleted, trie): the grams of every shard, with their training counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                grams = _Shard(row).grams
-                for k, places in enumerate(grams.split(ranges)):
-                    if len(places[0]):
-                        yield pa.RecordBatch.from_pydict(
-                            {
-                                "range": pa.array([k], pa.int32()),
-                                "shard": [row["shard"]],
-                                "deleted": [row["deleted"]],
-                                "trie": [grams.taken(*places).to_bytes()],
-                            }
-                        )
+    def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        (row,) = own.to_pylist()
+        grams = _Shard(row, found).grams
+        cut = [(k, grams.taken(*places)) for k, places in enumerate(grams.split(ranges)) if len(places[0])]
+        return pa.table(
+            {
+                "range": pa.array([k for k, _ in cut], pa.int32()),
+                "shard": pa.array([row["shard"]] * len(cut), pa.int64()),
+                "deleted": pa.array([row["deleted"]] * len(cut), pa.bool_()),
+                "trie": pa.array([t.to_bytes() for _, t in cut], pa.binary()),
+            }
+        )
 
-    return coded.mapInArrow(run, "range int, shard long, deleted boolean, trie binary")
+    kind = "range int, shard long, deleted boolean, trie binary"
+    return shards.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(run, kind)
 
 
 def _counted(asked: DataFrame) -> DataFrame:
@@ -243,22 +212,26 @@ def _counted(asked: DataFrame) -> DataFrame:
     return staged(asked.groupBy("range").applyInArrow(run, "range int, shard long, sums binary"))
 
 
-def _with_counts(coded: DataFrame, counted: DataFrame, ranges: int, each: Callable, kind: str) -> DataFrame:
+def _with_counts(shards: DataFrame, words: DataFrame, counted: DataFrame, ranges: int, each: Callable, kind: str) -> DataFrame:
     """``each`` applied to every shard's row, tokens, and the counts of its grams of two and three tokens."""
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
         (row,) = own.to_pylist()
-        shard = _Shard(row)
+        of_words = pc.is_valid(found["numbers"])
+        shard = _Shard(row, found.filter(of_words))
         c2 = np.zeros((2, len(shard.grams.a)), np.int64)
         c3 = np.zeros((2, len(shard.grams.c)), np.int64)
-        got = dict(zip(found["range"].to_pylist(), found["sums"].to_pylist()))
+        of_grams = found.filter(pc.invert(of_words))
+        got = dict(zip(of_grams["part"].to_pylist(), of_grams["sums"].to_pylist()))
         for k, (two, three) in enumerate(shard.grams.split(ranges)):
             if len(two):
                 sums = unpacked_all(got[k])
                 c2[:, two], c3[:, three] = sums[:2], sums[2:]
         return each(row, shard, c2, c3)
 
-    return coded.groupBy("shard").cogroup(counted.groupBy("shard")).applyInArrow(run, kind)
+    grams = counted.select("shard", F.col("range").alias("part"), F.lit(None).cast("binary").alias("numbers"), "sums")
+    blocks = words.unionByName(grams)
+    return shards.groupBy("shard").cogroup(blocks.groupBy("shard")).applyInArrow(run, kind)
 
 
 def _bucket(count: np.ndarray) -> np.ndarray:
@@ -274,7 +247,7 @@ def _probability(counts, tokens: int, words: int, l1: float, l2: np.ndarray, l3:
     return p
 
 
-def _deleted_counts(coded: DataFrame, counted: DataFrame, ranges: int) -> DataFrame:
+def _deleted_counts(shards: DataFrame, words: DataFrame, counted: DataFrame, ranges: int) -> DataFrame:
     """(one, context2, two, context3, three, n): how many deleted tokens have these counts without the deleted part."""
 
     def each(row: dict, shard: _Shard, c2: np.ndarray, c3: np.ndarray) -> pa.Table:
@@ -286,7 +259,8 @@ def _deleted_counts(coded: DataFrame, counted: DataFrame, ranges: int) -> DataFr
 
     kind = ", ".join(f"{name} long" for name in (*COUNTS, "n"))
     # shards of deleted documents have odd numbers
-    rows = _with_counts(coded.where("deleted"), counted.where("shard % 2 = 1"), ranges, each, kind)
+    tables = [t.where("shard % 2 = 1") for t in (shards, words, counted)]
+    rows = _with_counts(*tables, ranges, each, kind)
     return staged(rows.groupBy(*COUNTS).agg(F.sum("n").alias("n")))
 
 
@@ -358,9 +332,10 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS, shard_bytes: int = SHARD_BY
     tokens, words = numbers.agg(
         F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("train_words"), F.lit(0))
     ).first()
-    coded = _coded(shards, numbers, word_parts)
-    counted = _counted(_asked(coded, ranges))
-    deleted = _deleted_counts(coded, counted, ranges)
+    shards = shards.drop("words", "lengths", "sums", "n_words", "n_tokens")
+    numbers = numbers.where("shard IS NOT NULL").select("shard", "part", "numbers", "sums")
+    counted = _counted(_asked(shards, numbers, ranges))
+    deleted = _deleted_counts(shards, numbers, counted, ranges)
     rest = tokens - (deleted.agg(F.sum("n")).first()[0] or 0)
     weights = fit_weights(deleted, rest, words, rounds)
 
@@ -382,4 +357,4 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS, shard_bytes: int = SHARD_BY
 
     kind = """doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double,
         score double"""
-    return _with_counts(coded, counted, ranges, each, kind)
+    return _with_counts(shards, numbers, counted, ranges, each, kind)

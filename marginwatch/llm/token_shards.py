@@ -233,9 +233,9 @@ WORD_BLOCK = "shard long, part int, words binary, lengths binary, sums binary"
 
 
 def word_blocks(shards: DataFrame, parts: int, sums: int) -> DataFrame:
-    """A block for each shard and part: its words that belong to the part, and ``sums`` numbers each.
+    """A block for each shard and part, a range of hashes: its words there, and ``sums`` numbers each.
 
-    ``shards`` holds ``shard`` and the dictionary: ``words`` laid end to end, packed ``lengths``, and
+    ``shards`` holds ``shard`` and the dictionary in hash order: ``words`` laid end to end, packed ``lengths``, and
     ``sums``, packed, all first numbers before all second ones.
     """
 
@@ -244,26 +244,33 @@ def word_blocks(shards: DataFrame, parts: int, sums: int) -> DataFrame:
             for row in batch.to_pylist():
                 words = binaries(row["words"], unpacked(row["lengths"]))
                 numbers = unpacked(row["sums"]).reshape(sums, -1)
-                for part, own in enumerate(split_words(words, parts)):
-                    if len(own):
-                        raw, lengths = contents(words.take(pa.array(own)))
+                bounds = np.searchsorted(hashes(words) * parts >> 32, np.arange(parts + 1))
+                for part, (low, high) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                    if low < high:
+                        raw, lengths = contents(words.slice(low, high - low))
                         yield pa.RecordBatch.from_pydict(
                             {
                                 "shard": [row["shard"]],
                                 "part": pa.array([part], pa.int32()),
                                 "words": [raw],
                                 "lengths": [packed(lengths)],
-                                "sums": [packed(numbers[:, own].ravel())],
+                                "sums": [packed(numbers[:, low:high].ravel())],
                             }
                         )
 
     return shards.select("shard", "words", "lengths", "sums").mapInArrow(run, WORD_BLOCK)
 
 
-def split_words(words: pa.Array, parts: int) -> list[np.ndarray]:
-    """The places of the words of each part, in order."""
-    part = np.fromiter((zlib.crc32(w) % parts for w in words.to_pylist()), np.int64, len(words))
-    return dealt(part, parts)
+def hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words.to_pylist()), np.int64, len(words))
+
+
+def in_hash_order(words: pa.Array, code: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """A dictionary sorted by hash, so that a part's words are a run of it, and the codes that go with it."""
+    order = np.argsort(hashes(words), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return words.take(pa.array(order)), place[code]
 
 
 def united_words(table: pa.Table, sums: int) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
