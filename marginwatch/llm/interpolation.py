@@ -240,6 +240,7 @@ def _bucket(count: np.ndarray) -> np.ndarray:
 
 def _probability(counts, tokens: int, words: int, l1: float, l2: np.ndarray, l3: np.ndarray) -> np.ndarray:
     one, context2, two, context3, three = counts
+    l1 = l1 if tokens else 0.0
     p = l1 * one / max(tokens, 1) + (1 - l1) / (words + 1)
     for context, gram, weights in ((context2, two, l2), (context3, three, l3)):
         weight = np.where(context > 0, weights[_bucket(context)], 0.0)
