@@ -5,6 +5,11 @@ order with i items and p payments counts i x p times. That product is never buil
 side is first reduced to one row per order (and category or seller), and the joined
 row count and sums follow from the two row counts. The work stays linear however many
 rows one order has, and partial aggregation shrinks a hot order before any shuffle.
+Rows of one order id that agree in all columns used are one row with a count as well, so
+a repeated order id meets its lines once.
+
+:func:`order_fact` is that join for all reports at once: trends, detectors and root causes
+aggregate it, so a full run joins orders, items and payments once.
 """
 
 from __future__ import annotations
@@ -15,6 +20,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from marginwatch.functions.labels import UNKNOWN, canceled
 from marginwatch.functions.money import cents, mean, percent, total
+from marginwatch.functions.timekeys import whole_days, year_month, year_week
+
+PURCHASED = "order_purchase_timestamp"
+DELIVERY = "order_delivered_customer_date"
 
 
 def order_payments(payments: DataFrame) -> DataFrame:
@@ -56,13 +65,13 @@ def category_lines(items: DataFrame, categories: DataFrame, *keys: str) -> DataF
 
 
 def joined_rows(orders: DataFrame, lines: DataFrame, payments: DataFrame, dedupe: bool = False) -> DataFrame:
-    """Orders with payments and lines, one row per line, carrying fan-out measures.
+    """Distinct order rows with payments and lines, one row per line, carrying fan-out measures.
 
     ``fan_rows`` is the number of item x payment rows and ``fan_paid`` their summed
     payment value in cents. ``dedupe`` counts every payment once per line instead.
     """
-    paid = orders.join(order_payments(payments), "order_id")
-    items = F.lit(1) if dedupe else F.col("item_rows")
+    paid = counted_orders(orders.join(order_payments(payments), "order_id"))
+    items = F.col("order_rows") * (F.lit(1) if dedupe else F.col("item_rows"))
     return paid.join(lines, "order_id").withColumns(
         {
             "fan_rows": items * F.col("payment_rows"),
@@ -71,6 +80,70 @@ def joined_rows(orders: DataFrame, lines: DataFrame, payments: DataFrame, dedupe
     )
 
 
+def counted_orders(orders: DataFrame) -> DataFrame:
+    """Equal rows as one with their number. After a join by order id this needs no shuffle of its own."""
+    return orders.groupBy(*orders.columns).agg(F.count(F.lit(1)).alias("order_rows"))
+
+
+def paid_orders(orders: DataFrame, payments: DataFrame) -> DataFrame:
+    """Order rows with ``paid`` and ``payment_rows``, null for orders without a non-zero payment."""
+    columns = ["order_id", "customer_id", "order_status", PURCHASED, DELIVERY]
+    return orders.select(*columns).join(order_payments(payments), "order_id", "left")
+
+
+def order_fact(paid: DataFrame, items: DataFrame, products: DataFrame, category_xlat: DataFrame) -> DataFrame:
+    """One row per distinct order row, seller and category, with the measures of both sides.
+
+    ``paid`` is :func:`paid_orders`. ``known`` is null for items whose product is not in ``products``,
+    the measures of payments are null for orders without any; reports filter what they need.
+    ``fan_rows``, ``fan_paid`` and ``fan_listed`` count and sum the item x payment rows,
+    ``line_rows`` the item rows alone.
+    """
+    orders = counted_orders(
+        paid.select(
+            "order_id",
+            "customer_id",
+            "order_status",
+            year_week(PURCHASED).alias("year_week"),
+            year_month(PURCHASED).alias("year_month"),
+            whole_days(F.col(DELIVERY), F.col(PURCHASED)).alias("lifecycle_days"),
+            "paid",
+            "payment_rows",
+        )
+    )
+    categories = product_categories(products, category_xlat, unknown=False).withColumn("known", F.lit(True))
+    lines = (
+        items.select("order_id", "product_id", "seller_id", "price", "freight_value")
+        .join(categories, "product_id", "left")
+        .groupBy("order_id", "seller_id", "known", "category_en")
+        .agg(
+            F.count(F.lit(1)).alias("item_rows"),
+            F.sum(cents("price") + cents("freight_value")).alias("listed"),
+        )
+    )
+    return orders.join(lines, "order_id").select(
+        "order_id",
+        "customer_id",
+        "order_status",
+        "year_week",
+        "year_month",
+        "lifecycle_days",
+        "seller_id",
+        "known",
+        "category_en",
+        (F.col("order_rows") * F.col("item_rows")).alias("line_rows"),
+        (F.col("order_rows") * F.col("item_rows") * F.col("payment_rows")).alias("fan_rows"),
+        (F.col("order_rows") * F.col("item_rows") * F.col("paid")).alias("fan_paid"),
+        (F.col("order_rows") * F.col("payment_rows") * F.col("listed")).alias("fan_listed"),
+    )
+
+
+def priced_lines(fact: DataFrame) -> DataFrame:
+    """Paid rows of known products; the missing category is named."""
+    rows = fact.filter(F.col("fan_rows").isNotNull() & F.col("known"))
+    return rows.withColumn("category_en", F.coalesce("category_en", F.lit(UNKNOWN)))
+
+
 def canceled_rows() -> Column:
     return F.sum(F.when(canceled(), F.col("fan_rows")).otherwise(F.lit(0)))
 

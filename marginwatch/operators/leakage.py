@@ -27,10 +27,13 @@ def discount_abuse(
     dedupe: bool = False,
 ) -> DataFrame:
     """L1: delivered orders that paid more than ``threshold_pct`` below list price."""
-    per_order = (
-        order_discounts(orders, items, payments, dedupe)
-        .groupBy("order_id")
-        .agg(F.sum("list_price").alias("listed"), F.sum("actual_paid").alias("paid"))
+    return abuse_of(order_discounts(orders, items, payments, dedupe), threshold_pct)
+
+
+def abuse_of(discounts: DataFrame, threshold_pct: float = RULES.discount_pct) -> DataFrame:
+    """:func:`discount_abuse` of order discounts."""
+    per_order = discounts.groupBy("order_id").agg(
+        F.sum("list_price").alias("listed"), F.sum("actual_paid").alias("paid")
     )
     return per_order.select(
         "order_id",
@@ -54,12 +57,18 @@ def refund_rates(
     dated = facts.orders_with(
         orders.filter(F.col(PURCHASED).isNotNull()), [year_week(PURCHASED).alias("year_week")]
     )
+    rows = facts.counted_orders(dated).join(lines, "order_id")
+    return refund_rates_of(rows.withColumn("line_rows", F.col("order_rows") * F.col("item_rows")))
+
+
+def refund_rates_of(rows: DataFrame) -> DataFrame:
+    """:func:`refund_rates` of order lines with ``line_rows``; those without a week or category drop out."""
     return (
-        dated.join(lines, "order_id")
+        rows.filter(F.col("year_week").isNotNull() & F.col("category_en").isNotNull())
         .groupBy("year_week", "category_en")
         .agg(
             F.count_distinct("order_id").alias("total_orders"),
-            F.sum(F.when(canceled(), F.col("item_rows")).otherwise(F.lit(0))).alias("cancellations"),
+            F.sum(F.when(canceled(), F.col("line_rows")).otherwise(F.lit(0))).alias("cancellations"),
         )
         .withColumn("cancel_rate_pct", percent(F.col("cancellations"), F.col("total_orders")))
     )
@@ -93,7 +102,11 @@ def refund_spikes(
     sigmas: float = RULES.refund_sigmas,
 ) -> DataFrame:
     """L2: category weeks whose cancellation rate spikes."""
-    rates = refund_rates(orders, items, products, category_xlat)
+    return spikes_of(refund_rates(orders, items, products, category_xlat), weeks, min_weeks, sigmas)
+
+
+def spikes_of(rates: DataFrame, weeks: int, min_weeks: int, sigmas: float) -> DataFrame:
+    """:func:`refund_spikes` of weekly rates."""
     return refund_baseline(rates, weeks, min_weeks, sigmas).filter("is_refund_spike")
 
 
@@ -143,22 +156,37 @@ def short_lifecycle_orders(
     products: DataFrame,
     category_xlat: DataFrame,
     days: int = RULES.short_days,
+    slice_rows: int = 10_000,
 ) -> DataFrame:
     """L4 rows of orders delivered in fewer than ``days`` days: one per item and payment row.
 
     The row grain is the product of an order's items and payments by definition. Use
-    :func:`short_lifecycle_flags` where sums or order ids are wanted.
+    :func:`short_lifecycle_flags` where sums or order ids are wanted. An order with more than
+    ``slice_rows`` items is counted before the join, its items are dealt to slices of that size, and its
+    payments go to each slice, so several tasks build its rows.
     """
+    heavy = (
+        items.groupBy("order_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > slice_rows)
+        .select("order_id", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"))
+    )
     short = _lifecycles(orders).filter(F.col("lifecycle_days") < days).drop("order_status")
     categories = facts.product_categories(products, category_xlat, unknown=False)
     paid = payments.filter(F.col("payment_value") > 0).select(
         "order_id", amount(cents("payment_value")).alias("payment_value")
     )
-    return (
-        items.select("order_id", "product_id", "seller_id")
+    slices = F.coalesce("slices", F.lit(1))
+    lines = (
+        items.select("order_id", "product_id", "seller_id", F.monotonically_increasing_id().alias("n"))
+        .join(heavy, "order_id", "left")
+        .select("order_id", "product_id", "seller_id", F.pmod("n", slices).cast("int").alias("slice"))
         .join(categories, "product_id")
-        .join(short, "order_id")
-        .join(paid, "order_id")
+    )
+    sent = short.join(paid, "order_id").join(heavy, "order_id", "left")
+    sent = sent.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("slices")
+    return (
+        lines.join(sent, ["order_id", "slice"])
         .select("order_id", "seller_id", "category_en", "lifecycle_days", "payment_value")
     )
 
@@ -172,6 +200,12 @@ def lifecycle_lines(
     return facts.joined_rows(_lifecycles(orders), lines, payments)
 
 
+def fact_lifecycle_lines(fact: DataFrame) -> DataFrame:
+    """:func:`lifecycle_lines` from the shared fact."""
+    rows = fact.filter(delivered() & F.col("lifecycle_days").isNotNull() & F.col("fan_rows").isNotNull() & F.col("known"))
+    return rows.select("order_id", "order_status", "lifecycle_days", "seller_id", "category_en", "fan_rows", "fan_paid")
+
+
 def short_lifecycle_flags(lines: DataFrame, days: int = RULES.short_days) -> DataFrame:
     """L4 flags without the row product: one row per order, seller and category.
 

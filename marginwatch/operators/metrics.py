@@ -32,9 +32,11 @@ def _counted_once(rows: DataFrame, measures: dict[str, Column], *keys: str) -> D
 
 def overall_kpis(orders: DataFrame, payments: DataFrame) -> DataFrame:
     """Orders, customers, gross, net and cancelled revenue, mean payment, cancellation rate."""
-    paid = orders.select("order_id", "customer_id", "order_status").join(
-        facts.order_payments(payments), "order_id"
-    )
+    return kpis_of(orders.select("order_id", "customer_id", "order_status").join(facts.order_payments(payments), "order_id"))
+
+
+def kpis_of(paid: DataFrame) -> DataFrame:
+    """:func:`overall_kpis` of orders with payments."""
     conditions = {"kept": F.col("order_status") != "canceled", "delivered": delivered(), "canceled": canceled()}
     measures = {"rows": F.col("payment_rows")}
     for name, condition in conditions.items():
@@ -57,10 +59,13 @@ def overall_kpis(orders: DataFrame, payments: DataFrame) -> DataFrame:
 
 def monthly_revenue(orders: DataFrame, payments: DataFrame) -> DataFrame:
     """Delivered revenue by purchase month."""
-    bought = orders.filter(delivered() & F.col(PURCHASED).isNotNull()).select(
-        "order_id", "customer_id", year_month(PURCHASED).alias("year_month")
-    )
-    paid = bought.join(facts.order_payments(payments), "order_id")
+    columns = ["order_id", "customer_id", "order_status", PURCHASED]
+    return months_of(orders.select(*columns).join(facts.order_payments(payments), "order_id"))
+
+
+def months_of(paid: DataFrame) -> DataFrame:
+    """:func:`monthly_revenue` of orders with payments."""
+    paid = paid.filter(delivered() & F.col(PURCHASED).isNotNull()).withColumn("year_month", year_month(PURCHASED))
     measures = {"paid": F.col("paid"), "payment_rows": F.col("payment_rows")}
     return (
         _counted_once(paid, measures, "year_month")
@@ -114,10 +119,21 @@ def order_discounts(orders: DataFrame, items: DataFrame, payments: DataFrame, de
 
 def discount_depth(orders: DataFrame, items: DataFrame, payments: DataFrame, dedupe: bool = False) -> DataFrame:
     """How far payments fall below list prices, by purchase month (which may be null)."""
+    rows = order_discounts(orders, items, payments, dedupe)
+    return depth_of(rows.withColumn("year_month", year_month(PURCHASED)))
+
+
+def fact_discounts(fact: DataFrame) -> DataFrame:
+    """:func:`order_discounts` from the shared fact: per order and month."""
+    rows = fact.filter(delivered() & F.col("fan_rows").isNotNull())
+    return rows.select("order_id", "year_month", F.col("fan_listed").alias("list_price"), F.col("fan_paid").alias("actual_paid"))
+
+
+def depth_of(rows: DataFrame) -> DataFrame:
+    """:func:`discount_depth` of order discounts with their month."""
     gap = F.sum("list_price") - F.sum("actual_paid")
     return (
-        order_discounts(orders, items, payments, dedupe)
-        .groupBy(year_month(PURCHASED).alias("year_month"))
+        rows.groupBy("year_month")
         .agg(
             F.count_distinct("order_id").alias("orders_count"),
             total("list_price").alias("total_list_price"),
@@ -141,7 +157,11 @@ def category_revenue(
     ``dedupe`` counts a payment once per category of its order, not once per item.
     """
     lines = facts.category_lines(items, facts.product_categories(products, category_xlat))
-    rows = facts.joined_rows(facts.orders_with(orders, []), lines, payments, dedupe)
+    return categories_of(facts.joined_rows(facts.orders_with(orders, []), lines, payments, dedupe))
+
+
+def categories_of(rows: DataFrame) -> DataFrame:
+    """:func:`category_revenue` of joined rows."""
     return rows.groupBy("category_en").agg(
         F.count_distinct("order_id").alias("orders_count"),
         facts.fan_revenue().alias("total_revenue"),

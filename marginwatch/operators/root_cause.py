@@ -42,6 +42,11 @@ def target_rows(
     return facts.joined_rows(dated, lines, payments).join(targets.select(*TARGET), TARGET, "left_semi")
 
 
+def fact_target_rows(targets: DataFrame, fact: DataFrame) -> DataFrame:
+    """:func:`target_rows` from the shared fact."""
+    return facts.priced_lines(fact).join(targets.select(*TARGET), TARGET, "left_semi")
+
+
 def by_state(rows: DataFrame, sellers: DataFrame) -> DataFrame:
     """Orders, revenue and cancelled rows per target and seller state."""
     return (

@@ -9,6 +9,7 @@ from marginwatch.functions.money import amount, cents, mean, percent, total
 from marginwatch.functions.timekeys import year_week
 from marginwatch.operators import facts
 from marginwatch.operators.quantile import quantile_scalars
+from marginwatch.operators.ranking import percent_ranks
 from marginwatch.rules import RULES
 
 PURCHASED = "order_purchase_timestamp"
@@ -19,12 +20,14 @@ def weekly_revenue(orders: DataFrame, payments: DataFrame) -> DataFrame:
 
     The window has no partition key, but its input is one row per calendar week.
     """
-    bought = orders.filter(delivered() & F.col(PURCHASED).isNotNull()).select(
-        "order_id", year_week(PURCHASED).alias("year_week")
-    )
+    return weeks_of(orders.select("order_id", "order_status", PURCHASED).join(facts.order_payments(payments), "order_id"))
+
+
+def weeks_of(paid: DataFrame) -> DataFrame:
+    """:func:`weekly_revenue` of orders with payments."""
     weekly = (
-        bought.join(facts.order_payments(payments), "order_id")
-        .groupBy("year_week")
+        paid.filter(delivered() & F.col(PURCHASED).isNotNull())
+        .groupBy(year_week(PURCHASED).alias("year_week"))
         .agg(F.sum("paid").alias("revenue"), F.count_distinct("order_id").alias("orders_count"))
     )
     previous = F.lag("revenue").over(Window.orderBy("year_week"))
@@ -61,8 +64,13 @@ def category_weekly(
     ``dedupe`` counts a payment once per category of its order, not once per item.
     """
     lines = facts.category_lines(items, facts.product_categories(products, category_xlat))
+    return category_weeks_of(facts.joined_rows(_dated_orders(orders), lines, payments, dedupe))
+
+
+def category_weeks_of(rows: DataFrame) -> DataFrame:
+    """:func:`category_weekly` of joined rows."""
     return (
-        facts.joined_rows(_dated_orders(orders), lines, payments, dedupe)
+        rows.filter(F.col("year_week").isNotNull())
         .groupBy("year_week", "category_en")
         .agg(
             F.count_distinct("order_id").alias("orders_count"),
@@ -85,8 +93,19 @@ def geo_weekly(
     """Orders, revenue and cancelled rows by seller state and week; ``dedupe`` as for categories."""
     located = items.select("order_id", "seller_id").join(sellers.select("seller_id", "seller_state"), "seller_id")
     lines = facts.order_lines(located, "seller_state")
+    return state_weeks_of(facts.joined_rows(_dated_orders(orders), lines, payments, dedupe))
+
+
+def fact_state_weeks(fact: DataFrame, sellers: DataFrame) -> DataFrame:
+    """:func:`geo_weekly` from the shared fact."""
+    paid = fact.filter(F.col("fan_rows").isNotNull())
+    return state_weeks_of(paid.join(sellers.select("seller_id", "seller_state"), "seller_id"))
+
+
+def state_weeks_of(rows: DataFrame) -> DataFrame:
+    """:func:`geo_weekly` of joined rows."""
     return (
-        facts.joined_rows(_dated_orders(orders), lines, payments, dedupe)
+        rows.filter(F.col("year_week").isNotNull())
         .groupBy("year_week", "seller_state")
         .agg(
             F.count_distinct("order_id").alias("orders_count"),
@@ -103,10 +122,14 @@ def customer_totals(orders: DataFrame, payments: DataFrame, customers: DataFrame
     that shuffle anyway, and a record or person with a huge share of the orders has
     shrunk to one row per task by then.
     """
+    paid = orders.select("order_id", "customer_id", PURCHASED).join(facts.order_payments(payments), "order_id")
+    return totals_of(paid, customers)
+
+
+def totals_of(paid: DataFrame, customers: DataFrame) -> DataFrame:
+    """:func:`customer_totals` of orders with payments."""
     per_record = (
-        orders.select("order_id", "customer_id", PURCHASED)
-        .join(facts.order_payments(payments), "order_id")
-        .groupBy("customer_id")
+        paid.groupBy("customer_id")
         .agg(
             F.sum("paid").alias("paid"),
             F.count_distinct("order_id").alias("orders"),
@@ -132,6 +155,20 @@ def customer_tiers(ltv: DataFrame, quantiles: tuple[float, float] = RULES.tier_q
     return ltv.withColumn("tier", tier(F.col("lifetime_value"), q40, q80))
 
 
+def ranked_customers(
+    ltv: DataFrame, shares: tuple[float, float] = RULES.tier_quantiles, ranges: int | None = None
+) -> DataFrame:
+    """Percent rank of each person's lifetime value, and the tier that follows from it.
+
+    A person is High from the first value whose rank reaches the upper share, Mid from the lower one.
+    Unlike :func:`customer_tiers` the borders are values that occur, not interpolated ones.
+    """
+    ranked = percent_ranks(ltv, "lifetime_value", "customer_unique_id", ranges)
+    rank = F.col("percent_rank")
+    name = F.when(rank >= shares[1], "High").when(rank >= shares[0], "Mid").when(rank.isNotNull(), "Low")
+    return ranked.select("customer_unique_id", "lifetime_value", "percent_rank", name.alias("tier"))
+
+
 def tier_summary(tiers: DataFrame) -> DataFrame:
     """Customers, revenue and mean value per tier that occurs."""
     value = cents("lifetime_value")

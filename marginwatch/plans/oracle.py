@@ -577,6 +577,10 @@ _ONE_EACH = """(SELECT o.order_id, o.order_purchase_timestamp, i.listed, p.paid
       ON o.order_id = p.order_id WHERE o.order_status = 'delivered')"""
 
 
+_RANKED = """SELECT *, CASE WHEN percent_rank >= 0.8 THEN 'High' WHEN percent_rank >= 0.4 THEN 'Mid' ELSE 'Low' END AS tier
+    FROM (SELECT *, PERCENT_RANK() OVER (ORDER BY lifetime_value) AS percent_rank FROM ltv)"""
+
+
 def oracle_sql() -> dict[str, str]:
     tuned, early = _evaluations(True), _evaluations(False)
     weeks_back = ", ".join(f"MAX(CASE WHEN back = {k} THEN z_score END) AS week_{k}" for k in range(1, 21))
@@ -620,6 +624,10 @@ def oracle_sql() -> dict[str, str]:
             FROM fan f JOIN x_sellers s ON f.seller_id = s.seller_id
             WHERE order_purchase_timestamp IS NOT NULL GROUP BY 1, 2""",
         "customer_ltv_tier": "SELECT * FROM tiers",
+        "customer_ltv_rank": f"SELECT customer_unique_id, lifetime_value, ROUND(percent_rank, 9) AS percent_rank, tier FROM ({_RANKED})",
+        "tier_summary_ranked": f"""SELECT tier, COUNT(*) AS customer_count,
+            {_dbl('SUM(CAST(lifetime_value AS DECIMAL(18,2)))')} AS total_revenue,
+            {_mean('CAST(lifetime_value AS DECIMAL(18,2))')} AS avg_ltv FROM ({_RANKED}) GROUP BY 1""",
         "tier_summary": f"""SELECT tier, COUNT(*) AS customer_count,
             {_dbl('SUM(CAST(lifetime_value AS DECIMAL(18,2)))')} AS total_revenue,
             {_mean('CAST(lifetime_value AS DECIMAL(18,2))')} AS avg_ltv FROM tiers WHERE tier IS NOT NULL GROUP BY 1""",

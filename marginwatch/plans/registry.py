@@ -32,6 +32,11 @@ def _analysis(result: Callable[[Analysis], DataFrame]) -> Query:
     return lambda spark, base: result(Analysis(star_tables(spark, base)))
 
 
+def _shared(result: Callable[[Analysis], DataFrame]) -> Query:
+    """For results that need several others."""
+    return lambda spark, base: result(Analysis(star_tables(spark, base), shared=True))
+
+
 def _tables(result: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
     return lambda spark, base: result(star_tables(spark, base))
 
@@ -41,7 +46,7 @@ def _trial(result: Callable[[Trial], DataFrame]) -> Query:
 
 
 def _scorecard(result: Callable[[Trial], DataFrame]) -> Query:
-    return _trial(lambda t: result(t.stage_planted()))
+    return _trial(lambda t: result(t.share()))
 
 
 def _orders_by_status(spark: SparkSession, base: str) -> DataFrame:
@@ -118,6 +123,8 @@ def queries() -> dict[str, Query]:
         ),
         "geo_weekly": _analysis(lambda a: a.geo_weekly),
         "customer_ltv_tier": _analysis(lambda a: a.customer_tiers),
+        "customer_ltv_rank": _analysis(lambda a: _rounded(a.ranked_customers, 9, "percent_rank")),
+        "tier_summary_ranked": _analysis(lambda a: tr.tier_summary(a.ranked_customers)),
         "tier_summary": _analysis(lambda a: a.tier_summary),
         # baseline and anomalies
         "rolling_baseline": _analysis(lambda a: a.baseline),
@@ -147,8 +154,8 @@ def queries() -> dict[str, Query]:
         "l4_short_orders": _analysis(lambda a: a.l4),
         "l4_short_flags": _analysis(lambda a: a.l4_flags),
         "l4_seller_category": _analysis(lambda a: a.l4_sellers),
-        "detector_totals": _analysis(lambda a: a.detector_totals),
-        "revenue_at_risk": _analysis(lambda a: lk.revenue_at_risk(a.detector_totals)),
+        "detector_totals": _shared(lambda a: a.detector_totals),
+        "revenue_at_risk": _shared(lambda a: lk.revenue_at_risk(a.detector_totals)),
         # planted leakage
         "l1_scaled_payments": _tables(
             lambda t: px.scale_payments(t["order_payments"], px.discount_targets(t["order_payments"]))
@@ -180,22 +187,22 @@ def queries() -> dict[str, Query]:
         "scorecard_first": _scorecard(lambda t: t.scorecard(tuned=False)),
         # root causes
         "rca_targets": _analysis(lambda a: a.rca_targets),
-        "rca_state": _analysis(lambda a: a.rca_state),
-        "rca_seller": _analysis(lambda a: a.rca_seller),
-        "rca_tier": _analysis(lambda a: a.rca_tier),
-        "rca_report": _analysis(lambda a: a.rca_report),
+        "rca_state": _shared(lambda a: a.rca_state),
+        "rca_seller": _shared(lambda a: a.rca_seller),
+        "rca_tier": _shared(lambda a: a.rca_tier),
+        "rca_report": _shared(lambda a: a.rca_report),
         # reporting datasets
-        "exec_kpis": _analysis(lambda a: a.summary_kpis),
-        "kpi_cards": _analysis(lambda a: rp.kpi_cards(a.summary_kpis)),
+        "exec_kpis": _shared(lambda a: a.summary_kpis),
+        "kpi_cards": _shared(lambda a: rp.kpi_cards(a.summary_kpis)),
         "revenue_3mo_avg": _analysis(lambda a: rp.revenue_with_average(a.monthly_revenue)),
-        "leakage_breakdown": _analysis(lambda a: rp.leakage_breakdown(a.detector_totals)),
+        "leakage_breakdown": _shared(lambda a: rp.leakage_breakdown(a.detector_totals)),
         "top5_cancel": _analysis(lambda a: rp.top_cancel_categories(a.top_categories)),
         "detector_recall": _scorecard(lambda t: rp.detector_recall(t.scorecard())),
         "category_list": _analysis(lambda a: rp.category_list(a.baseline)),
         "category_timeline": _analysis(lambda a: rp.category_timeline(a.staged_baseline)),
         "zscore_heatmap": _analysis(lambda a: rp.zscore_heatmap(a.staged_baseline)),
         "zscore_heatmap_wide": _analysis(lambda a: rp.zscore_heatmap_wide(rp.zscore_heatmap(a.staged_baseline))),
-        "rca_display": _analysis(lambda a: rp.rca_display(a.rca_report)),
-        "rca_choices": _analysis(lambda a: rp.rca_choices(a.rca_report)),
-        "dataset_stats": _analysis(lambda a: a.dataset_stats),
+        "rca_display": _shared(lambda a: rp.rca_display(a.rca_report)),
+        "rca_choices": _shared(lambda a: rp.rca_choices(a.rca_report)),
+        "dataset_stats": _shared(lambda a: a.dataset_stats),
     }

@@ -28,7 +28,7 @@ SPIKE_CATEGORY = "cama_mesa_banho"
 
 def results(tables: Tables, rules: Rules = RULES, analysis: Analysis | None = None) -> Tables:
     """Result tables by name, for the tables as they are."""
-    a = analysis or Analysis(tables, rules)
+    a = analysis or Analysis(tables, rules, shared=True)
     return {
         "quality": a.dq_report,
         "overall": a.overall_kpis,
@@ -77,7 +77,7 @@ def trial_results(
     else:
         changed = {name: staged(df) for name, df in changed.items()}
     planted = {**trial.planted, **changed}
-    trial.use(planted)
+    trial.use(planted, shared=True)
     return {
         **results(planted, rules, trial.analysis),
         "labels": trial.labels,
