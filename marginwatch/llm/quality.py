@@ -13,11 +13,15 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from marginwatch.llm.common import held_out, labelled, map_batches, staged
 
 STEPS = 10
+# Weights travel in blocks of so many numbers.
+BLOCK = 4096
 # Scales of the statistics: (lowest, highest) value, cut into STEPS steps.
 SCALES = {
     "words": (0.0, 12.0),
@@ -120,6 +124,13 @@ def _epoch(m: Machine, rows: list, rate: float, decay: float, rng: np.random.Gen
         m.v[at] -= rate * np.clip(step, -1, 1)
 
 
+def _mean_of_block(table: pa.Table) -> pa.Table:
+    """The mean of one block of weights over all tasks, summed in the order of the tasks."""
+    table = table.sort_by("task")
+    total = sum(np.frombuffer(x) for x in table["sums"].to_pylist()) / sum(table["n"].to_pylist())
+    return pa.table({"block": table["block"].slice(0, 1), "mean": pa.array([total.tobytes()], pa.binary())})
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -135,9 +146,11 @@ def train(
     """Fit on the labelled rows: each round every task runs one pass over its rows from the shared
     weights, and the tasks' weights are averaged by their numbers of rows.
 
-    ``max_rows`` bounds the labelled rows. Only weights, whose size is fixed by ``bits`` and
-    ``rank``, reach the driver: one set per task. Without labels of both classes the model scores
-    the share of label 1 (one half if there is none).
+    ``max_rows`` bounds the labelled rows. Weights are averaged in the cluster, block by block, so one
+    set, whose size is fixed by ``bits`` and ``rank``, reaches the driver however many tasks there are.
+    Equal labelled rows train once. Rows are dealt to tasks by their content and sorted there, so the
+    model does not depend on how the input lies. Without labels of both classes the model scores the
+    share of label 1 (one half if there is none).
     """
     def extract():
         memo: dict[bytes, int] = {}
@@ -163,7 +176,7 @@ def train(
     weights = {1: (good + bad) / (2 * good), 0: (good + bad) / (2 * bad)}
     machine.b = 0.0
     parts = max(1, min(8, (good + bad) // 500))
-    rows = rows.repartition(parts, F.xxhash64("at"))
+    rows = rows.repartition(parts, F.xxhash64("at", "x", "y")).sortWithinPartitions("at", "x", "y")
     for turn in range(rounds):
         shared = machine
 
@@ -178,15 +191,17 @@ def train(
             def finish():
                 if held:
                     _epoch(own, held, rate / (1 + turn / 2), decay, np.random.default_rng(turn))
-                    flat = np.concatenate([[own.b], own.w, own.v.ravel()])
-                    yield {"n": [len(held)], "weights": [flat.tobytes()]}
+                    flat = np.concatenate([[own.b], own.w, own.v.ravel()]) * len(held)
+                    blocks = [flat[at : at + BLOCK].tobytes() for at in range(0, len(flat), BLOCK)]
+                    task = [TaskContext.get().partitionId()] * len(blocks)
+                    yield {"block": list(range(len(blocks))), "task": task, "n": [len(held)] * len(blocks), "sums": blocks}
 
             each.finish = finish
             return each
 
-        found = map_batches(rows, "n long, weights binary", step).collect()
-        total = sum(r["n"] for r in found)
-        flat = sum(np.frombuffer(r["weights"]) * (r["n"] / total) for r in found)
+        found = map_batches(rows, "block int, task int, n long, sums binary", step)
+        mean = found.groupBy("block").applyInArrow(_mean_of_block, "block int, mean binary").collect()
+        flat = np.concatenate([np.frombuffer(r["mean"]) for r in sorted(mean, key=lambda r: r["block"])])
         cut = 1 + len(machine.w)
         machine = Machine(float(flat[0]), flat[1:cut].copy(), flat[cut:].reshape(-1, rank).copy(), bits)
     return machine

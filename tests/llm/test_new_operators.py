@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginwatch.llm import collocations, interpolation, lexical_search, token_shards
+from marginwatch.llm import collocations, interpolation, lexical_search, quality, token_shards
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, rank int, score double, item string, part int, shard long"
@@ -48,6 +48,23 @@ def texts(docs):
     return [(r.doc_id, (r.text or "").translate(LOWER), r.lang) for r in docs.select("doc_id", "text", "lang").collect()]
 
 
+# quality
+
+
+def test_quality_weights_do_not_follow_the_layout_of_the_input(spark):
+    rows, labels = (spark.read.parquet(f"{SMALL}/{name}.parquet") for name in ("documents", "labels"))
+    a, b = (quality.train(rows.repartition(n), labels.repartition(n), rounds=2) for n in (3, 7))
+    assert a.b == b.b and (a.w == b.w).all() and (a.v == b.v).all()
+
+
+def test_mean_of_weights_by_rows():
+    import pyarrow as pa
+
+    sums = [(np.array([2.0, 4.0]) * 3).tobytes(), np.array([6.0, 0.0]).tobytes()]
+    got = quality._mean_of_block(pa.table({"block": [5, 5], "task": [1, 0], "n": [3, 1], "sums": sums}))
+    assert np.frombuffer(got["mean"][0].as_py()).tolist() == [3.0, 3.0]
+
+
 # arrays
 
 
