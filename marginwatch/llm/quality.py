@@ -14,7 +14,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from marginwatch.llm.common import held_out, labelled, map_batches, staged
@@ -125,8 +124,8 @@ def _epoch(m: Machine, rows: list, rate: float, decay: float, rng: np.random.Gen
 
 
 def _mean_of_block(table: pa.Table) -> pa.Table:
-    """The mean of one block of weights over all tasks, summed in the order of the tasks."""
-    table = table.sort_by("task")
+    """The mean of one block of weights over all slices, summed in their order."""
+    table = table.sort_by("slice")
     total = sum(np.frombuffer(x) for x in table["sums"].to_pylist()) / sum(table["n"].to_pylist())
     return pa.table({"block": table["block"].slice(0, 1), "mean": pa.array([total.tobytes()], pa.binary())})
 
@@ -143,13 +142,13 @@ def train(
     rate: float = 0.1,
     decay: float = 1e-4,
 ) -> Machine:
-    """Fit on the labelled rows: each round every task runs one pass over its rows from the shared
-    weights, and the tasks' weights are averaged by their numbers of rows.
+    """Fit on the labelled rows: each round one pass runs over every slice of them from the shared
+    weights, and the slices' weights are averaged by their numbers of rows.
 
     ``max_rows`` bounds the labelled rows. Weights are averaged in the cluster, block by block, so one
-    set, whose size is fixed by ``bits`` and ``rank``, reaches the driver however many tasks there are.
-    Equal labelled rows train once. Rows are dealt to tasks by their content and sorted there, so the
-    model does not depend on how the input lies. Without labels of both classes the model scores the
+    set, whose size is fixed by ``bits`` and ``rank``, reaches the driver. There are at most eight slices.
+    Equal labelled rows train once. Rows are dealt to slices by their content and sorted there, so the
+    model depends neither on how the input lies nor on the number of tasks. Without labels of both classes the model scores the
     share of label 1 (one half if there is none).
     """
     def extract():
@@ -176,30 +175,30 @@ def train(
     weights = {1: (good + bad) / (2 * good), 0: (good + bad) / (2 * bad)}
     machine.b = 0.0
     parts = max(1, min(8, (good + bad) // 500))
-    rows = rows.repartition(parts, F.xxhash64("at", "x", "y")).sortWithinPartitions("at", "x", "y")
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("at", "x", "y"), F.lit(parts)))
+    order = [(name, "ascending") for name in ("at", "x", "y")]
     for turn in range(rounds):
         shared = machine
 
-        def step():
+        def step(table: pa.Table) -> pa.Table:
             own, held = Machine(shared.b, shared.w.copy(), shared.v.copy(), bits), []
-
-            def each(batch):
-                for a, b, y in zip(*(batch.column(c).to_pylist() for c in ("at", "x", "y")), strict=True):
-                    held.append((np.frombuffer(a, "<i4"), np.frombuffer(b, "<f8"), y, weights[y]))
-                return []
-
-            def finish():
-                if held:
-                    _epoch(own, held, rate / (1 + turn / 2), decay, np.random.default_rng(turn))
-                    flat = np.concatenate([[own.b], own.w, own.v.ravel()]) * len(held)
-                    blocks = [flat[at : at + BLOCK].tobytes() for at in range(0, len(flat), BLOCK)]
-                    task = [TaskContext.get().partitionId()] * len(blocks)
-                    yield {"block": list(range(len(blocks))), "task": task, "n": [len(held)] * len(blocks), "sums": blocks}
-
-            each.finish = finish
-            return each
-
-        found = map_batches(rows, "block int, task int, n long, sums binary", step)
+            table = table.sort_by(order)
+            for a, b, y in zip(*(table[c].to_pylist() for c in ("at", "x", "y")), strict=True):
+                held.append((np.frombuffer(a, "<i4"), np.frombuffer(b, "<f8"), y, weights[y]))
+            _epoch(own, held, rate / (1 + turn / 2), decay, np.random.default_rng(turn))
+            flat = np.concatenate([[own.b], own.w, own.v.ravel()]) * len(held)
+            blocks = [flat[at : at + BLOCK].tobytes() for at in range(0, len(flat), BLOCK)]
+            k = len(blocks)
+            return pa.table(
+                {
+                    "block": pa.array(range(k), pa.int32()),
+                    "slice": pa.array([table["slice"][0].as_py()] * k, pa.int64()),
+                    "n": pa.array([len(held)] * k, pa.int64()),
+                    "sums": pa.array(blocks, pa.binary()),
+                }
+            )
+
+        found = rows.groupBy("slice").applyInArrow(step, "block int, slice long, n long, sums binary")
         mean = found.groupBy("block").applyInArrow(_mean_of_block, "block int, mean binary").collect()
         flat = np.concatenate([np.frombuffer(r["mean"]) for r in sorted(mean, key=lambda r: r["block"])])
         cut = 1 + len(machine.w)

@@ -61,7 +61,7 @@ def test_mean_of_weights_by_rows():
     import pyarrow as pa
 
     sums = [(np.array([2.0, 4.0]) * 3).tobytes(), np.array([6.0, 0.0]).tobytes()]
-    got = quality._mean_of_block(pa.table({"block": [5, 5], "task": [1, 0], "n": [3, 1], "sums": sums}))
+    got = quality._mean_of_block(pa.table({"block": [5, 5], "slice": [1, 0], "n": [3, 1], "sums": sums}))
     assert np.frombuffer(got["mean"][0].as_py()).tolist() == [3.0, 3.0]
 
 
