@@ -16,7 +16,7 @@ CHOSEN = (
     "zscore_anomalies iforest_scores l1_discount_20 l2_refund_spike l3_churn_90 l4_short_orders l4_short_flags "
     "l4_seller_category perturb_labels truth_category_weeks scorecard rca_report exec_kpis zscore_heatmap "
     "table_preview sql_parameterised monthly_revenue_dated category_weekly_deduped rolling_baseline_full_weeks "
-    "zscore_heatmap_wide"
+    "zscore_heatmap_wide customer_ltv_rank tier_summary_ranked"
 ).split()
 
 
