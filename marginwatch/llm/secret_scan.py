@@ -24,24 +24,104 @@ LOOSE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "live")
 
 
+# Characters of a text that are cut out of it at a time.
+CHUNK = 4096
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _places(n: Column) -> Column:
+    """0 to n - 1; none for 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _width(n: Column) -> Column:
+    """Entries of a block, about the root of their number: work on n entries grows with n * sqrt(n)."""
+    return F.greatest(F.lit(16), F.sqrt(n).cast("int"))
+
+
+def _block(width: Column, i: Column) -> Column:
+    return F.floor(i / width).cast("int")
+
+
+def _before(values: Column, merge) -> Column:
+    """For each entry what ``merge`` makes of 0 and all entries before it.
+
+    Blocks are merged first and then the entries of the own block, since a list that grows by one
+    entry at a time is copied each time.
+    """
+
+    def merged(entries: Column, first: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(entries, first + 1, n), F.lit(0), merge)
+
+    def over(v: Column) -> Column:
+        x, w = v["x"], v["w"]
+        blocks = F.transform(_places(F.ceil(F.size(x) / w).cast("int")), lambda b: merged(x, b * w, w))
+        heads = _let(blocks, lambda h: F.transform(_places(F.size(h)), lambda b: merged(h, F.lit(0), b)))
+        return _let(
+            heads,
+            lambda h: F.transform(
+                _places(F.size(x)),
+                lambda i: merge(F.get(h, _block(w, i)), merged(x, _block(w, i) * w, i % w)),
+            ),
+        )
+
+    return _let(values, lambda x: _let(F.struct(x.alias("x"), _width(F.size(x)).alias("w")), over))
+
+
 def _located(text: str, pattern: str, kind: int) -> Column:
     """Leftmost non-overlapping matches as (start, kind, end, value), in code points from 0.
 
-    Each match is searched for from the end of the one before: an occurrence further left would
-    itself have been matched.
+    The text is split at the matches; a match starts after all pieces and matches before it.
     """
-    quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    return F.expr(
-        f"""aggregate(regexp_extract_all({text}, '{quoted}', 0),
-            named_struct('next', 1, 'found', cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)),
-            (a, m) -> named_struct(
-                'next', locate(m, {text}, a.next) + length(m),
-                'found', concat(a.found, array(named_struct(
-                    'start', locate(m, {text}, a.next) - 1,
-                    'kind', {kind},
-                    'end', locate(m, {text}, a.next) - 1 + length(m),
-                    'value', m)))),
-            a -> a.found)"""
+    matches = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    pieces = F.slice(F.split(F.col(text), pattern, -1), F.lit(1), F.size(matches))
+    pairs = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m"), F.length(m).alias("n")))
+
+    def placed(found: Column) -> Column:
+        offsets = _before(F.transform(found, lambda f: f["gap"] + f["n"]), lambda a, b: a + b)
+        return F.zip_with(
+            found,
+            offsets,
+            lambda f, at: F.struct(
+                (at + f["gap"]).alias("start"),
+                F.lit(kind).alias("kind"),
+                (at + f["gap"] + f["n"]).alias("end"),
+                f["m"].alias("value"),
+            ),
+        )
+
+    return _let(pairs, placed)
+
+
+def _clear_of(spans: Column, others: Column) -> Column:
+    """``spans`` with ``clear``: whether none of ``others``, sorted and apart from each other, overlaps."""
+
+    def blocked(o: Column) -> Column:
+        n = F.size(o)
+
+        def block(b: Column) -> Column:
+            part = F.slice(o, b * _width(n) + 1, _width(n))
+            ends = (F.element_at(part, 1)["start"].alias("start"), F.element_at(part, -1)["end"].alias("end"))
+            return F.struct(*ends, part.alias("part"))
+
+        return F.transform(_places(F.ceil(n / _width(n)).cast("int")), block)
+
+    def overlap(s: Column, o: Column) -> Column:
+        return (o["start"] < s["end"]) & (s["start"] < o["end"])
+
+    return _let(
+        _let(others, blocked),
+        lambda blocks: F.transform(
+            spans,
+            lambda s: s.withField(
+                "clear",
+                ~F.exists(blocks, lambda b: overlap(s, b) & F.exists(b["part"], lambda o: overlap(s, o))),
+            ),
+        ),
     )
 
 
@@ -86,13 +166,27 @@ def candidates(docs: DataFrame, *, owner: str = "source", repository: str = "lan
     mixed = F.filter(
         "loose", lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~s["value"].rlike("^[0-9a-f]+$")
     )
-    every = F.concat(long, "access", "hex", mixed)
+
+    def marked(assign: Column) -> Column:
+        """All spans; ``clear`` marks loose ones that overlap no base span.
+
+        A run of loose characters holds an access or hex span whole or not at all, so its own
+        characters tell; spans of assignments reach over its ends.
+        """
+        apart = F.transform(
+            _clear_of(mixed, assign),
+            lambda s: s.withField("clear", s["clear"] & ~s["value"].rlike(ACCESS) & ~s["value"].rlike(HEX)),
+        )
+        base = F.transform(F.concat(assign, "access", "hex"), lambda s: s.withField("clear", F.lit(True)))
+        return F.concat(base, apart)
+
     hashed = F.transform(
-        every,
+        _let(long, marked),
         lambda s: F.struct(
             s["start"].alias("start"),
             s["kind"].alias("kind"),
             s["end"].alias("end"),
+            s["clear"].alias("clear"),
             F.sha2(_value(s["value"], s["kind"]), 256).alias("hash"),
         ),
     )
@@ -120,7 +214,7 @@ def scan(docs: DataFrame, *, owner: str = "source", repository: str = "lang", ma
             F.col("s.start").alias("start"),
             F.col("s.kind").alias("kind"),
             F.col("s.end").alias("end"),
-            ((F.col("owners") == 1) & (F.col("repos") <= few)).alias("live"),
+            ((F.col("owners") == 1) & (F.col("repos") <= few) & F.col("s.clear")).alias("live"),
             (F.col("owners") >= many).alias("copied"),
         ).alias("s"),
     )
@@ -138,8 +232,7 @@ def scan(docs: DataFrame, *, owner: str = "source", repository: str = "lang", ma
         "text_hash",
         F.expr(f"transform(filter(all, s -> s.kind < 3), s -> {span})").alias("base"),
         F.expr(
-            f"""transform(filter(all, s -> s.kind < 3 or s.live and not exists(all,
-                b -> b.kind < 3 and b.start < s.end and s.start < b.end)), s -> {span})"""
+            f"transform(filter(all, s -> s.kind < 3 or s.live), s -> {span})"
         ).alias("found"),
         F.expr("cast(size(filter(all, s -> s.kind < 3 and s.copied)) as long)").alias("n_copied"),
         F.expr("cast(size(filter(all, s -> s.kind < 3 and s.live)) as long)").alias("n_live"),
@@ -164,30 +257,46 @@ def digests(scanned: DataFrame) -> DataFrame:
     )
 
 
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """``text`` with ``mask`` in place of the sorted ``spans``, overlapping ones as one."""
+    width = F.lit(CHUNK)
+
+    def between(chunks: Column, first: Column, last: Column) -> Column:
+        """Characters first to last - 1, taken from the chunks that hold them."""
+        begin, end = _block(width, first), _block(width, last)
+        return F.substring(F.array_join(F.slice(chunks, begin + 1, end - begin + 1), ""), first % CHUNK + 1, last - first)
+
+    def assembled(v: Column) -> Column:
+        def part(s: Column, at: Column) -> Column:
+            return F.when(s["start"] >= at, F.concat(between(v["chunks"], at, s["start"]), F.lit(mask))).otherwise("")
+
+        parts = F.zip_with(v["spans"], _before(F.transform(v["spans"], lambda s: s["end"]), lambda a, b: F.greatest(a, b)), part)
+        last = F.array_max(F.transform(v["spans"], lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), between(v["chunks"], last, v["n"]))
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    held = F.struct(chunks.alias("chunks"), F.array_sort(spans).alias("spans"), F.length(text).alias("n"))
+    return _let(held, assembled)
+
+
 def redact(docs: DataFrame, mask: str = "[secret]", **options) -> DataFrame:
     """``docs`` with every span that ``scan`` finds replaced by ``mask`` and n_chars counted anew.
 
-    Overlapping spans are masked as one. No row goes; null texts stay null.
+    Overlapping spans are masked as one. No row goes; null texts stay null and other columns, of
+    any name, stay as they are.
     """
     found = scan(docs, **options).where(F.size("found") > 0).select("doc_id", "text_hash", "found").distinct()
-    left = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).alias("l")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    left = docs.select(row, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).alias("l")
     joined = left.join(
         found.alias("r"),
-        F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_hash") == F.col("r.text_hash")),
+        F.col("l.row.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_hash") == F.col("r.text_hash")),
         "left",
-    ).select("l.*", F.array_sort("r.found").alias("found"))
-    masked = F.expr(
-        f"""aggregate(found, named_struct('at', 0, 'out', ''),
-            (a, s) -> named_struct(
-                'at', greatest(a.at, s.end),
-                'out', case when s.start >= a.at
-                    then concat(a.out, substring(text, a.at + 1, s.start - a.at), '{mask}') else a.out end),
-            a -> concat(a.out, substring(text, a.at + 1, length(text))))"""
-    )
-    out = joined.withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(masked))
+    ).select("l.row", "r.found")
+    text = F.when(F.col("found").isNull(), F.col("row.text")).otherwise(_masked(F.col("row.text"), F.col("found"), mask))
+    out = joined.select("row", "found", text.alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType.simpleString()
-        out = out.withColumn(
-            "n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind))
-        )
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("found").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast(kind))
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
