@@ -192,6 +192,7 @@ def find_items(
     most_items: int = 20_000,
     most_bytes: int = 1 << 24,
     min_length: int = 1,
+    inside_words: bool = True,
 ) -> DataFrame:
     """doc_id, item_id, edits, start, end: the best occurrence of every item in every row of ``docs``.
 
@@ -200,8 +201,9 @@ def find_items(
     occurrence is found, and the best has the fewest edits, then the first end. Items are searched in
     blocks of about ``most_items`` and ``most_bytes``, or of one item that is longer; a task holds a
     few times these bytes, whatever the size of the benchmark.
-    Items shorter than ten bytes have no edits to spare and are found as they are, also inside words;
-    a larger ``min_length`` leaves the shortest out. Null and empty items are never found; equal items
+    Items with no edits to spare (shorter than ten bytes by default) are found as they are, also inside
+    words; without ``inside_words`` only where no ASCII letter or digit adjoins one of theirs. A larger
+    ``min_length`` leaves the shortest out. Null and empty items are never found; equal items
     are found separately. Every document is read whole, once per block, without a shuffle.
     """
     if not 0 <= share < 1:
@@ -219,12 +221,24 @@ def find_items(
             {(r["item_id"], normal(r["text"])[0]) for r in chosen.collect() if len(normal(r["text"])[0]) >= min_length}
         )
         if items:
-            found = map_batches(docs.select("doc_id", "text"), schema, _searcher(items, share))
+            found = map_batches(docs.select("doc_id", "text"), schema, _searcher(items, share, inside_words))
             out = found if out is None else out.union(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _searcher(items: list[tuple[int, bytes]], share: float):
+def _whole(item: bytes, text: bytes, begin: int, end: int) -> tuple[int, int, int] | None:
+    """(0, start, end) of the first place of ``item`` from ``begin`` on that cuts no word at either side."""
+
+    def cuts(at: int) -> bool:
+        return 0 < at < len(text) and text[at - 1 : at + 1].isalnum()
+
+    at = text.find(item, begin, end)
+    while at >= 0 and (cuts(at) or cuts(at + len(item))):
+        at = text.find(item, at + 1, end)
+    return (0, at, at + len(item)) if at >= 0 else None
+
+
+def _searcher(items: list[tuple[int, bytes]], share: float, inside_words: bool = True):
     def make():
         sizes = np.array([len(t) for _, t in items], np.int64)
         edits = np.array([int(share * n) for n in sizes.tolist()], np.int64)
@@ -239,6 +253,9 @@ def _searcher(items: list[tuple[int, bytes]], share: float):
             for (k, item), parts in sorted(candidates(texts, groups, sizes, edits, least).items()):
                 best = None
                 for begin, end in parts:
+                    if edits[item] == 0 and not inside_words:
+                        best = best or _whole(items[item][1], texts[k], begin, end)
+                        continue
                     found = locate(items[item][1], texts[k][begin:end], int(edits[item]))
                     if found and (best is None or found[0] < best[0]):
                         best = (found[0], begin + found[1], begin + found[2])
@@ -268,6 +285,12 @@ def _searcher(items: list[tuple[int, bytes]], share: float):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose doc_id holds an item; rows without an id are kept."""
-    found = staged(find_items(docs, benchmark, **options).select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti")
+    """``docs`` without the rows whose text holds an item, whatever their ids; equal rows go together.
+
+    Items with no edits to spare count only as whole words unless ``inside_words`` is set, so that a
+    short one does not empty the corpus. Null and empty texts stay.
+    """
+    options.setdefault("inside_words", False)
+    texts = docs.select(F.md5("text").alias("doc_id"), "text")
+    found = staged(find_items(texts, benchmark, **options).select(F.col("doc_id").alias("found__")).distinct())
+    return docs.join(found, F.md5("text") == F.col("found__"), "left_anti")

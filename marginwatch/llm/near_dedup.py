@@ -337,10 +337,21 @@ def _may_agree(percent: int) -> Column:
 
 
 def keep_one(docs: DataFrame, *, percent: int = 85) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest doc_id.
+    """``docs`` with one row of each component, that with the smallest doc_id; null ids come last.
 
-    Of rows that repeat a kept doc_id one stays; rows without an id all stay.
+    Rows are told apart by a staged key of their own: rows without an id take part, and of rows that
+    share an id only copies go. Of copies with the same id any one stays. Null and empty texts stay.
     """
-    kept = near_duplicates(docs, percent=percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.union(docs.where("doc_id is null"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = staged(docs.select(F.monotonically_increasing_id().alias("key"), row))
+    found = near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), percent=percent)
+    ids = keyed.select("key", F.col("row.doc_id").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    kept = (
+        found.select(F.col("doc_id").alias("key"), "component_id")
+        .join(ids, "key")
+        .groupBy("component_id")
+        .agg(F.min(order).alias("least"))
+        .select("least.key")
+    )
+    return keyed.join(kept, "key", "left_semi").select("row.*")
