@@ -156,11 +156,13 @@ def encode(
 ) -> DataFrame:
     """``docs`` with ``ids`` array<int> in place of text, and ``decoded`` binary if asked for.
 
+    Both replace columns of these names.
     A null or empty text has no ids. Column names ending in two underscores are reserved. A chunk is
     closed at ``chunk_pretokens`` pre-tokens or ``chunk_words`` distinct ones, or after the document
     that exceeds them, so memory is bounded by these and by the longest document. A word arrives at
     most once per chunk, however frequent it is. Repeated rows are separate rows throughout.
     """
+    docs = docs.drop("ids", *["decoded"] * decoded)
     fields = [StructField(f.name, f.dataType) for f in docs.schema if f.name != "text"]
     names = [f.name for f in fields]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -232,7 +234,11 @@ def encode(
 
 
 def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
-    """``encoded`` with ``decoded`` binary: the bytes of its ``ids``, by the table of token bytes."""
+    """``encoded`` with ``decoded`` binary, the bytes of its ``ids`` by the table of token bytes.
+
+    It replaces a column of that name; null ids are no bytes.
+    """
+    encoded = encoded.drop("decoded")
 
     def make():
         table = token_bytes(ranks)

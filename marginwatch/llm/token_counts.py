@@ -177,12 +177,16 @@ class Tree:
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """``docs`` with the column edits: those of ``edits`` (doc_id, seq, at, drop, put) in order of seq."""
+    """``docs`` with the column edits: those of ``edits`` (doc_id, seq, at, drop, put) in order of seq.
+
+    A column of that name is replaced. Rows that share an id get the same edits; a null id names no row,
+    so rows without an id have none and edits without one apply to nothing.
+    """
     listed = F.transform(
         F.array_sort(F.collect_list(F.struct("seq", "at", "drop", "put"))),
         lambda e: F.struct(e["at"].cast("int").alias("at"), e["drop"].cast("int").alias("drop"), e["put"].alias("put")),
     )
-    return docs.join(edits.groupBy("doc_id").agg(listed.alias("edits")), "doc_id", "left")
+    return docs.drop("edits").join(edits.groupBy("doc_id").agg(listed.alias("edits")), "doc_id", "left")
 
 
 def derived_edits() -> Column:
