@@ -193,7 +193,7 @@ def score_text(text: str, model: Model, matcher: Matcher, window: int) -> tuple[
 
 
 def _keys(text: str) -> set[str]:
-    words = {w[:32] for w in WORD.findall(text.lower())}
+    words = set(WORD.findall(text.lower()))
     return {w[:k] for w in words for k in range(4, min(len(w), 10) + 1)} | {w + END for w in words if len(w) > 2}
 
 
