@@ -77,9 +77,11 @@ def _located(text: str, pattern: str, kind: int) -> Column:
 
     The text is split at the matches; a match starts after all pieces and matches before it.
     """
-    matches = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    pieces = F.slice(F.split(F.col(text), pattern, -1), F.lit(1), F.size(matches))
-    pairs = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m"), F.length(m).alias("n")))
+    def paired(matches: Column) -> Column:
+        pieces = F.slice(F.split(F.col(text), pattern, -1), F.lit(1), F.size(matches))
+        return F.zip_with(
+            pieces, matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m"), F.length(m).alias("n"))
+        )
 
     def placed(found: Column) -> Column:
         offsets = _before(F.transform(found, lambda f: f["gap"] + f["n"]), lambda a, b: a + b)
@@ -94,7 +96,12 @@ def _located(text: str, pattern: str, kind: int) -> Column:
             ),
         )
 
-    return _let(pairs, placed)
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    return _let(
+        F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)),
+        # most texts hold none and are not split
+        lambda matches: F.when(F.size(matches) > 0, _let(paired(matches), placed)).otherwise(none),
+    )
 
 
 def _clear_of(spans: Column, others: Column) -> Column:
