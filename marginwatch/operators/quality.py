@@ -91,7 +91,22 @@ def _value_finding(df: DataFrame, table: str, column: str, bad: Column, issue: s
     return counts.select(F.inline(F.array(finding)))
 
 
-def quality_report(orders: DataFrame, items: DataFrame, payments: DataFrame) -> DataFrame:
+def _corrupt_findings(corrupt: DataFrame) -> DataFrame:
+    """One finding per table with malformed records; their share is unknown here, their number is not."""
+    counts = corrupt.groupBy("table").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(
+        "table",
+        F.lit("*").alias("column"),
+        F.lit("malformed records").alias("issue"),
+        F.lit(None).cast("double").alias("pct_affected"),
+        _count_note("n", "records could not be parsed and were set aside").alias("note"),
+    )
+
+
+def quality_report(
+    orders: DataFrame, items: DataFrame, payments: DataFrame, corrupt: DataFrame | None = None
+) -> DataFrame:
+    """All findings; ``corrupt`` holds records set aside on loading as (table, record)."""
     zero_pay = _value_finding(
         payments,
         "order_payments",
@@ -108,9 +123,10 @@ def quality_report(orders: DataFrame, items: DataFrame, payments: DataFrame) ->
         "zero or negative price",
         "items with price <= 0",
     )
-    return (
+    report = (
         _order_findings(orders)
         .unionByName(zero_pay)
         .unionByName(free_items)
         .unionByName(_duplicate_finding(orders))
     )
+    return report if corrupt is None else report.unionByName(_corrupt_findings(corrupt))

@@ -1,24 +1,28 @@
 """A full run: source tables in, every result table out.
 
-    python -m marginwatch.plans.run <input folder> <output folder> [csv|parquet] [buckets] [--trial]
+    python -m marginwatch.plans.run <input folder> <output folder> [csv|parquet] [buckets] [--trial] [--failfast]
 
 The tables are analysed as they are. ``--trial`` also plants labelled leakage in a copy of them, and
 writes what the detectors make of that copy, with scores, to the folder ``trial`` of the output.
 With a bucket count the large tables are first laid out by order id. That is one shuffle
 of each; the dozen results that join or group them by order id then need none.
+Malformed CSV records are set aside in ``quarantine`` and counted in the quality report; with
+``--failfast`` they end the run. Bucketed tables and staged folders go when the run ends or fails.
 """
 
 from __future__ import annotations
 
 import sys
 import uuid
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginwatch.operators.quality import quality_report
 from marginwatch.plans.analysis import Analysis, Trial
 from marginwatch.rules import RULES, Rules
-from marginwatch.sources.files import read_tables, save_bucketed, save_result
-from marginwatch.sources.stage import setting, staged, use_temporary_stage_dir
+from marginwatch.sources.files import bucketed_scope, quarantined, read_tables, save_bucketed, save_result
+from marginwatch.sources.stage import setting, staged, staging_scope, use_temporary_stage_dir
 
 Tables = dict[str, DataFrame]
 
@@ -93,25 +97,44 @@ def write_all(tables: Tables, folder: str, fmt: str = "parquet") -> dict[str, in
     return {name: save_result(df, f"{folder}/{name}", fmt) for name, df in tables.items()}
 
 
+def full_run(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    fmt: str = "csv",
+    buckets: int | None = None,
+    trial: bool = False,
+    mode: str = "PERMISSIVE",
+) -> dict[str, int]:
+    """Row counts of all results, written below ``target``. Leaves no table or staged folder behind."""
+    prefix = f"marginwatch_{uuid.uuid4().hex}_"
+    with ExitStack() as scopes:
+        scopes.enter_context(staging_scope(spark))
+        scopes.enter_context(bucketed_scope(spark, prefix))
+        given, corrupt = quarantined(read_tables(spark, source, fmt, mode=mode, corrupt=fmt == "csv" and mode == "PERMISSIVE"))
+        tables = save_bucketed(given, buckets, prefix) if buckets else given
+        found, counts = results(tables), {}
+        if corrupt is not None:
+            counts["quarantine"] = save_result(corrupt, f"{target}/quarantine")
+            corrupt = spark.read.schema(corrupt.schema).parquet(f"{target}/quarantine")
+            found["quality"] = quality_report(tables["orders"], tables["order_items"], tables["order_payments"], corrupt)
+        counts |= write_all(found, target)
+        if trial:
+            planted = write_all(trial_results(given, buckets=buckets, prefix=prefix), f"{target}/trial")
+            counts |= {f"trial/{name}": rows for name, rows in planted.items()}
+    return counts
+
+
 def main(argv: list[str]) -> None:
-    source, target, *rest = [a for a in argv if a != "--trial"]
+    flags = {"--trial", "--failfast"}
+    source, target, *rest = [a for a in argv if a not in flags]
     fmt = rest[0] if rest else "csv"
     buckets = int(rest[1]) if len(rest) > 1 else None
     spark = SparkSession.builder.appName("marginwatch").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if not setting(spark) and spark.conf.get("spark.master", "").startswith("local["):
         use_temporary_stage_dir()
-    given = tables = read_tables(spark, source, fmt)
-    prefix = f"marginwatch_{uuid.uuid4().hex}_"
-    if buckets:
-        tables = save_bucketed(given, buckets, prefix)
-    counts = write_all(results(tables), target)
-    if "--trial" in argv:
-        trial = write_all(trial_results(given, buckets=buckets, prefix=prefix), f"{target}/trial")
-        counts |= {f"trial/{name}": rows for name, rows in trial.items()}
-    if buckets:
-        for table in spark.catalog.listTables(pattern=f"{prefix}*"):
-            spark.sql(f"DROP TABLE {table.name}")
-    for name, rows in counts.items():
+    mode = "FAILFAST" if "--failfast" in argv else "PERMISSIVE"
+    for name, rows in full_run(spark, source, target, fmt, buckets, "--trial" in argv, mode).items():
         print(f"{name:26s} {rows:>12,}")
 
 

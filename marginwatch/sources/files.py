@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from marginwatch.functions.timekeys import month_start
 from marginwatch.sources.schemas import CORE_TABLES, SCHEMAS
+from marginwatch.sources.stage import staged
 
 Tables = dict[str, DataFrame]
 
 
-def read_csv(spark: SparkSession, path: str, table: str | None = None, mode: str = "PERMISSIVE") -> DataFrame:
+# Text of a malformed record, in the column that :func:`read_csv` adds on request.
+CORRUPT = "_corrupt_record"
+
+
+def read_csv(
+    spark: SparkSession, path: str, table: str | None = None, mode: str = "PERMISSIVE", corrupt: bool = False
+) -> DataFrame:
     """CSV with a header. A known table gets its declared schema, others are inferred.
 
     The file's header decides which declared columns exist, so a file holding only
     some of them, or holding them in another order, still loads by name; columns
-    that are not declared stay text. A malformed value becomes null, which the quality
-    report counts; ``mode`` FAILFAST ends the load instead. Review texts span lines, so
-    that table is read with quoted newlines allowed.
+    that are not declared stay text. A malformed value becomes null; with ``corrupt`` the
+    column ``_corrupt_record`` holds the whole record then and null otherwise, see :func:`quarantined`.
+    ``mode`` FAILFAST ends the load instead. Review texts span lines, so that table is read with
+    quoted newlines allowed.
     """
     reader = spark.read.option("header", True).option("escape", '"')
     if table not in SCHEMAS:
@@ -31,6 +40,9 @@ def read_csv(spark: SparkSession, path: str, table: str | None = None, mode: str
     # Without inference this reads the header only.
     header = reader.csv(path).columns
     schema = StructType([StructField(c, kinds.get(c, StringType())) for c in header])
+    if corrupt:
+        schema = schema.add(CORRUPT, StringType())
+        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
     return reader.schema(schema).option("mode", mode).csv(path)
 
 
@@ -40,22 +52,61 @@ def read_tables(
     fmt: str = "csv",
     files: Mapping[str, str] | None = None,
     names: Iterable[str] = CORE_TABLES,
+    mode: str = "PERMISSIVE",
+    corrupt: bool = False,
 ) -> Tables:
-    """Named tables below ``base``; ``files`` overrides the default ``<table>.<fmt>``."""
+    """Named tables below ``base``; ``files`` overrides the default ``<table>.<fmt>``.
+
+    ``mode`` and ``corrupt`` are those of :func:`read_csv`.
+    """
     files = files or {}
     tables = {}
     for name in names:
         path = f"{base}/{files.get(name, f'{name}.{fmt}')}"
-        tables[name] = read_csv(spark, path, name) if fmt == "csv" else spark.read.format(fmt).load(path)
+        if fmt == "csv":
+            tables[name] = read_csv(spark, path, name, mode, corrupt)
+        else:
+            tables[name] = spark.read.format(fmt).load(path)
     return tables
 
 
+def quarantined(tables: Tables) -> tuple[Tables, DataFrame | None]:
+    """``tables`` without malformed records, and those records as (table, record).
+
+    The tables are those of :func:`read_tables` with ``corrupt``; without such a column a table stays
+    as it is, and None stands for the records if no table has one. A record with one malformed value
+    leaves its table whole, so no figure counts half of it. Each table is parsed once, with all its
+    columns, and staged: a reader of text files that drops columns would not see what is wrong in them.
+    """
+    clean, bad = {}, None
+    for name, df in tables.items():
+        if CORRUPT not in df.columns:
+            clean[name] = df
+            continue
+        held = staged(df)
+        clean[name] = held.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        rows = held.where(F.col(CORRUPT).isNotNull()).select(F.lit(name).alias("table"), F.col(CORRUPT).alias("record"))
+        bad = rows if bad is None else bad.union(rows)
+    return clean, bad
+
+
 def register_tables(tables: Tables, prefix: str = "") -> None:
     """Temporary views under the prefixed table names, replacing earlier ones."""
     for name, df in tables.items():
         df.createOrReplaceTempView(f"{prefix}{name}")
 
 
+@contextmanager
+def bucketed_scope(spark: SparkSession, prefix: str) -> Iterator[str]:
+    """Drops every managed table whose name starts with ``prefix`` at the end, also after a failure."""
+    try:
+        yield prefix
+    finally:
+        for table in spark.catalog.listTables(pattern=f"{prefix}*"):
+            if not table.isTemporary:
+                spark.sql(f"DROP TABLE IF EXISTS `{table.name}`")
+
+
 def save_bucketed(tables: Tables, buckets: int, prefix: str = "") -> Tables:
     """Managed tables with the three large ones bucketed and sorted by order_id.
 
@@ -109,12 +160,18 @@ RESULT_TABLES = (
 )
 
 
-def load_results(spark: SparkSession, base: str, fmt: str = "parquet", trial: bool = False) -> Tables:
-    """The saved result tables, with the month key parsed to a date; those of a trial have scores too."""
+def load_results(
+    spark: SparkSession, base: str, fmt: str = "parquet", trial: bool = False, names: Iterable[str] = RESULT_TABLES
+) -> Tables:
+    """The saved result tables, with the month key parsed to a date; those of a trial have scores too.
+
+    ``names`` picks the tables that a view needs.
+    """
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True).option("inferSchema", True)
-    results = {name: reader.load(f"{base}/{name}") for name in (*RESULT_TABLES, *(("eval_df",) if trial else ()))}
-    month = F.col("year_month").cast("string").substr(1, 7)
-    results["monthly"] = results["monthly"].withColumn("year_month", month_start(month))
+    results = {name: reader.load(f"{base}/{name}") for name in (*names, *(("eval_df",) if trial else ()))}
+    if "monthly" in results:
+        month = F.col("year_month").cast("string").substr(1, 7)
+        results["monthly"] = results["monthly"].withColumn("year_month", month_start(month))
     return results

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,25 @@ def stage_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes what was staged inside it, also after a failure. Results must be written by then.
+
+    Folders are removed through Hadoop's file system, so any shared store will do.
+    """
+    outer = _named.get("scope")
+    folder = f"{stage_dir(spark)}/marginwatch-{spark.conf.get('spark.app.id')}/scope-{uuid.uuid4().hex}"
+    _named["scope"] = folder
+    try:
+        yield
+    finally:
+        _named.pop("scope")
+        if outer:
+            _named["scope"] = outer
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, by: str | None = None) -> DataFrame:
     """``df`` written as parquet to the shared folder and read back. This runs jobs at once.
 
@@ -44,10 +65,12 @@ def staged(df: DataFrame, by: str | None = None) -> DataFrame:
     Readers of a plan are not always served by one shuffle: column pruning may leave them
     with different ones. The files' size also tells the planner what it may broadcast. With
     ``by`` the rows are kept apart by that column, and a filter on it reads its files only.
-    Each run writes to a folder of its own, under the application's id.
+    Each run writes to a folder of its own, under the application's id; in a
+    :func:`staging_scope` the folder goes with the scope.
     """
     spark = df.sparkSession
-    path = f"{stage_dir(spark)}/marginwatch-{spark.conf.get('spark.app.id')}/{uuid.uuid4().hex}"
+    folder = _named.get("scope") or f"{stage_dir(spark)}/marginwatch-{spark.conf.get('spark.app.id')}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -44,6 +44,64 @@ def test_csv_columns_go_by_name_and_malformed_values_to_null(spark, tmp_path):
         files.read_csv(spark, f"{tmp_path}/p.csv", "order_payments", mode="FAILFAST").collect()
 
 
+def _csv_tables(edge_tables, folder):
+    for name, df in edge_tables.items():
+        df.toPandas().to_csv(folder / f"{name}.csv", index=False)
+
+
+def test_malformed_records_are_set_aside_and_counted(spark, edge_tables, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    _csv_tables(edge_tables, source)
+    with open(source / "order_payments.csv", "a") as f:
+        f.write("a,many\nzz,1.0,surplus\n")
+    with open(source / "orders.csv", "a") as f:
+        f.write("x,cx,delivered,yesterday,2018-01-01 00:00:00\n")
+    clean, bad = files.quarantined(files.read_tables(spark, str(source), corrupt=True))
+    assert sorted(map(tuple, bad.collect())) == [
+        ("order_payments", "a,many"),
+        ("order_payments", "zz,1.0,surplus"),
+        ("orders", "x,cx,delivered,yesterday,2018-01-01 00:00:00"),
+    ]
+    for name, df in edge_tables.items():
+        assert clean[name].columns == df.columns and clean[name].count() == df.count()
+    before = set((tmp_path / "in").iterdir())
+    counts = run.full_run(spark, str(source), str(tmp_path / "out"))
+    assert counts["quarantine"] == 3 and set((tmp_path / "in").iterdir()) == before
+    notes = spark.read.parquet(str(tmp_path / "out" / "quality")).where("issue = 'malformed records'").collect()
+    assert sorted((r.table, r.note.split()[0]) for r in notes) == [("order_payments", "2"), ("orders", "1")]
+    want = run.results(edge_tables)["overall"].first()
+    assert spark.read.parquet(str(tmp_path / "out" / "overall")).first() == want
+    with pytest.raises(Exception, match="MALFORMED"):
+        run.full_run(spark, str(source), str(tmp_path / "failed"), mode="FAILFAST")
+
+
+def test_a_failed_run_leaves_no_table_and_no_staged_folder(spark, edge_tables, tmp_path, monkeypatch):
+    for name, df in edge_tables.items():
+        df.write.parquet(str(tmp_path / "in" / f"{name}.parquet"))
+
+    def held():
+        folder = f"{stage.stage_dir(spark)}/marginwatch-{spark.conf.get('spark.app.id')}"
+        return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+    def failing(tables, folder, fmt="parquet"):
+        assert any(t.name.startswith("marginwatch_") for t in spark.catalog.listTables())
+        assert stage.staged(spark.range(3)).count() == 3 and held() - before
+        raise RuntimeError("midway")
+
+    before = held()
+    monkeypatch.setattr(run, "write_all", failing)
+    with pytest.raises(RuntimeError, match="midway"):
+        run.full_run(spark, str(tmp_path / "in"), str(tmp_path / "out"), "parquet", buckets=2)
+    assert held() == before
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("marginwatch_")]
+
+
+def test_a_view_loads_the_saved_tables_it_needs(spark, edge_tables, tmp_path):
+    files.save_result(edge_tables["sellers"], f"{tmp_path}/risk")
+    assert set(files.load_results(spark, str(tmp_path), names=("risk",))) == {"risk"}
+
+
 def test_tables_views_and_parameters(spark, folder):
     tables = files.read_tables(spark, folder, names=("orders", "order_payments"))
     files.register_tables(tables)
