@@ -3,7 +3,8 @@
 Texts are cut into pre-tokens and every pre-token is replaced by its number in the dictionary of its
 chunk, a bounded run of documents; that list of numbers is the document's positions. The chunks'
 dictionary words are shuffled by word, each distinct word is encoded once where it arrives, and its
-ids go back to the chunks, where documents are put together by position. Decoding looks every id up in
+ids go back to the chunks, where documents are put together by position. Documents themselves are
+not shuffled: they lie in buckets of their chunks, which the ids come to. Decoding looks every id up in
 the table of token bytes, which holds one row per id of the vocabulary and goes with the tasks.
 """
 
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from marginwatch.llm.common import map_batches, staged
+from marginwatch.llm.common import map_batches, staged_buckets
 
 DEFAULT = "byte_bpe_multi_50k.tiktoken"
 # A vocabulary is sent with the tasks only up to this size.
@@ -85,11 +86,11 @@ def unpack_all(packed: bytes, arrays: int) -> tuple[list[np.ndarray], bytes]:
 
 
 def _cut(docs: DataFrame, pattern: str, parts: int, chunk_pretokens: int, chunk_words: int) -> DataFrame:
-    """By chunk, rows of documents (``packed``) and of dictionary words: a block for each of ``parts``
-    parts of all words, with the words of the chunk in it and their numbers."""
+    """By chunk, rows of documents (``packed__``) and of dictionary words (``words__``): a block for each
+    of ``parts`` parts of all words, with the words of the chunk in it and their numbers."""
     names = [f.name for f in docs.schema if f.name != "text"]
     others = [StructField(f.name, f.dataType) for f in docs.schema if f.name != "text"]
-    extra = StructType.fromDDL("chunk__ long, packed__ binary, part__ int, kind__ string").fields
+    extra = StructType.fromDDL("chunk__ long, packed__ binary, part__ int, words__ binary").fields
 
     def make():
         find = regex.compile(pattern).findall
@@ -111,9 +112,9 @@ def _cut(docs: DataFrame, pattern: str, parts: int, chunk_pretokens: int, chunk_
                     yield {
                         **dict.fromkeys(names, [None]),
                         "chunk__": [chunk],
-                        "packed__": [pack_all(lengths, steps, rest=b"".join(words))],
+                        "packed__": [None],
                         "part__": [k],
-                        "kind__": ["word"],
+                        "words__": [pack_all(lengths, steps, rest=b"".join(words))],
                     }
             numbers.clear()
             chunk, used = chunk + 1, 0
@@ -133,7 +134,7 @@ def _cut(docs: DataFrame, pattern: str, parts: int, chunk_pretokens: int, chunk_
                         "chunk__": [chunk] * n,
                         "packed__": packed,
                         "part__": [None] * n,
-                        "kind__": ["doc"] * n,
+                        "words__": [None] * n,
                     }
                     begun, packed = k + 1, []
                     if used >= chunk_pretokens or len(numbers) >= chunk_words:
@@ -166,9 +167,9 @@ def encode(
     fields = [StructField(f.name, f.dataType) for f in docs.schema if f.name != "text"]
     names = [f.name for f in fields]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = staged(_cut(docs, pattern, parts, chunk_pretokens, chunk_words), by="kind__")
-    packed = pieces.where("kind__ = 'doc'").select(*names, "chunk__", "packed__")
-    words = pieces.where("kind__ = 'word'").select("chunk__", "part__", "packed__")
+    pieces = staged_buckets(_cut(docs, pattern, parts, chunk_pretokens, chunk_words), "chunk__", parts)
+    packed = pieces.where("packed__ is not null").select(*names, "chunk__", "packed__")
+    words = pieces.where("words__ is not null").select("chunk__", "part__", "words__")
 
     def encoder():
         one = encoding(ranks, pattern).encode_ordinary
@@ -176,7 +177,7 @@ def encode(
 
         def each(batch):
             chunks, out = batch.column("chunk__"), []
-            for block in batch.column("packed__").to_pylist():
+            for block in batch.column("words__").to_pylist():
                 (lengths, steps), raw = unpack_all(block, 2)
                 at, counts, ids = 0, [], []
                 for n in lengths.tolist():

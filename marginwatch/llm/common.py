@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from marginwatch.sources.stage import staged
+from marginwatch.sources.stage import stage_dir, staged
 
-__all__ = ["held_out", "labelled", "map_batches", "read", "staged"]
+__all__ = ["held_out", "labelled", "map_batches", "read", "staged", "staged_buckets"]
 
 
 def read(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def staged_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """:func:`staged`, in buckets of ``key``: groupings and joins by it read the files without a shuffle.
+
+    Nothing is shuffled to write them either, so a task writes as many files as its rows have buckets;
+    it suits keys that lie together. The table's entry goes at once, its files stay in the folder.
+    """
+    spark, name = df.sparkSession, f"staged_{uuid.uuid4().hex}"
+    path = f"{stage_dir(spark)}/marginwatch-{spark.conf.get('spark.app.id')}/{name}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the third of the ids whose labels no model may learn from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
