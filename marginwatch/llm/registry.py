@@ -23,7 +23,7 @@ from marginwatch.llm import (
     toxicity,
     training_order,
 )
-from marginwatch.llm.common import read
+from marginwatch.llm.common import read, staged
 from marginwatch.sources.stage import stage_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,9 +83,11 @@ def op3_near_vectors(spark: SparkSession, base: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, base: str) -> DataFrame:
-    """Token counts of every text before and after three edits derived from it."""
+    """Token counts of every text before and after three edits derived from it, by its kept tree."""
     docs = read(spark, base, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return token_counts.count_tokens(docs.withColumn("edits", token_counts.derived_edits()), _ranks())
+    trees = staged(token_counts.build_trees(docs, _ranks()))
+    after = token_counts.update(trees.withColumn("edits", token_counts.derived_edits()), _ranks())
+    return after.select("doc_id", *token_counts.COUNTS)
 
 
 def op5_training_order(spark: SparkSession, base: str) -> DataFrame:

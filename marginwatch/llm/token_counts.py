@@ -3,24 +3,49 @@
 Each document keeps its pre-tokens in leaves of a segment tree whose nodes hold sums of characters and
 tokens. An edit is located by descending the character sums; only the pre-tokens it touches, and the
 boundary context that can change with them, are cut and encoded anew, and the sums above the changed
-leaves follow. Documents without edits are counted once.
+leaves follow. Trees are kept as columns beside the text (:func:`build_trees`); :func:`update` opens
+only the leaves that an edit reaches and returns the trees to keep next. What no edit touches is
+encoded once, however often the corpus changes.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from marginwatch.llm.bpe import encoding
-from marginwatch.llm.common import map_batches
+from marginwatch.llm.common import map_batches, staged
 
 LEAF = 128
 # Characters beyond its end that decide where a pre-token stops.
 CONTEXT = 4
 EDIT = "array<struct<at:int,drop:int,put:string>>"
+# A kept tree: pre-tokens, characters and tokens per leaf; characters and tokens per pre-token.
+KEPT = ["leaves__", "lengths__", "tokens__"]
+COUNTS = ["n_before", "n_after", "n_edits", "n_recut"]
+# Rows of a batch that are held as trees at once.
+ROWS = 500
+
+
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Little-endian numbers of the least width that holds them all."""
+    most = int(numbers.max(initial=0))
+    return numbers.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, {1: "u1", 2: "<u2", 4: "<u4"}[len(raw) // n if n else 1])
+
+
+def keep(lengths: np.ndarray, tokens: np.ndarray, sizes: list[int]) -> tuple[bytes, bytes, bytes]:
+    """The columns of ``KEPT``: leaves hold ``sizes`` pre-tokens each, none of them empty."""
+    starts = np.cumsum([0, *sizes])[:-1]
+    sums = [np.add.reduceat(x.astype(np.int64), starts) if sizes else np.zeros(0) for x in (lengths, tokens)]
+    return np.stack([sizes, *sums]).astype("<u4").tobytes(), _narrow(lengths), _narrow(tokens)
 
 
 class Counter:
@@ -54,6 +79,57 @@ class Tree:
         tokens = counter.counts(words)
         self._build([[words[i : i + LEAF], tokens[i : i + LEAF]] for i in range(0, len(words), LEAF)] or [[[], []]])
 
+    @classmethod
+    def load(cls, text: str, leaves: bytes, lengths: bytes, tokens: bytes, counter: Counter) -> Tree:
+        """A kept tree, its leaves still closed: nothing is cut or encoded."""
+        tree = cls.__new__(cls)
+        tree.counter, tree.recut, tree.kept_text = counter, 0, text
+        sizes, chars, sums = np.frombuffer(leaves, "<u4").reshape(3, -1).astype(np.int64)
+        tree.begins, tree.starts = np.cumsum([0, *sizes]).tolist(), np.cumsum([0, *chars]).tolist()
+        tree.kept = _wide(lengths, tree.begins[-1]), _wide(tokens, tree.begins[-1])
+        tree.leaves = [None] * len(sizes) or [[[], []]]
+        base = 1
+        while base < len(tree.leaves):
+            base *= 2
+        tree.base = base
+        nodes = np.zeros((2, 2 * base), np.int64)
+        nodes[:, base : base + len(sizes)] = chars, sums
+        while base > 1:
+            nodes[:, base // 2 : base] = nodes[:, base : 2 * base : 2] + nodes[:, base + 1 : 2 * base : 2]
+            base //= 2
+        tree.chars, tree.tokens = nodes.tolist()
+        return tree
+
+    def _leaf(self, k: int) -> list[list]:
+        """Words and tokens of a leaf, opened when first needed."""
+        leaf = self.leaves[k]
+        if leaf is None:
+            low, high, at, words = self.begins[k], self.begins[k + 1], self.starts[k], []
+            for n in self.kept[0][low:high].tolist():
+                words.append(self.kept_text[at : at + n])
+                at += n
+            leaf = self.leaves[k] = [words, self.kept[1][low:high].tolist()]
+        return leaf
+
+    def pack(self) -> tuple[str, bytes, bytes, bytes]:
+        """The text and the columns of ``KEPT``; closed leaves are copied as they are."""
+        texts, lengths, tokens, sizes = [], [], [], []
+        for k, leaf in enumerate(self.leaves):
+            if leaf is None:
+                low, high = self.begins[k], self.begins[k + 1]
+                texts.append(self.kept_text[self.starts[k] : self.starts[k + 1]])
+                lengths.append(self.kept[0][low:high])
+                tokens.append(self.kept[1][low:high])
+                sizes.append(high - low)
+                continue
+            texts += leaf[0]
+            for begin in range(0, len(leaf[0]), LEAF):
+                lengths.append(np.array([len(w) for w in leaf[0][begin : begin + LEAF]], np.int64))
+                tokens.append(np.array(leaf[1][begin : begin + LEAF], np.int64))
+                sizes.append(len(lengths[-1]))
+        none = [np.zeros(0, np.int64)]
+        return "".join(texts), *keep(np.concatenate(lengths or none), np.concatenate(tokens or none), sizes)
+
     def _build(self, leaves: list[list[list]]) -> None:
         self.leaves = leaves
         self.base = 1
@@ -82,7 +158,7 @@ class Tree:
             if at - begun >= self.chars[node] and self.chars[node + 1]:
                 begun += self.chars[node]
                 node += 1
-        words = self.leaves[node - self.base][0]
+        words = self._leaf(node - self.base)[0]
         for k, w in enumerate(words):
             if at < begun + len(w) or k == len(words) - 1:
                 return node - self.base, k, begun
@@ -135,7 +211,7 @@ class Tree:
 
     def _read(self, leaf: int, k: int):
         for i in range(leaf, len(self.leaves)):
-            words = self.leaves[i][0]
+            words = self._leaf(i)[0]
             for j in range(k if i == leaf else 0, len(words)):
                 yield i, j, words[j]
 
@@ -150,9 +226,9 @@ class Tree:
     def _splice(self, first: tuple[int, int], last: tuple[int, int] | None, fresh: list[str]) -> None:
         """Replace the pre-tokens from ``first`` up to ``last`` (None: the end) by ``fresh``."""
         i, k = first
-        end, j = last if last is not None else (len(self.leaves) - 1, len(self.leaves[-1][0]))
-        words, tokens = self.leaves[i]
-        tail = (self.leaves[end][0][j:], self.leaves[end][1][j:])
+        end, j = last if last is not None else (len(self.leaves) - 1, len(self._leaf(len(self.leaves) - 1)[0]))
+        words, tokens = self._leaf(i)
+        tail = (self._leaf(end)[0][j:], self._leaf(end)[1][j:])
         self.leaves[i] = [words[:k] + fresh, tokens[:k] + self.counter.counts(fresh)]
         if end == i:
             self.leaves[i] = [self.leaves[i][0] + tail[0], self.leaves[i][1] + tail[1]]
@@ -161,7 +237,7 @@ class Tree:
                 self.leaves[x] = [[], []]
             self.leaves[end] = [list(tail[0]), list(tail[1])]
         if len(self.leaves[i][0]) > 8 * LEAF:
-            flat = [(w, t) for words, tokens in self.leaves for w, t in zip(words, tokens, strict=True)]
+            flat = [(w, t) for x in range(len(self.leaves)) for w, t in zip(*self._leaf(x), strict=True)]
             parts = [flat[x : x + LEAF] for x in range(0, len(flat), LEAF)]
             self._build([[[w for w, _ in p], [t for _, t in p]] for p in parts])
             return
@@ -173,7 +249,7 @@ class Tree:
                 self._sum(node)
 
     def text(self) -> str:
-        return "".join(w for words, _ in self.leaves for w in words)
+        return "".join(w for k in range(len(self.leaves)) for w in self._leaf(k)[0])
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
@@ -206,40 +282,78 @@ def derived_edits() -> Column:
     return F.array(*edit)
 
 
-def count_tokens(docs: DataFrame, ranks: bytes, *, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """doc_id, n_before, n_after, n_edits, n_recut: one row per row of ``docs``.
+def build_trees(docs: DataFrame, ranks: bytes, *, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``docs`` with the columns of ``KEPT``, the tree of every text. To be written; one pass, no shuffle.
 
-    ``docs`` has doc_id, text and edits, an array of (at, drop, put) applied one after the other;
-    positions beyond the text mean its end, null edits and null texts mean none. ``n_recut`` counts
-    the pre-tokens encoded anew. One pass without a shuffle; memory is bounded by the longest text.
+    Column names ending in two underscores are reserved. A null text has the tree of an empty one.
     """
+    kind = StructType([f for f in docs.schema if f.name not in KEPT] + [StructField(c, BinaryType()) for c in KEPT])
 
     def make():
         counter = Counter(ranks, pattern)
 
         def each(batch: pa.RecordBatch):
-            before, after, n, recut = [], [], [], []
-            for text, edits in zip(
-                batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True
-            ):
-                tree = Tree(text or "", counter)
-                before.append(tree.total)
-                edits = [e for e in edits or [] if e is not None and e["at"] is not None]
-                for e in edits:
-                    tree.edit(e["at"], e["drop"] or 0, e["put"] or "")
-                after.append(tree.total)
-                n.append(len(edits))
-                recut.append(tree.recut)
-            return {
-                "doc_id": batch.column("doc_id"),
-                "n_before": before,
-                "n_after": after,
-                "n_edits": n,
-                "n_recut": recut,
-            }
+            for begin in range(0, batch.num_rows, ROWS):
+                part, kept = batch.slice(begin, ROWS), []
+                for text in part.column(part.schema.get_field_index("text")).to_pylist():
+                    words = counter.find(text or "")
+                    sizes = [min(LEAF, len(words) - i) for i in range(0, len(words), LEAF)]
+                    lengths = np.fromiter(map(len, words), np.int64, len(words))
+                    kept.append(keep(lengths, np.array(counter.counts(words), np.int64), sizes))
+                yield {name: part.column(i) for i, name in enumerate(part.schema.names)} | {
+                    name: [row[k] for row in kept] for k, name in enumerate(KEPT)
+                }
 
         return each
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = StructType.fromDDL(f"doc_id {kind}, n_before long, n_after long, n_edits int, n_recut long")
-    return map_batches(docs.select("doc_id", "text", F.col("edits").cast(EDIT)), columns, make)
+    return map_batches(docs.drop(*KEPT), kind, make)
+
+
+def update(trees: DataFrame, ranks: bytes, *, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """Kept trees after their ``edits``, an array of (at, drop, put) applied one after the other.
+
+    The result has the columns of ``trees`` but edits, with text and tree as they are now, and
+    n_before, n_after, n_edits, n_recut, which replace columns of these names. Positions beyond the text
+    mean its end; null edits mean none and leave the row as it is. ``n_recut`` counts the pre-tokens
+    encoded anew. One pass without a shuffle; memory is bounded by the longest text.
+    """
+    fields = [f for f in trees.schema if f.name not in ("edits", *COUNTS)]
+    counts = [StructField(c, IntegerType() if c == "n_edits" else LongType()) for c in COUNTS]
+
+    def make():
+        counter = Counter(ranks, pattern)
+
+        def each(batch: pa.RecordBatch):
+            names = batch.schema.names
+            for begin in range(0, batch.num_rows, ROWS):
+                part = batch.slice(begin, ROWS)
+                columns = {name: part.column(i) for i, name in enumerate(names)}
+                texts, *kept = [columns[c].to_pylist() for c in ("text", *KEPT)]
+                found = {c: [] for c in COUNTS}
+                for k, edits in enumerate(columns.pop("edits").to_pylist()):
+                    edits = [e for e in edits or [] if e is not None and e["at"] is not None]
+                    tree = Tree.load(texts[k] or "", *(c[k] for c in kept), counter)
+                    found["n_before"].append(tree.total)
+                    for e in edits:
+                        tree.edit(e["at"], e["drop"] or 0, e["put"] or "")
+                    if edits:
+                        texts[k], kept[0][k], kept[1][k], kept[2][k] = tree.pack()
+                    found["n_after"].append(tree.total)
+                    found["n_edits"].append(len(edits))
+                    found["n_recut"].append(tree.recut)
+                yield columns | found | {"text": texts} | dict(zip(KEPT, kept, strict=True))
+
+        return each
+
+    given = trees.drop(*COUNTS).withColumn("edits", F.col("edits").cast(EDIT))
+    return map_batches(given, StructType(fields + counts), make)
+
+
+def count_tokens(docs: DataFrame, ranks: bytes, *, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """doc_id, n_before, n_after, n_edits, n_recut: one row per row of ``docs``.
+
+    ``docs`` has doc_id, text and edits. Trees are written to the shared folder first; the counts come
+    from :func:`update` of what was written.
+    """
+    trees = staged(build_trees(docs.select("doc_id", "text", "edits"), ranks, pattern=pattern))
+    return update(trees, ranks, pattern=pattern).select("doc_id", *COUNTS)

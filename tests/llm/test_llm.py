@@ -585,6 +585,37 @@ def test_token_counts_after_edits(spark, edge, no_docs, ranks):
     assert token_counts.count_tokens(token_counts.with_edits(no_docs, edits), ranks).count() == 0
 
 
+def test_kept_trees_are_updated_in_place(spark, edge, no_docs, ranks, tmp_path):
+    """Two rounds of edits on written trees: they equal trees of the new texts, and what no edit reaches is not encoded."""
+    plain, pattern = bpe.encoding(ranks), public_tokenizers.PATTERN
+    token_counts.build_trees(edge.withColumn("n_after", F.lit("x")), ranks).write.parquet(str(tmp_path / "0"))
+    edits = [(1, 1, 5, 0, "zz"), (1, 2, 0, 2, ""), (2, 1, 9, 3, "\n"), (3, 1, 0, 0, "new"), (4, 1, 7, 7, "é"), (5, 1, 400_000, 11, "")]
+    kind = "doc_id long, seq int, at int, drop int, put string"
+    for step, given in enumerate([edits, [(5, 1, 3, 9, "w" * 70_000), (8, 1, 0, 10**6, "")]]):
+        old = spark.read.parquet(str(tmp_path / str(step)))
+        new = token_counts.update(token_counts.with_edits(old, spark.createDataFrame(given, kind)), ranks)
+        new.write.parquet(str(tmp_path / str(step + 1)))
+        texts = {r["doc_id"]: r["text"] for r in old.collect()}
+        for doc, _, at, drop, put in given:
+            text = texts[doc] or ""
+            texts[doc] = text[:at] + put + text[at + drop :]
+        found = spark.read.parquet(str(tmp_path / str(step + 1)))
+        assert found.columns == [c for c in old.columns if c not in token_counts.COUNTS] + token_counts.COUNTS
+        counter = token_counts.Counter(ranks, pattern)
+        for r in found.collect():
+            assert r["text"] == texts[r["doc_id"]] and r["n_after"] == len(plain.encode_ordinary(r["text"] or ""))
+            tree = token_counts.Tree.load(r["text"] or "", r["leaves__"], r["lengths__"], r["tokens__"], counter)
+            assert not counter.memo and tree.total == r["n_after"] and tree.text() == (r["text"] or "")
+            assert r["n_recut"] < 20 and (r["n_edits"] > 0) == (r["doc_id"] in {e[0] for e in given})
+    words = ["word "] * 5000
+    tree = token_counts.Tree("".join(words), counter)
+    text, *kept = tree.pack()
+    tree = token_counts.Tree.load(text, *kept, counter)
+    tree.edit(12_000, 2, "x")
+    assert sum(leaf is not None for leaf in tree.leaves) <= 2
+    assert token_counts.update(token_counts.build_trees(no_docs, ranks).withColumn("edits", F.lit(None)), ranks).count() == 0
+
+
 def test_training_order(spark, edge, no_docs, ranks, tmp_path):
     for n in (1, 2, 7, 1000):
         there = training_order.permute(np.arange(n), n, 11)
