@@ -91,7 +91,10 @@ def op4_token_counts(spark: SparkSession, base: str) -> DataFrame:
 
 
 def op5_training_order(spark: SparkSession, base: str) -> DataFrame:
-    return training_order.materialise(read(spark, base, "documents"), _ranks())
+    """Every record, read back from the fixed-stride shards written to the shared folder."""
+    path = f"{stage_dir(spark)}/order-{spark.conf.get('spark.app.id')}-{uuid.uuid4().hex}"
+    training_order.write(training_order.materialise(read(spark, base, "documents"), _ranks()), path)
+    return training_order.read_records(spark, path)
 
 
 def op7_secret_scan(spark: SparkSession, base: str) -> DataFrame:

@@ -3,6 +3,7 @@
 Sequences are numbered as they lie in the corpus, and the permutation, made to fit any number of
 sequences by cycle walking, gives each its global slot. A shard is a range of slots, and every record
 has the same number of bytes, so the place of a slot is arithmetic and reading can resume anywhere.
+Tasks hold ranges of shards; written files hold blocks of records end to end, in order of slots.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from marginwatch.llm.bpe import encoding
 from marginwatch.llm.common import map_batches, staged
 
 ROUNDS = 6
+# Records that are written and read as one row.
+BLOCK = 256
 
 
 def _scramble(x: np.ndarray, key: int) -> np.ndarray:
@@ -70,7 +74,7 @@ def materialise(
     ids of two bytes (four if the vocabulary needs them), the last of a document filled with ``pad``.
     Sequence numbers follow the order of the input's splits, which is fixed for given files and
     split sizes; tokens are staged once with their numbers inside the split, and only one total per
-    split reaches the driver. Rows leave grouped by shard and sorted by slot. A null or empty text
+    split reaches the driver. Every task gets a range of whole shards, its rows sorted by slot. A null or empty text
     has no sequence; repeated rows have sequences of their own.
     """
     width = 2 if max(map(int, (line.split()[1] for line in ranks.splitlines() if line)), default=0) < 1 << 16 else 4
@@ -144,38 +148,112 @@ def materialise(
         f"slot long, shard int, byte_offset long, doc_id {kind}, seq int, n_tokens int, record binary",
         place,
     )
-    parts = min(max(1, -(-size // per_shard)), 100_000)
-    return rows.repartition(parts, "shard").sortWithinPartitions("shard", "slot")
+    shards = max(1, -(-size // per_shard))
+    parts = min(shards, 100_000)
+    part = F.floor(F.col("shard").cast("long") * parts / shards).cast("int")
+    return rows.repartitionById(parts, part).sortWithinPartitions("slot")
 
 
 def pack(rows: DataFrame) -> DataFrame:
-    """One row per shard: shard, first_slot, n, payload, the shard's records end to end."""
-    listed = F.array_sort(F.collect_list(F.struct("slot", "record")))
-    grouped = rows.groupBy("shard").agg(listed.alias("r"))
+    """Blocks of up to ``BLOCK`` consecutive records: shard, first_slot, n, payload, docs, seqs, counts.
+
+    ``rows`` are those of :func:`materialise`, as they lie. The payload is the records end to end; the
+    three arrays say for each whose it is. A block lies in one shard; a gap in the slots is an error.
+    """
+    columns = ["shard", "slot", "record", "doc_id", "seq", "n_tokens"]
 
     def make():
-        def each(batch: pa.RecordBatch):
-            shards = batch.column("r").to_pylist()
+        held: list[list] = [[] for _ in columns]
+        last = None
+
+        def give(n: int) -> dict:
+            block = [column[:n] for column in held]
+            for column in held:
+                del column[:n]
             return {
-                "shard": batch.column("shard"),
-                "first_slot": [s[0]["slot"] for s in shards],
-                "n": [len(s) for s in shards],
-                "payload": [b"".join(x["record"] for x in s) for s in shards],
+                "shard": block[0][:1],
+                "first_slot": block[1][:1],
+                "n": [n],
+                "payload": [b"".join(block[2])],
+                "docs": [block[3]],
+                "seqs": [block[4]],
+                "counts": [block[5]],
             }
 
+        def full(least: int):
+            """Blocks that are complete: of ``BLOCK`` records, or followed by another shard."""
+            while len(held[0]) >= least:
+                shards = held[0][:BLOCK]
+                n = len(shards) if shards[-1] == shards[0] else shards.index(next(x for x in shards if x != shards[0]))
+                yield give(n)
+
+        def each(batch: pa.RecordBatch):
+            nonlocal last
+            for name, column in zip(columns, held, strict=True):
+                column += batch.column(batch.schema.get_field_index(name)).to_pylist()
+            slots = held[1][-batch.num_rows :] if batch.num_rows else []
+            for slot in slots:
+                if last is not None and slot != last + 1:
+                    raise ValueError(f"slot {slot} follows {last}")
+                last = slot
+            yield from full(BLOCK)
+
+        each.finish = lambda: full(1)
         return each
 
-    return map_batches(grouped, "shard int, first_slot long, n int, payload binary", make)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return map_batches(
+        rows.select(*columns),
+        "shard int, first_slot long, n int, payload binary, "
+        f"docs array<{kind}>, seqs array<int>, counts array<int>",
+        make,
+    )
 
 
 def write(rows: DataFrame, path: str) -> None:
-    """Write the packed shards, a folder each, so that a reader opens only the shards it needs."""
-    pack(rows).write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Write the packed blocks: a file for each task's range of shards, in order of slots.
+
+    The files' statistics tell a reader which of them hold the slots it wants, so it opens no others.
+    """
+    pack(rows).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def read_records(spark: SparkSession, path: str, per_shard: int = 4096) -> DataFrame:
+    """The rows of :func:`materialise`, from written blocks: one per record, with its place in its shard."""
+    blocks = spark.read.parquet(path)
+    kind = blocks.schema["docs"].dataType.elementType.simpleString()
+
+    def make():
+        def each(batch: pa.RecordBatch):
+            names = ("shard", "first_slot", "n", "payload", "docs", "seqs", "counts")
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
+            for shard, first, n, payload, docs, seqs, counts in zip(*columns, strict=True):
+                width = len(payload) // n
+                slots = np.arange(first, first + n)
+                ends = pa.py_buffer(np.arange(0, len(payload) + 1, width, dtype=np.int32))
+                yield {
+                    "slot": slots,
+                    "shard": [shard] * n,
+                    "byte_offset": slots % per_shard * width,
+                    "doc_id": docs,
+                    "seq": seqs,
+                    "n_tokens": counts,
+                    "record": pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(payload)]),
+                }
+
+        return each
+
+    schema = f"slot long, shard int, byte_offset long, doc_id {kind}, seq int, n_tokens int, record binary"
+    return map_batches(blocks, StructType.fromDDL(schema), make)
 
 
 def resume(spark: SparkSession, path: str, slot: int, per_shard: int = 4096) -> DataFrame:
-    """The shards from the one that holds ``slot`` on, its payload without the slots before."""
-    rows = spark.read.parquet(path).where(F.col("shard") >= slot // per_shard)
+    """The blocks from ``slot`` on in order, the payload of the first without the slots before.
+
+    ``shard`` is compared first, so that files of earlier shards are not opened.
+    """
+    rows = spark.read.parquet(path).where((F.col("shard") >= slot // per_shard) & (F.col("first_slot") > slot - BLOCK))
+    rows = rows.where(F.col("first_slot") + F.col("n") > slot)
     width = F.length("payload") / F.col("n")
     skip = F.greatest(F.lit(slot) - F.col("first_slot"), F.lit(0))
     return rows.select(
@@ -183,4 +261,4 @@ def resume(spark: SparkSession, path: str, slot: int, per_shard: int = 4096) ->
         (F.col("first_slot") + skip).alias("first_slot"),
         (F.col("n") - skip).cast("int").alias("n"),
         F.expr("payload").substr((skip * width + 1).cast("int"), F.length("payload")).alias("payload"),
-    ).orderBy("shard")
+    ).orderBy("first_slot")

@@ -635,7 +635,19 @@ def test_training_order(spark, edge, no_docs, ranks, tmp_path):
     rest = training_order.resume(spark, path, 150, per_shard=100).collect()
     by_slot = {r["slot"]: bytes(r["record"]) for r in found}
     assert b"".join(bytes(r["payload"]) for r in rest) == b"".join(by_slot[k] for k in range(150, len(found)))
-    assert training_order.materialise(no_docs, ranks).count() == 0
+    again = training_order.read_records(spark, path, per_shard=100)
+    assert again.columns == rows.columns and sorted(map(tuple, again.collect())) == sorted(map(tuple, found))
+    assert {r["n"] for r in spark.read.parquet(path).where("shard = 0").collect()} == {100}
+    at = len(found) // 2
+    late = training_order.resume(spark, path, at, per_shard=100)
+    assert b"".join(bytes(r["payload"]) for r in late.collect()) == b"".join(by_slot[k] for k in range(at, len(found)))
+    assert training_order.resume(spark, path, len(found), per_shard=100).count() == 0
+    with pytest.raises(Exception, match="follows"):
+        training_order.pack(rows.where("slot != 3")).collect()
+    nothing = training_order.materialise(no_docs, ranks)
+    assert nothing.count() == 0
+    training_order.write(nothing, str(tmp_path / "none"))
+    assert training_order.read_records(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_pipeline_on_a_small_corpus(spark):
