@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marginwatch.llm.common import staged
 
+# A shard is numbered in parts of about this many bytes, at least 16 of them.
+CHUNK_BYTES = 128 << 20
+
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[float]]) -> list[list[int]]:
     """Cheapest shipment of ``supply`` into ``demand`` (equal sums), by successive shortest paths.
@@ -173,7 +176,8 @@ def reshard(
         finer = keys[: level + 1]
         sums = inner.groupBy(finer).agg(F.sum("size").alias("n")).orderBy(finer).collect()
     kept = [*(["row"] if whole else []), "doc_id", "size", "text_crc32", "old_shard", "shard", "place"]
-    return number_rows(found.select(*kept))
+    chunks = max(16, -(-max(capacities, default=0) // CHUNK_BYTES))
+    return number_rows(found.select(*kept), chunks=chunks)
 
 
 def number_rows(placed: DataFrame, ranges: int = 4096, chunks: int = 16) -> DataFrame:
@@ -181,8 +185,10 @@ def number_rows(placed: DataFrame, ranges: int = 4096, chunks: int = 16) -> Data
 
     Rows are counted per shard and range of ``place``; the ranges' starts come from a running sum
     over those few counts, and only inside a range are rows numbered, so no shard is one task's.
-    Ranges that follow each other, ``chunks`` parts of a shard, stay together.
+    Ranges that follow each other, ``chunks`` parts of a shard, stay together; slots do not depend on
+    their number, which is at most that of the ranges.
     """
+    chunks = min(chunks, ranges)
     placed = placed.withColumn("range", F.pmod("place", F.lit(ranges)).cast("int"))
     placed = placed.withColumn("chunk", F.expr(f"range div {-(-ranges // chunks)}").cast("int"))
     counts = placed.groupBy("shard", "range").agg(F.count("*").alias("n"))

@@ -156,6 +156,10 @@ def test_resharding(spark, edge, no_docs, tmp_path):
     mean = sum(r["b"] for r in rows) / 8
     assert max(abs(r["b"] - mean) for r in rows) <= biggest
     assert _reshard(edge).count() == edge.count() and _reshard(no_docs).count() == 0
+    placed = docs.select("doc_id", F.lit(0).alias("size"), F.crc32("text").alias("text_crc32"), F.lit(1).alias("shard"))
+    placed = placed.withColumn("place", F.xxhash64("doc_id"))
+    few, many = ({tuple(r) for r in resharding.number_rows(placed, chunks=n).collect()} for n in (16, 10**6))
+    assert few == many and len(few) == docs.count()
     # one text's copies hold nearly all bytes: they are split
     hot = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text"))
     counts = [r["count"] for r in _reshard(hot).groupBy("shard").count().collect()]
