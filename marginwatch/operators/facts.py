@@ -85,6 +85,28 @@ def counted_orders(orders: DataFrame) -> DataFrame:
     return orders.groupBy(*orders.columns).agg(F.count(F.lit(1)).alias("order_rows"))
 
 
+def order_week_lines(orders: DataFrame, lines: DataFrame, payments: DataFrame, dedupe: bool = False) -> DataFrame:
+    """:func:`joined_rows` of dated orders, whose rows of one order and week are one row.
+
+    No order meets a line twice in a week, so reports by week and a key of the lines count its orders
+    as rows; a distinct count would keep every order of a task in memory. ``fan_canceled`` is the part of
+    ``fan_rows`` that belongs to cancelled order rows.
+    """
+    weeks = (
+        orders.join(order_payments(payments), "order_id")
+        .groupBy("order_id", "year_week", "paid", "payment_rows")
+        .agg(F.count(F.lit(1)).alias("order_rows"), F.count_if(canceled()).alias("canceled_orders"))
+    )
+    items = F.lit(1) if dedupe else F.col("item_rows")
+    return weeks.join(lines, "order_id").withColumns(
+        {
+            "fan_rows": F.col("order_rows") * items * F.col("payment_rows"),
+            "fan_paid": F.col("order_rows") * items * F.col("paid"),
+            "fan_canceled": F.col("canceled_orders") * items * F.col("payment_rows"),
+        }
+    )
+
+
 def paid_orders(orders: DataFrame, payments: DataFrame) -> DataFrame:
     """Order rows with ``paid`` and ``payment_rows``, null for orders without a non-zero payment."""
     columns = ["order_id", "customer_id", "order_status", PURCHASED, DELIVERY]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marginwatch.functions.labels import delivered, tier
 from marginwatch.functions.money import amount, cents, mean, percent, total
@@ -64,20 +64,22 @@ def category_weekly(
     ``dedupe`` counts a payment once per category of its order, not once per item.
     """
     lines = facts.category_lines(items, facts.product_categories(products, category_xlat))
-    return category_weeks_of(facts.joined_rows(_dated_orders(orders), lines, payments, dedupe))
+    rows = facts.order_week_lines(_dated_orders(orders), lines, payments, dedupe)
+    return _category_weeks(rows, F.count(F.lit(1)), F.sum("fan_canceled"))
 
 
 def category_weeks_of(rows: DataFrame) -> DataFrame:
-    """:func:`category_weekly` of joined rows."""
-    return (
-        rows.filter(F.col("year_week").isNotNull())
-        .groupBy("year_week", "category_en")
-        .agg(
-            F.count_distinct("order_id").alias("orders_count"),
-            facts.fan_revenue().alias("weekly_revenue"),
-            facts.mean_paid().alias("avg_order_value"),
-            facts.canceled_rows().alias("cancellations"),
-        )
+    """:func:`category_weekly` of the shared fact's rows."""
+    dated = rows.filter(F.col("year_week").isNotNull())
+    return _category_weeks(dated, F.count_distinct("order_id"), facts.canceled_rows())
+
+
+def _category_weeks(rows: DataFrame, orders: Column, cancellations: Column) -> DataFrame:
+    return rows.groupBy("year_week", "category_en").agg(
+        orders.alias("orders_count"),
+        facts.fan_revenue().alias("weekly_revenue"),
+        facts.mean_paid().alias("avg_order_value"),
+        cancellations.alias("cancellations"),
     )
 
 
@@ -93,25 +95,23 @@ def geo_weekly(
     """Orders, revenue and cancelled rows by seller state and week; ``dedupe`` as for categories."""
     located = items.select("order_id", "seller_id").join(sellers.select("seller_id", "seller_state"), "seller_id")
     lines = facts.order_lines(located, "seller_state")
-    return state_weeks_of(facts.joined_rows(_dated_orders(orders), lines, payments, dedupe))
+    rows = facts.order_week_lines(_dated_orders(orders), lines, payments, dedupe)
+    return _state_weeks(rows, F.count(F.lit(1)), F.sum("fan_canceled"))
 
 
 def fact_state_weeks(fact: DataFrame, sellers: DataFrame) -> DataFrame:
     """:func:`geo_weekly` from the shared fact."""
     paid = fact.filter(F.col("fan_rows").isNotNull())
-    return state_weeks_of(paid.join(sellers.select("seller_id", "seller_state"), "seller_id"))
+    located = paid.join(sellers.select("seller_id", "seller_state"), "seller_id")
+    dated = located.filter(F.col("year_week").isNotNull())
+    return _state_weeks(dated, F.count_distinct("order_id"), facts.canceled_rows())
 
 
-def state_weeks_of(rows: DataFrame) -> DataFrame:
-    """:func:`geo_weekly` of joined rows."""
-    return (
-        rows.filter(F.col("year_week").isNotNull())
-        .groupBy("year_week", "seller_state")
-        .agg(
-            F.count_distinct("order_id").alias("orders_count"),
-            facts.fan_revenue().alias("weekly_revenue"),
-            facts.canceled_rows().alias("cancellations"),
-        )
+def _state_weeks(rows: DataFrame, orders: Column, cancellations: Column) -> DataFrame:
+    return rows.groupBy("year_week", "seller_state").agg(
+        orders.alias("orders_count"),
+        facts.fan_revenue().alias("weekly_revenue"),
+        cancellations.alias("cancellations"),
     )
 
 

@@ -143,3 +143,41 @@ def test_the_scorecard_reads_the_planted_tables_once(spark, monkeypatch):
     assert "l_orderkey" not in card._jdf.queryExecution().executedPlan().toString()
     # orders with payments, then their lines; in the test tables all of these come from one table
     assert [x for x in scans if any(x)] == [(True, False), (True, True)]
+
+
+@pytest.mark.parametrize("dedupe", [False, True])
+def test_weekly_reports_count_rows_of_orders_and_weeks_instead_of_ids(spark, dedupe):
+    """A distinct count would hold every order of a task; repeated ids of any week and status count as before."""
+    orders = spark.sql(
+        "SELECT order_id, status AS order_status, CAST(day AS TIMESTAMP_NTZ) AS order_purchase_timestamp FROM VALUES "
+        "('a', 'delivered', '2018-01-01'), ('a', 'canceled', '2018-01-02'), ('a', 'canceled', '2018-01-09'), "
+        "('a', NULL, '2018-01-03'), ('a', 'canceled', NULL), ('b', 'canceled', '2018-01-01'), ('c', 'shipped', '2018-01-01') "
+        "AS t(order_id, status, day)"
+    )
+    items = spark.sql("SELECT * FROM VALUES ('a', 'p', 's'), ('a', 'p', 's'), ('a', 'q', 's'), ('b', 'p', 't'), ('c', 'p', 's') "
+                      "AS t(order_id, product_id, seller_id)")
+    payments = spark.sql("SELECT * FROM VALUES ('a', 2.0D), ('a', 4.0D), ('b', 8.0D), ('b', 0.0D), ('c', 0.0D) "
+                         "AS t(order_id, payment_value)")
+    products = spark.sql("SELECT * FROM VALUES ('p', 'x'), ('q', NULL) AS t(product_id, product_category_name)")
+    names = spark.sql("SELECT 'x' AS product_category_name, 'toys' AS product_category_name_english")
+    sellers = spark.sql("SELECT * FROM VALUES ('s', 'SP'), ('t', 'RJ') AS t(seller_id, seller_state)")
+
+    def product(lines, key):
+        lines = lines.select("order_id", key)
+        rows = orders.join(lines.distinct() if dedupe else lines, "order_id").join(payments.filter("payment_value > 0"), "order_id")
+        week = "CASE WHEN order_purchase_timestamp < '2018-01-08' THEN '2018-W01' ELSE '2018-W02' END"
+        return rows.filter("order_purchase_timestamp IS NOT NULL").groupBy(F.expr(week).alias("year_week"), key).agg(
+            F.count_distinct("order_id").alias("orders_count"),
+            F.sum("payment_value").alias("weekly_revenue"),
+            F.avg("payment_value").alias("avg_order_value"),
+            F.count_if(F.col("order_status") == "canceled").alias("cancellations"),
+        )
+
+    named = items.join(facts.product_categories(products, names), "product_id")
+    by_category = trends.category_weekly(orders, items, payments, products, names, dedupe)
+    by_state = trends.geo_weekly(orders, items, payments, sellers, dedupe)
+    assert same(by_category, product(named, "category_en").withColumn("avg_order_value", F.round("avg_order_value", 2)))
+    assert same(by_state, product(items.join(sellers, "seller_id"), "seller_state").drop("avg_order_value"))
+    assert by_category.count() == 4 and by_state.count() == 3
+    for df in (by_category, by_state):
+        assert "distinct" not in df._jdf.queryExecution().executedPlan().toString()
